@@ -6,6 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,10 +87,11 @@ _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A plain unit ends where no letter or mark beyond ASCII follows, so it is a whole pre-token; "'" is left out as contractions start with it.
 _PUNCT, _PUNCT1 = r"!-/:-@\[-`{-~", r"!-&(-/:-@\[-`{-~"
 _ENDS = r"(?![^\x00-\x7f])"
-_UNITS = {
-    "byte": re.compile(rf"( ?[{_LETTERS}]++{_ENDS}| ?[{_PUNCT1}][{_PUNCT}]*+{_ENDS})|( ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+)"),
-    "word": re.compile(rf"([{_LETTERS}]++{_ENDS}|[{_PUNCT1}][{_PUNCT}]*+{_ENDS})|([^{_BLANK}]+)"),
+_PLAIN = {
+    "byte": rf" ?[{_LETTERS}]++{_ENDS}| ?[{_PUNCT1}][{_PUNCT}]*+{_ENDS}",
+    "word": rf"[{_LETTERS}]++{_ENDS}|[{_PUNCT1}][{_PUNCT}]*+{_ENDS}",
 }
+_OTHER = {"byte": rf" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+", "word": rf"[^{_BLANK}]+"}
 
 
 class CachedTokenizer:
@@ -97,10 +99,10 @@ class CachedTokenizer:
 
     A text is cut only where the tokenizer's own pattern cuts it, so the ids of the pieces are the ids of the text. kind is
     "byte" (byte-level pattern that keeps white space) or "word" (white space dropped, lower case). At most `entries`
-    pieces are kept; after that the cache starts anew.
+    pieces are kept in a generation of the cache; then a new one begins, and what is still used moves to it.
     """
 
-    def __init__(self, path: str, kind: str, entries: int = 400_000):
+    def __init__(self, path: str, kind: str, entries: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -108,48 +110,40 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.entries, self.cache = kind, entries, {}
-        self.find = _units_of(kind)
+        self.kind, self.entries, self.cache, self.older = kind, entries, {}, {}
+        self.find, self.plain = re.compile(f"{_PLAIN[kind]}|{_OTHER[kind]}").findall, re.compile(_PLAIN[kind]).fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         others = [b for b in range(256) if b not in set(printable)]
         self.chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def _plain(self, unit: str) -> bytes:
-        from array import array
-
+    def _piece(self, unit: str) -> bytes:
+        if not self.plain(unit):
+            return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
         unit = unit.lower() if self.kind == "word" else unit
         mapped = unit.encode("utf-8").decode("latin-1").translate(self.chars)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
-    def _general(self, unit: str) -> bytes:
-        from array import array
-
-        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
-
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        cache, out = self.cache, []
         units = self.find(text)
-        try:
-            return b"".join([cache[u] for u in units])
-        except KeyError:
-            pass
-        if len(cache) > self.entries:
-            cache.clear()
-        for u in units:
-            found = cache.get(u)
-            if found is None:
-                found = cache[u] = self._plain(u[0]) if u[0] else self._general(u[1])
-            out.append(found)
+        out = list(map(self.cache.get, units))
+        if None in out:
+            if len(self.cache) > self.entries:
+                self.cache, self.older = {}, self.cache
+            cache, older = self.cache, self.older
+            for i, found in enumerate(out):
+                if found is None:
+                    u = units[i]
+                    found = cache.get(u)
+                    if found is None:
+                        found = older.get(u)
+                        cache[u] = found = self._piece(u) if found is None else found
+                    out[i] = found
         return b"".join(out)
 
 
-def _units_of(kind: str):
-    return _UNITS[kind].findall
-
-
 _TOKENIZERS: dict[tuple[str, str], CachedTokenizer] = {}
 
 

@@ -78,7 +78,7 @@ def fillings(room: int, left: list[int], counts: dict[int, int], spare: int, mos
     take the place of one of its items together with the waste. At most `most` are enumerated.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    steps = [4000]
+    steps = [50 * most]
 
     def add(at: int, room: int, items: tuple[int, ...]) -> None:
         steps[0] -= 1
@@ -102,7 +102,7 @@ def fillings(room: int, left: list[int], counts: dict[int, int], spare: int, mos
     return [items for _, items in sorted(set(found), key=lambda x: (x[0], [-i for i in x[1]]))]
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 20_000, width: int = 64) -> Plan:
+def plan(counts: dict[int, int], capacity: int, nodes: int = 6000, width: int = 16) -> Plan:
     """Fillings and how often each is used; every item of the histogram is in exactly one.
 
     nodes and width bound the work of the search, not the items packed: when they are spent, the incumbent is the answer.
@@ -123,7 +123,7 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 20_000, width: int
                 best, most = list(done), used
             return
         spare = (most - 1) * capacity - volume - waste
-        if spare < 0 or used + lower_bound(counts, capacity) >= most:
+        if spare < 0:
             return
         top = left[0]
         rest = counts | {top: counts[top] - 1}
@@ -163,14 +163,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(rows: DataFrame, capacity: int = 2048, nodes: int = 20_000, parts: int | None = None) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 2048, nodes: int = 6000, parts: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (with doc_id, piece and length from 1 to capacity; other columns are kept).
 
     Pieces are put in order of length and dealt out in ranges, so that a length that very many share is spread over many
     tasks. The driver gets one count for each length in each range: no more than the lengths and the ranges together. No
     pieces give no rows; repeated pieces are packed as often as they come.
     """
-    spark = rows.sparkSession
+    spark = rows.sparkSession  # the rows are kept before they are dealt out, which looks at them twice
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = rows.schema
 
@@ -184,7 +184,7 @@ def pack(rows: DataFrame, capacity: int = 2048, nodes: int = 20_000, parts: int
             yield b
 
     small_batches(spark, 10_000)
-    spread = rows.repartitionByRange(parts, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
+    spread = saved(rows).repartitionByRange(parts, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     marked = saved(spread.mapInPandas(mark, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "_part int", "_nth long"])))
     counted = marked.groupBy("length", "_part").count().orderBy("length", "_part").collect()
     counts: dict[int, int] = {}
@@ -221,7 +221,7 @@ def pack(rows: DataFrame, capacity: int = 2048, nodes: int = 20_000, parts: int
     return marked.mapInPandas(place, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "sequence_id long", "offset long"]))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, nodes: int = 20_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, nodes: int = 6000) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty and take one end id. Repeated documents are packed each; an empty table gives no rows.

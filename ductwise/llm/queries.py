@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ductwise.llm import packing, simhash, tokenfile
+from ductwise.llm import ann, langid, linededup, maxent, packing, quality, simhash, tokenfile, toxicity
 from ductwise.llm.common import table
 
 #: Folder of the public tokenizers' files; never copied into the repository.
@@ -19,6 +19,13 @@ def tokenizer_file(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the chain's probabilities and verdicts; `toxic` is the verdict of the last category."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
+    return toxicity.score(docs, chain).select("doc_id", "p_low_quality", "p_toxic", "is_low_quality", F.col("is_toxic").alias("toxic"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, width=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,13 +35,62 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text after repeated runs are taken out, and the number of words taken."""
+    return linededup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed").select("doc_id", "text", F.col("n_removed").cast("long").alias("n_removed"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed", "kept")
+
+
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_simhash": op2_simhash,
-    "op3_token_file": op3_token_file,
-    "op10_packing": op10_packing,
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_file, op4_langid, op6_ann, op7_linededup, op8_quality, op9_maxent, op10_packing)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_OP8 = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents),
+w as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from d),
+g as (
+  select doc_id, pos, word || ' ' || lead(word) over o || ' ' || lead(word, 2) over o as gram
+  from w window o as (partition by doc_id order by pos)),
+r as (select doc_id, pos, count(*) over (partition by doc_id, gram) as n from g where gram is not null),
+c as (
+  select doc_id, count(distinct p) as n_repeat_words
+  from (select doc_id, unnest([pos, pos + 1, pos + 2]) as p from r where n > 1) group by doc_id),
+s as (
+  select d.doc_id, text, words, lines, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from d left join c using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 20 * n_words
+    or 10 * n_dup_lines > 3 * len(lines) or 2 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > word_chars
+    or 10 * len(list_filter(lines, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(lines)
+    or 10 * len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-•*]'))) > 9 * len(lines)
+    or 10 * len(list_filter(words, x -> regexp_matches(x, '\p{L}'))) < 7 * n_words) as kept
+from b
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_quality": _OP8}

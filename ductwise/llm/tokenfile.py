@@ -30,8 +30,14 @@ _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.i
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit ranks; nothing for no ranks."""
     r = np.ascontiguousarray(ranks, dtype="<u4")
-    code = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    if int(r.max(initial=0)) <= 0xFFFF:  # the usual case, with half the bytes to look at
+        code = (r > 0xFF).astype(np.uint8)
+        keep = np.ones((len(r), 2), bool)
+        keep[:, 1] = code
+        data = r.astype("<u2").view(np.uint8)[keep.ravel()]
+    else:
+        code = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
+        data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
     padded = np.zeros(-(-len(r) // 4) * 4, np.uint8)
     padded[: len(r)] = code
     return (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes(), data.tobytes()
@@ -61,18 +67,21 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
+def _wide_all(raw: list[bytes], n: list[int]) -> np.ndarray:
+    """Ids of several documents, each stored with two or four bytes to an id."""
+    raw, n = list(raw), list(n)
+    if sum(map(len, raw)) == 2 * sum(n):
+        return np.frombuffer(b"".join(raw), "<u2")
+    return np.concatenate([np.frombuffer(r, "<u2" if len(r) == 2 * k else "<u4").astype(np.uint32) for r, k in zip(raw, n, strict=True)])
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(0, np.int64)
     for b in batches:
-        for raw, n in zip(b["ids"], b["n"], strict=True):
-            c = np.bincount(_wide(raw, n))
-            if len(c) > len(total):
-                total = np.pad(total, (0, len(c) - len(total)))
-            total[: len(c)] += c
+        c = np.bincount(_wide_all(b["ids"], b["n"]))
+        if len(c) > len(total):
+            total = np.pad(total, (0, len(c) - len(total)))
+        total[: len(c)] += c
     at = np.flatnonzero(total)
     yield pd.DataFrame({"id": at, "n": total[at]})
 
@@ -83,8 +92,7 @@ def _blocks(rank_of: np.ndarray):
         size = 0
 
         def out() -> pd.DataFrame:
-            ids = np.concatenate([_wide(x[4], x[3]) for x in held])
-            control, data = encode(rank_of[ids])
+            control, data = encode(rank_of[_wide_all([x[4] for x in held], [x[3] for x in held])])
             return pd.DataFrame({"shard": [held[0][0]], "first_seq": [held[0][1]], "doc_ids": [[x[2] for x in held]], "counts": [[x[3] for x in held]], "control": [control], "data": [data]})
 
         for b in batches:
