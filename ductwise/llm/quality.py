@@ -1,7 +1,6 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-The statistics of a text are staged: each select holds arrays that the next one reads, so nothing is computed twice and the
-sort of the window hashes runs in generated code. The rules are then put in order of rejections per second, both measured on
+Each statistic of a text is one expression over its words or lines. The rules are put in order of rejections per second, both measured on
 a sample, and evaluated as one CASE expression, which stops at the first rule that rejects. The order decides how much work
 is done, never which documents are kept.
 """
@@ -54,41 +53,55 @@ RULES = (
 )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is evaluated once, however often `use` reads it and wherever the optimizer moves it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def repeated_words(words: Column) -> Column:
+    """How many words are in a 3-word window that the array holds twice or more.
+
+    A window's hash with its position in the low bits makes one plain number; sorting those brings equal windows together,
+    and the whole hashes decide whether neighbours are equal.
+    """
+
+    def counted(w: Column) -> Column:
+        high = F.lit(-1).cast("long") - F.pow(F.lit(2), F.ceil(F.log2(F.size(w) + 1))).cast("long") + 1
+
+        def of_hashes(h: Column, high: Column) -> Column:
+            place = lambda x: (x - x.bitwiseAND(high)).cast("int")
+            same = lambda x, y: F.get(h, place(x)) == F.get(h, place(y))
+            twice = lambda s: F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+            packed = F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long")))
+            return F.aggregate(
+                F.sort_array(F.transform(_let(F.sort_array(packed), twice), place)),
+                F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+                lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n"), (p + 3).alias("end")),
+                lambda a: a["n"],
+            )
+
+        hashes = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        repeats = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _let(high, lambda m: of_hashes(h, m))).otherwise(F.lit(0).cast("long"))
+        return F.when(F.size(w) > 3, _let(hashes, repeats)).otherwise(F.lit(0).cast("long"))
+
+    return _let(words, counted)
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """`docs` with the statistics of its texts under prefixed names, and the arrays that rules read.
 
-    A word of a repeated window counts once. Windows are compared by their 64-bit hash. Null texts count as empty.
+    Null texts count as empty.
     """
-    n = F.size(_c("words"))
-    # the high bits of a window's hash with its position in the low ones: one sort of plain longs brings equal windows together
-    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)) + 1)).cast("int")
-    high = F.shiftleft(F.lit(-1).cast("long"), _c("bits"))
-    hashes = F.transform(F.slice(_c("words"), 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(_c("words"), i + 1), F.get(_c("words"), i + 2)))
-    packed = F.transform(_c("hashes"), lambda h, i: h.bitwiseAND(_c("high")).bitwiseOR(i.cast("long")))
-    sorted_ = _c("sorted")
-    place = lambda x: x.bitwiseAND(F.bitwise_not(_c("high"))).cast("int")
-    same = lambda x, y: F.get(_c("hashes"), place(x)) == F.get(_c("hashes"), place(y))
-    twice = F.filter(sorted_, lambda x, i: same(x, F.get(sorted_, i - 1)) | same(x, F.get(sorted_, i + 1)))
-    covered = F.aggregate(
-        _c("at"),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
-        lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n"), (p + 3).alias("end")),
-        lambda a: a["n"],
-    )
-    out = docs.withColumn(f"{_PREFIX}words", words(F.col("text"))).withColumn(f"{_PREFIX}lines", F.filter(F.split(_text(), "\n"), lambda x: x.rlike(NOT_SPACE)))
-    out = out.withColumns(
+    lines = F.filter(F.split(_text(), "\n"), lambda x: x.rlike(NOT_SPACE))
+    return docs.withColumns({f"{_PREFIX}words": words(F.col("text")), f"{_PREFIX}lines": lines}).withColumns(
         {
-            f"{_PREFIX}bits": bits,
-            f"{_PREFIX}hashes": hashes,
-            f"{_PREFIX}n_words": n.cast("long"),
+            f"{_PREFIX}n_words": F.size(_c("words")).cast("long"),
             f"{_PREFIX}word_chars": F.length(F.array_join(_c("words"), "")).cast("long"),
             f"{_PREFIX}n_symbols": F.regexp_count(_text(), F.lit(SYMBOLS)).cast("long"),
             f"{_PREFIX}n_dup_lines": (F.size(_c("lines")) - F.size(F.array_distinct(_c("lines")))).cast("long"),
+            f"{_PREFIX}n_repeat_words": repeated_words(_c("words")),
         }
     )
-    out = out.withColumn(f"{_PREFIX}high", high).withColumn(f"{_PREFIX}packed", packed).withColumn(f"{_PREFIX}sorted", F.sort_array(_c("packed")))
-    out = out.withColumn(f"{_PREFIX}at", F.sort_array(F.transform(twice, place)))
-    return out.withColumn(f"{_PREFIX}n_repeat_words", covered)
 
 
 def base_failed() -> Column:
@@ -100,7 +113,7 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 
     The sample is the sample_rows rows with the smallest hash of doc_id; it sets the order only.
     """
-    sample = saved(statistics(docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)).drop(*(_PREFIX + c for c in ("hashes", "packed", "sorted", "at"))))
+    sample = saved(statistics(docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)))
     n = max(1, sample.count())
     found = []
     for r in rules:

@@ -67,8 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _OP8 = r"""
 with d as (
   select doc_id, coalesce(text, '') as text,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
   from documents),
 w as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from d),
 g as (
@@ -87,9 +87,9 @@ b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 20 * n_words
     or 10 * n_dup_lines > 3 * len(lines) or 2 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > word_chars
-    or 10 * len(list_filter(lines, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(lines)
-    or 10 * len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-•*]'))) > 9 * len(lines)
-    or 10 * len(list_filter(words, x -> regexp_matches(x, '\p{L}'))) < 7 * n_words) as kept
+    or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(lines)
+    or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-•*]'))) > 9 * len(lines)
+    or 10 * len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) < 7 * n_words) as kept
 from b
 """
 
