@@ -18,14 +18,22 @@ from pyspark.sql import functions as F
 
 from ductwise.llm.common import small_batches
 
-_WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
-#: Words whose feature a Python worker remembers.
-_REMEMBERED = 500_000
+_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a word's beginning that are a feature of their own, for words that are longer.
+STEM = 6
+#: Words whose features a Python worker remembers.
+_REMEMBERED = 300_000
 
 
-def tokens(text: str | None) -> set[bytes]:
-    """Different lower-case words: letters of ASCII and whatever lies beyond it."""
-    return set(_WORD.findall(text.lower().encode("utf-8", "replace"))) if text else set()
+def tokens(text: str | None) -> set[str]:
+    """Different lower-case words of a whole text."""
+    return set(_WORD.findall(text.lower())) if text else set()
+
+
+def hashes(word: str) -> tuple[int, ...]:
+    """Features of a word: itself and, if it is long, its beginning."""
+    whole = zlib.crc32(word.encode("utf-8", "replace"))
+    return (whole, zlib.crc32(f"^{word[:STEM]}".encode("utf-8", "replace"))) if len(word) > STEM else (whole,)
 
 
 @dataclass
@@ -102,16 +110,16 @@ def _best_threshold(y: np.ndarray, p: np.ndarray) -> float:
 def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = b.drop(columns=["text"])
-        out["words"] = [np.unique(np.array([zlib.crc32(w) for w in tokens(t)], "<u4")).tobytes() for t in b["text"]]
+        out["words"] = [np.unique(np.array([h for w in tokens(t) for h in hashes(w)], "<u4")).tobytes() for t in b["text"]]
         yield out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs: int = 20_000, max_features: int = 4096, folds: int = 3) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs: int = 20_000, max_features: int = 4096, folds: int = 3, least_z: float = 3.0) -> Chain:
     """Learns the categories (name to SQL expression over the columns of `labels`, in the order of the chain).
 
     The classifier is fitted on at most max_docs labelled documents, those with the smallest hash of doc_id, whose hashed
     words go to the driver; copies of a text count once. Features are the words whose share differs most between the
-    classes. Without labelled documents every probability is 0.
+    classes, by least_z standard errors at least. Without labelled documents every probability is 0.
     """
     names = list(categories)
     flags = [F.max(F.expr(e).cast("int")).alias(c) for c, e in categories.items()]
@@ -132,10 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs
         n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
         one = full.back(y)
         p = seen / len(rows)
-        z = np.abs(one / n1 - (seen - one) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        z[seen < 3] = 0
-        chosen_words[np.argsort(-z, kind="stable")[: max_features // len(names)]] = True
-    chosen_words &= seen >= 3
+        off = np.maximum(np.abs(one / n1 - (seen - one) / n0) - (1 / n1 + 1 / n0), 0)  # less what one row more or less changes
+        z = off / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+        best = np.argsort(-z, kind="stable")[: max_features // len(names)]
+        chosen_words[best[z[best] >= least_z]] = True
     new = np.full(len(vocab), -1)
     new[chosen_words] = np.arange(chosen_words.sum())
     x = Rows([new[p][new[p] >= 0] for p in parts], int(chosen_words.sum()))
@@ -182,9 +190,9 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 for w in words:
                     k = known.get(w)
                     if k is None:
-                        k = known[w] = chain.features.get(zlib.crc32(w), -1)
-                    if k >= 0:
-                        found.append(k)
+                        k = known[w] = tuple(chain.features[h] for h in hashes(w) if h in chain.features)
+                    if k:
+                        found += k
                 rows.append(np.array(sorted(set(found)), np.int64))
                 empty.append(not words)
             out = {"doc_id": b["doc_id"].astype("Int64")}
