@@ -113,7 +113,8 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 
     The sample is the sample_rows rows with the smallest hash of doc_id; it sets the order only.
     """
-    sample = saved(statistics(docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)))
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
+    sample = saved(statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")))
     n = max(1, sample.count())
     found = []
     for r in rules:
