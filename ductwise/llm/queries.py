@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ductwise.llm import ann, langid, linededup, maxent, packing, quality, simhash, tokenfile, toxicity
+from ductwise.llm import ann, langid, linededup, maxent, packing, quality, sentencepiece, simhash, tokenfile, toxicity
 from ductwise.llm.common import table
 
 #: Folder of the public tokenizers' files; never copied into the repository.
@@ -39,6 +39,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -61,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_file, op4_langid, op6_ann, op7_linededup, op8_quality, op9_maxent, op10_packing)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_file, op4_langid, op5_sentencepiece, op6_ann, op7_linededup, op8_quality, op9_maxent, op10_packing)
 }
 
 _OP8 = r"""
