@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import saved
+from ductwise.llm.common import saved, smallest_hashes
 
 #: Dimensions to a column block, and how many standard errors of the estimate a candidate may be off before it is given up.
 BLOCK, ERRORS = 16, 2.1
@@ -71,7 +71,7 @@ def fit(vectors: DataFrame, n: int, sample_rows: int = 20_000, aim: float = 0.96
     The centres grow with the square root of n. The probes are the fewest with which 200 of the sample find at least `aim`
     of their five nearest in the sample; more vectors lie closer and need no more.
     """
-    rows = vectors.orderBy(F.xxhash64("v")).limit(sample_rows).select("v").toPandas()["v"]
+    rows = smallest_hashes(vectors.select("v"), "v", sample_rows).toPandas()["v"]
     v = np.stack([np.frombuffer(x, "<f4") for x in rows]).astype(np.float64)
     rng = np.random.default_rng(7)
     turn, r = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))

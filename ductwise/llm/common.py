@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import math
 import re
 import tempfile
 import uuid
@@ -69,6 +70,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def smallest_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows with the smallest hash of a column: a sample that does not depend on how rows are dealt out.
+
+    Rows that cannot be among them by far are left out before the sort, so partitions do not send `most` rows each.
+    """
+    h = F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1))
+    share = min(1.0, (most + 8 * math.sqrt(most) + 8) / max(df.count(), 1))
+    return df.where(h <= F.lit(int(share * (1 << 62)))).orderBy(h, key).limit(most)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

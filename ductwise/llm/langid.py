@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import small_batches
+from ductwise.llm.common import small_batches, smallest_hashes
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, max_docs: int = 6000, max_words: int = 200_000, max_gra
     the n-grams. No rows give a model that knows no language.
     """
     small_batches(docs.sparkSession)
-    chosen = docs.where("lang is not null and text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
+    chosen = smallest_hashes(docs.where("lang is not null and text is not null").select("doc_id"), "doc_id", max_docs).distinct()
     sample = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     counted = sample.select("lang", "text").mapInPandas(_count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")).cache()
     try:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import NOT_SPACE, saved, words
+from ductwise.llm.common import NOT_SPACE, saved, smallest_hashes, words
 
 SYMBOLS = r"[#*$%&|<>]"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -113,7 +113,7 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 
     The sample is the sample_rows rows with the smallest hash of doc_id; it sets the order only.
     """
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
+    chosen = smallest_hashes(docs.select("doc_id"), "doc_id", sample_rows).distinct()
     sample = saved(statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")))
     n = max(1, sample.count())
     found = []

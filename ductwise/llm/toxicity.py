@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import small_batches
+from ductwise.llm.common import small_batches, smallest_hashes
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a word's beginning that are a feature of their own, for words that are longer.
@@ -54,12 +54,21 @@ class Chain:
 
 
 class Rows:
-    """Sparse 0/1 rows: the places of row i are at[begin[i]:begin[i + 1]]."""
+    """Sparse 0/1 rows: place at[i] is set in row of[i]."""
 
-    def __init__(self, rows: list[np.ndarray], width: int):
-        self.n, self.width = len(rows), width
-        self.at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-        self.of = np.repeat(np.arange(self.n), [len(r) for r in rows])
+    def __init__(self, at: np.ndarray, of: np.ndarray, n: int, width: int):
+        self.at, self.of, self.n, self.width = at, of, n, width
+
+    @classmethod
+    def of_lists(cls, rows: list[np.ndarray], width: int) -> Rows:
+        at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int32)
+        return cls(at, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), len(rows), width)
+
+    def only(self, places: np.ndarray) -> Rows:
+        """The columns of a mask, numbered anew."""
+        new = np.cumsum(places) - 1
+        left = places[self.at]
+        return Rows(new[self.at[left]].astype(np.int32), self.of[left], self.n, int(places.sum()))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, w[self.at], self.n)
@@ -77,7 +86,7 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_linear(x: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, l2: float = 1.0, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_linear(x: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, l2: float = 1.0, rounds: int = 120) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic regression with an L2 penalty by accelerated gradient steps over the rows of the mask `use`."""
     w, d, b = np.zeros(x.width), np.zeros(dense.shape[1]), 0.0
     share = np.clip(y[use].mean() if use.any() else 0.5, 1e-3, 1 - 1e-3)
@@ -114,7 +123,7 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs: int = 20_000, max_features: int = 4096, folds: int = 3, least_z: float = 3.0) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs: int = 8000, max_features: int = 4096, folds: int = 3, least_z: float = 3.0) -> Chain:
     """Learns the categories (name to SQL expression over the columns of `labels`, in the order of the chain).
 
     The classifier is fitted on at most max_docs labelled documents, those with the smallest hash of doc_id, whose hashed
@@ -123,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs
     """
     names = list(categories)
     flags = [F.max(F.expr(e).cast("int")).alias(c) for c, e in categories.items()]
-    chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(*flags).dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    chosen = smallest_hashes(labels.where("doc_id is not null").groupBy("doc_id").agg(*flags).dropna(), "doc_id", max_docs)
     small_batches(docs.sparkSession)
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = sample.mapInPandas(_featurise, ", ".join(["doc_id long", *(f"`{c}` int" for c in names), "words binary"])).toPandas()
@@ -131,10 +140,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs
     if rows.empty:
         return Chain({}, [Linear(c, -35.0, np.zeros(0), np.zeros(i), 0.5) for i, c in enumerate(names)])
     words = [np.frombuffer(w, "<u4") for w in rows["words"]]
-    vocab, at = np.unique(np.concatenate(words), return_inverse=True)
-    parts = np.split(at, np.cumsum([len(w) for w in words])[:-1])
-    full = Rows(parts, len(vocab))
-    seen, chosen_words = np.bincount(full.at, minlength=len(vocab)), np.zeros(len(vocab), bool)
+    flat, of = np.concatenate(words), np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+    vocab, seen = np.unique(flat, return_counts=True)
+    vocab, seen = vocab[seen > 1], seen[seen > 1]
+    at = np.minimum(np.searchsorted(vocab, flat), max(len(vocab) - 1, 0)).astype(np.int32)
+    there = vocab[at] == flat if len(vocab) else np.zeros(len(flat), bool)
+    full, chosen_words = Rows(at[there], of[there], len(words), len(vocab)), np.zeros(len(vocab), bool)
+    del words, flat, of, at, there
     for c in names:
         y = rows[c].to_numpy(np.float64)
         n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
@@ -144,9 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs
         z = off / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
         best = np.argsort(-z, kind="stable")[: max_features // len(names)]
         chosen_words[best[z[best] >= least_z]] = True
-    new = np.full(len(vocab), -1)
-    new[chosen_words] = np.arange(chosen_words.sum())
-    x = Rows([new[p][new[p] >= 0] for p in parts], int(chosen_words.sum()))
+    x = full.only(chosen_words)
     fold = np.array([zlib.crc32(str(d).encode()) % folds for d in rows["doc_id"]])
     dense, links = np.zeros((len(rows), 0)), []
     for c in names:
@@ -162,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs
 
 
 def _probabilities(chain: Chain, rows: list[np.ndarray]) -> list[np.ndarray]:
-    x, dense, out = Rows(rows, len(chain.features)), np.zeros((len(rows), 0)), []
+    x, dense, out = Rows.of_lists(rows, len(chain.features)), np.zeros((len(rows), 0)), []
     for link in chain.links:
         p = _sigmoid(x.dot(link.weights) + dense @ link.earlier + link.bias)
         out.append(p)
@@ -210,7 +220,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, reject: str = "toxic", max_docs: int = 20_000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, reject: str = "toxic", max_docs: int = 8000) -> DataFrame:
     """Rows of `docs`, with its columns, that are not in the category `reject`; rows with a null doc_id stay.
 
     A doc_id goes if any text under it is rejected.

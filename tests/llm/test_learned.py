@@ -52,7 +52,7 @@ def test_toxic_documents_are_found(spark, odd, none):
 def test_a_later_model_uses_the_earlier_one():
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 400).astype(float)
-    x = toxicity.Rows([np.array([0]) for _ in y], 1)
+    x = toxicity.Rows.of_lists([np.array([0]) for _ in y], 1)
     b, w, d = toxicity.fit_linear(x, np.column_stack([2 * y - 1]), y, np.ones(400, bool))
     p = toxicity._sigmoid(x.dot(w) + np.column_stack([2 * y - 1]) @ d + b)
     assert ((p > 0.5) == (y > 0.5)).all()
@@ -84,7 +84,8 @@ def test_probabilities_sum_to_one():
     v = maxent.Vocabulary.of([(b"", 4), (b"a", 9), (b"bb", 3), *((f"w{i}".encode(), 2) for i in range(40))], 200, 60)
     rng = np.random.default_rng(1)
     weights = rng.normal(size=(maxent.FEATURES, maxent.CLASSES))
-    logs = maxent._logs(weights[maxent.features(np.array([1, 2, 0]), np.array([3]))].sum(1))
+    f = maxent.features(np.array([1, 2, 0]), np.array([3]))
+    logs = np.stack([maxent.class_logs(weights, f, np.full(3, k)) for k in range(maxent.CLASSES)], 1)
     share = 10 ** v.in_class()[:-1]
     per_class = np.bincount(v.classes, share, maxent.CLASSES)
     assert np.allclose(per_class[per_class > 0], 1)
