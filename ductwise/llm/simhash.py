@@ -79,8 +79,8 @@ def choose_blocks(n: int, distance: int) -> int:
     return min(range(distance + 1, distance + 6), key=work)
 
 
-def _verify(names: list[str], distance: int):
-    """Edges among rows sorted by group: nodes of a group in the asked distance over all words of the fingerprint, without those that earlier edges of the group already connect."""
+def _verify(names: list[str], distance: int, within: int):
+    """Edges among rows sorted by group: nodes within `within` bits over all words and `distance` in one, without those that earlier edges of the group already connect."""
 
     def edges(group: np.ndarray, fps: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(group)
@@ -93,7 +93,9 @@ def _verify(names: list[str], distance: int):
             if not len(at):
                 break
             a, b = at, at + lag
-            near = (sum(np.bitwise_count(f[a] ^ f[b]).astype(np.int32) for f in fps) <= distance) & (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == 2))
+            apart = [np.bitwise_count(f[a] ^ f[b]) for f in fps]
+            near = (sum(x.astype(np.int32) for x in apart) <= within) & (np.minimum.reduce(apart) <= distance)
+            near &= (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == 2))
             a, b = a[near], b[near]
             if len(a):
                 found.append((a, b))
@@ -157,7 +159,7 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, within
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     rows = dealt.select(F.xxhash64("key", low, high).alias("g"), "node", *names, side.cast("int").alias("side"))
     small_batches(nodes.sparkSession, 20_000)
-    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_verify(names, distance if within is None else within), "a long, b long").distinct()
+    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_verify(names, distance, distance if within is None else within), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, blocks: int | None = None, words: int = 1, within: int | None = None) -> DataFrame:
