@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
-from ductwise.operators import catalog, compare, grid, network
+from ductwise.operators import catalog, compare, grid, network, shapes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -403,3 +403,11 @@ def q47_union_and_run_lists(spark, sf_dir):
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     rows = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).where("o_orderstatus = 'F'")
     return rows.select("o_orderkey", "c_name", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).drop("o_orderdate")
+
+
+@query
+def q48_convex_hulls(spark, sf_dir):
+    """Hull of the points of each nation; no SQL twin, tests hold the hull against its half planes."""
+    k = F.col("c_custkey")
+    hulls = shapes.convex_hulls(table(spark, sf_dir, "customer").select("c_nationkey", px(k).alias("x"), py(k).alias("y")), "c_nationkey")
+    return hulls.select("c_nationkey", F.size("hull").alias("n"), F.round(geo.ring_area(F.col("hull")), 3).alias("area"))
