@@ -70,13 +70,13 @@ def block_masks(blocks: int, distance: int) -> list[int]:
 
 
 def choose_blocks(n: int, distance: int) -> int:
-    """The number of blocks with the least work for n fingerprints: keys to deal out, about 2 microseconds each, and pairs that share a key by chance, about 10 nanoseconds each."""
+    """The number of blocks with the least work for n fingerprints: keys to deal out, about 2 microseconds each, and pairs that share a key by chance, about 10 nanoseconds each. Two blocks at least agree, so that few fingerprints and many are dealt out alike."""
 
     def work(blocks: int) -> float:
         tables = math.comb(blocks, distance)
         return tables * n * (2e-6 + n / 2 ** (BITS * (blocks - distance) / blocks) / 2 * 1e-8)
 
-    return min(range(distance + 1, distance + 6), key=work)
+    return min(range(distance + 2, distance + 6), key=work)
 
 
 def _verify(names: list[str], distance: int, within: int):
