@@ -24,7 +24,7 @@ from ductwise.llm.common import new_folder, scratch, small_batches, stored, toke
 #: Ids that a block holds before the next one begins.
 BLOCK_IDS = 1 << 18
 #: For each control byte, the data bytes of its four codes.
-_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
 
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -40,29 +40,43 @@ def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
         data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
     padded = np.zeros(-(-len(r) // 4) * 4, np.uint8)
     padded[: len(r)] = code
-    return (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes(), data.tobytes()
+    control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    return control.tobytes(), data.tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks of `encode`, by table lookup of the lengths and offsets."""
     lens = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    starts = np.cumsum(lens) - lens
+    starts = np.cumsum(lens, dtype=np.int64)
+    starts -= lens
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = raw[starts].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(lens.max(initial=1))):
         more = np.flatnonzero(lens > k)
         out[more] |= raw[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
 def _tokenise(path: str, end_id: int):
+    """Ids of each document, and last for the partition a row with seq -1 that holds how often it has each id."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, end, seq, shard = tokenizer(path, "byte"), np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
+        total = np.zeros(0, np.int64)
         for b in batches:
-            ids = [np.frombuffer(tok.ids(t) + end, "<u4") for t in b["text"]]
-            raw = [(x.astype("<u2") if int(x.max()) < 1 << 16 else x).tobytes() for x in ids]
-            yield pd.DataFrame({"shard": shard, "seq": np.arange(seq, seq + len(b)), "doc_id": b["doc_id"].astype("Int64"), "n": [len(x) for x in ids], "ids": raw})
+            raw = [tok.ids(t) + end for t in b["text"]]
+            n = [len(x) // 4 for x in raw]
+            ids = np.frombuffer(b"".join(raw), "<u4")
+            c = np.bincount(ids)
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[: len(c)] += c
+            if len(total) <= 1 << 16:
+                short, at = ids.astype("<u2").tobytes(), np.append(0, np.cumsum(n) * 2).tolist()
+                raw = [short[i:j] for i, j in zip(at, at[1:])]
+            yield pd.DataFrame({"shard": shard, "seq": np.arange(seq, seq + len(b)), "doc_id": b["doc_id"].astype("Int64"), "n": n, "ids": raw})
             seq += len(b)
+        yield pd.DataFrame({"shard": [shard], "seq": [-1], "doc_id": pd.array([None], "Int64"), "n": [0], "ids": [total.astype("<i8").tobytes()]})
 
     return run
 
@@ -76,14 +90,11 @@ def _wide_all(raw: list[bytes], n: list[int]) -> np.ndarray:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
     for b in batches:
-        c = np.bincount(_wide_all(b["ids"], b["n"]))
-        if len(c) > len(total):
-            total = np.pad(total, (0, len(c) - len(total)))
-        total[: len(c)] += c
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"id": at, "n": total[at]})
+        for raw in b["ids"]:
+            n = np.frombuffer(raw, "<i8")
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"id": at, "n": n[at]})
 
 
 def _blocks(rank_of: np.ndarray):
@@ -120,12 +131,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shards:
     ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     with scratch(spark) as raw:
         ids = stored(ordered.mapInPandas(_tokenise(tokenizer_path, end_id), "shard int, seq long, doc_id long, n int, ids binary"), raw)
-        counted = ids.select("n", "ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
+        counted = ids.where("seq = -1").select("ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
         order = np.array([r["id"] for r in counted], np.int64)
         spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
         rank_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
         rank_of[order] = np.arange(len(order), dtype=np.uint32)
-        blocks = ids.mapInPandas(_blocks(rank_of), "shard int, first_seq long, doc_ids array<long>, counts array<int>, control binary, data binary")
+        blocks = ids.where("seq >= 0").mapInPandas(_blocks(rank_of), "shard int, first_seq long, doc_ids array<long>, counts array<int>, control binary, data binary")
         blocks.sortWithinPartitions("shard", "first_seq").write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/tokens")
     return path
 
