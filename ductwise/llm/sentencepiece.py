@@ -123,12 +123,16 @@ def fold(unit: Column, edges: Column) -> Column:
     return F.element_at(F.transform(F.array(cuts), ids), 1)
 
 
-def encoded_words(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, ids) of every different word: ids of all its occurrences, n of them."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")  # as large as the model
+def different_words(docs: DataFrame) -> DataFrame:
+    """(unit, n) of every different word and how often it occurs."""
     marked = F.translate(F.concat(F.lit(" "), F.col("text")), " ", SPACE)
-    words = docs.where("text <> ''").select(F.explode(F.regexp_extract_all(marked, F.lit(_UNITS), F.lit(0))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    return docs.where("text <> ''").select(F.explode(F.regexp_extract_all(marked, F.lit(_UNITS), F.lit(0))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+
+
+def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n, ids) of a stored table of words; it is read for the lattice and for the long words."""
+    spark = words.sparkSession
+    table = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")  # as large as the model
     longest = max(map(len, pieces.table))
     short = words.where(F.length("unit") <= LONG)
     folded = short.join(lattice(short.select("unit"), table, longest), "unit", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(map() as map<int, struct<id int, score double>>)")))
@@ -155,7 +159,7 @@ def encode(docs: DataFrame, pieces: Pieces, most: int = 1 << 17) -> DataFrame:
     docs = docs.select("doc_id", "text")
 
     with scratch(spark) as path:
-        words = stored(encoded_words(docs, pieces), f"{path}/words")
+        words = stored(encoded_words(stored(different_words(docs), f"{path}/counts"), pieces), f"{path}/words")
         total = words.agg(F.sum("n")).first()[0] or 0
         top = frequent(words.select(F.col("unit").cast("binary").alias("word"), F.col("n").alias("c")), most, total)
         least = min((c for _, c in top), default=1)
