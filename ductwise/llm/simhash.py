@@ -8,7 +8,7 @@ fingerprints, so that a key holds few unrelated ones at any size; the links foun
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,24 +23,29 @@ from ductwise.llm.components import components
 BITS = 64
 #: Fingerprints of one key that are compared in one place; a larger key is dealt out as pairs of chunks of half as many.
 GROUP = 4096
+#: Shingles of one group of texts that are compared in one place.
+SHINGLES = 1 << 22
 
 
-def fingerprint(text: str | None, width: int = 4, words: int = 1, seed: int = 42, block: int = 1 << 16) -> tuple[int, ...]:
-    """SimHash of the lower-cased word shingles of a whole text, repeats counted; 0 without words.
-
-    `words` numbers of 64 bits: the first from the shingles' hash itself, further ones from that hash mixed again.
-    """
+def _shingles(text: str | None, width: int, seed: int = 42, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Hashes of the lower-cased word shingles of a whole text, repeats included; a text of fewer words is one shingle."""
     split = to_bytes(text).lower().split()
     if not split:
-        return (0,) * words
+        return
     joined, lens = b" ".join(split), np.fromiter(map(len, split), np.int64, len(split))
     ends = np.cumsum(lens + 1) - 1
     starts, n = ends - lens, max(1, len(split) - width + 1)
     ends = ends[width - 1 :] if len(split) >= width else ends[-1:]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros((words, BITS), np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, block):
         pairs = zip(starts[at : min(n, at + block)].tolist(), ends[at : at + block].tolist(), strict=True)
-        h = np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64)
+        yield np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64)
+
+
+def _majority(hashes: Iterable[np.ndarray], words: int) -> tuple[int, ...]:
+    ones, n = np.zeros((words, BITS), np.int64), 0
+    for h in hashes:
+        n += len(h)
         for k in range(words):
             ones[k] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +53,19 @@ def fingerprint(text: str | None, width: int = 4, words: int = 1, seed: int = 42
     return tuple(sum(1 << int(i) for i in np.flatnonzero(2 * x > n)) for x in ones)
 
 
+def fingerprint(text: str | None, width: int = 4, words: int = 1, seed: int = 42, block: int = 1 << 16) -> tuple[int, ...]:
+    """SimHash of the lower-cased word shingles of a whole text, repeats counted; 0 without words.
+
+    `words` numbers of 64 bits: the first from the shingles' hash itself, further ones from that hash mixed again.
+    """
+    return _majority(_shingles(text, width, seed, block), words)
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The different shingle hashes of a whole text in order."""
+    return np.unique(np.concatenate([*_shingles(text, width), np.zeros(0, np.uint64)])).astype("<u8")
+
+
 def fingerprints(docs: DataFrame, width: int = 4, words: int = 1) -> DataFrame:
     """(doc_id, f0 long, f1 long ...) of every row; null and empty texts have fingerprint 0."""
     names = [f"f{k}" for k in range(words)]
@@ -79,6 +97,23 @@ def choose_blocks(n: int, distance: int) -> int:
     return min(range(distance + 2, distance + 6), key=work)
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by g, joined and cut again so that no group is in two."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        g = b["g"].to_numpy()
+        if not len(g):
+            continue
+        cut = int(np.searchsorted(g, g[-1])) if (g[1:] >= g[:-1]).all() else int(np.flatnonzero(g != g[-1])[-1]) + 1
+        if cut or (held and held[-1]["g"].iloc[-1] != g[-1]):
+            yield pd.concat([*held, b.iloc[:cut]])
+            held = [b.iloc[cut:]]
+        else:
+            held.append(b)
+    if held:
+        yield pd.concat(held)
+
+
 def _verify(names: list[str], distance: int, within: int):
     """Edges among rows sorted by group: nodes within `within` bits over all words and `distance` in one, without those that earlier edges of the group already connect."""
 
@@ -115,34 +150,20 @@ def _verify(names: list[str], distance: int, within: int):
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def out(b: pd.DataFrame) -> pd.DataFrame:
+        for b in _whole_groups(batches):
             x, y = edges(b["g"].to_numpy(), [b[n].to_numpy().view(np.uint64) for n in names], b["side"].to_numpy())
             node = b["node"].to_numpy()
-            return pd.DataFrame({"a": node[x], "b": node[y]})
-
-        for b in batches:
-            g = b["g"].to_numpy()
-            if not len(g):
-                continue
-            cut = int(np.searchsorted(g, g[-1])) if (g[1:] >= g[:-1]).all() else int(np.flatnonzero(g != g[-1])[-1]) + 1
-            if cut:
-                yield out(pd.concat([*held, b.iloc[:cut]]))
-                held = [b.iloc[cut:]]
-            else:
-                held.append(b)
-        if held:
-            yield out(pd.concat(held))
+            yield pd.DataFrame({"a": node[x], "b": node[y]})
 
     return run
 
 
-def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, within: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, within: int | None = None, closest: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes (node long, f0 long, f1 long ...; no two with the same fingerprint).
 
     Two nodes link if their fingerprints differ in at most `within` bits over all words (default: distance) and in at most
-    `distance` bits in one of them. Not every such pair is listed, but every one is connected by listed edges: within a key,
+    `closest` bits in one of them (default: distance). With a larger `closest`, nodes more than `distance` apart in every
+    word link if they share a key all the same, as most that are little further apart do. Not every such pair is listed, but every one is connected by listed edges: within a key,
     pairs that are connected already are left out. A key of more than GROUP nodes is compared as pairs of chunks, so no
     task holds it whole.
     """
@@ -159,7 +180,7 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, within
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     rows = dealt.select(F.xxhash64("key", low, high).alias("g"), "node", *names, side.cast("int").alias("side"))
     small_batches(nodes.sparkSession, 20_000)
-    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_verify(names, distance, distance if within is None else within), "a long, b long").distinct()
+    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_verify(names, distance if closest is None else closest, distance if within is None else within), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, blocks: int | None = None, words: int = 1, within: int | None = None) -> DataFrame:
@@ -178,12 +199,86 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, blocks:
     return fps.join(named.join(least, "root").select(*names, "component_id"), names).select("doc_id", *names, "component_id")
 
 
-def keep_first(docs: DataFrame, distance: int = 10, width: int = 5, words: int = 2, within: int = 24) -> DataFrame:
-    """Rows of `docs`, with all its columns, whose doc_id names its own component: one document of each group.
+def _alike(names: list[str], within: int, least: float):
+    """Edges among rows sorted by group: nodes whose shingle sets have a Jaccard similarity of `least` or more, of those within `within` bits, without pairs that earlier edges of the group already connect."""
+
+    def edges(b: pd.DataFrame) -> tuple[list[int], list[int]]:
+        fps, side = [b[n].to_numpy().view(np.uint64) for n in names], b["side"].to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in b["shingles"]]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        start, mark = np.cumsum(size) - size, np.zeros(len(values), bool)
+        label, x, y = np.arange(len(sets)), [], []
+        for i in range(len(sets) - 1):
+            j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            j = j[((side[j] != side[i]) | (side[j] == 2)) & (np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]) - 1e-9)]
+            j = j[sum(np.bitwise_count(f[j] ^ f[i]).astype(np.int32) for f in fps) <= within]
+            if not len(j):
+                continue
+            mark[code[start[i] : start[i] + size[i]]] = True
+            first = np.cumsum(size[j]) - size[j]
+            both = np.add.reduceat(mark[code[np.repeat(start[j] - first, size[j]) + np.arange(size[j].sum())]], first, dtype=np.int64)
+            mark[code[start[i] : start[i] + size[i]]] = False
+            j = j[both >= least * (size[j] + size[i] - both) - 1e-9]
+            if len(j):
+                x += [i] * len(j)
+                y += j.tolist()
+                label[np.isin(label, label[j])] = label[i]
+        return x, y
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in _whole_groups(batches):
+            for _, b in whole.groupby("g", sort=False):
+                node, (x, y) = b["node"].to_numpy(), edges(b)
+                yield pd.DataFrame({"a": node[x], "b": node[y]})
+
+    return run
+
 
-    By default texts whose five-word shingles are alike to 0.8 or more: at that similarity fingerprints of 128 bits differ
-    in 18 bits on average and in more than 24 seldom, while unrelated texts differ in 64; one of the two halves is then
-    within 10 bits in nine of ten cases, and always where the texts are closer.
+def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: int = 10, words: int = 2, within: int = 32) -> DataFrame:
+    """(doc_id, component_id) of every document with a doc_id; links join texts whose sets of shingles have a Jaccard similarity of `least`.
+
+    Fingerprints only search: those that share a key and are at most `within` bits apart make candidate groups, and in
+    each group the sets of hashed shingles decide. At a similarity of 0.8, fingerprints of 128 bits, here of the set,
+    differ in 19 bits on average and in more than 32 in one case of a thousand, while unrelated texts differ in 64. Texts of
+    one set count as one node. A group of more than GROUP nodes, or of very long texts, is compared as pairs of chunks.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), distance, width, None, words, within).where("doc_id = component_id").select("doc_id").distinct()
+    names = [f"f{k}" for k in range(words)]
+
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t, width) for t in b["text"]]
+            found = np.array([_majority([s[i : i + (1 << 16)] for i in range(0, len(s), 1 << 16)], words) for s in sets], np.uint64).reshape(len(b), words).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "tx": b["tx"], "node": node, "size": [len(s) for s in sets], **{n: found[:, k] for k, n in enumerate(names)}})
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(shingles=[shingle_set(t, width).tobytes() for t in b["text"]]).drop(columns="text")
+
+    small_batches(docs.sparkSession)
+    texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("tx"))
+    fps = saved(texts.mapInPandas(prints, ", ".join(["doc_id long, tx long, node long, size long", *(f"{n} long" for n in names)])))
+    nodes = saved(fps.groupBy("node").agg(F.min(F.struct("doc_id", "tx")).alias("one"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in names)))
+    near = saved(components(links(nodes.select("node", *names), distance, None, within, BITS)))
+    chunks = near.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    chunks = chunks.select("root", F.when((F.col("n") <= GROUP) & (F.col("m") <= SHINGLES), 1).otherwise(F.greatest(F.ceil(F.col("n") / (GROUP // 2)), F.ceil(F.col("m") / (SHINGLES // 2)))).cast("int").alias("c"))
+    wanted = near.join(nodes, "node").join(chunks, "root").select("root", "node", "c", *names, "one.doc_id", "one.tx")
+    held = texts.join(wanted, ["doc_id", "tx"]).dropDuplicates(["doc_id", "tx"]).select("root", "node", "c", *names, "text")
+    small_batches(docs.sparkSession)
+    held = held.mapInPandas(sets_of, ", ".join(["root long, node long, c int", *(f"{n} long" for n in names), "shingles binary"]))
+    mine, other = F.pmod(F.xxhash64("node", F.lit(7)), F.col("c")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("c") - 1))
+    dealt = held.withColumn("mine", mine).withColumn("other", other)
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    rows = dealt.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "node", *names, side.cast("int").alias("side"), "shingles")
+    found = rows.repartition("g").sortWithinPartitions("g").mapInPandas(_alike(names, within, least), "a long, b long")
+    roots = components(found).select("node", "root")
+    named = nodes.select("node", F.col("one.doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fps.select("doc_id", "node").join(named.join(first, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """Rows of `docs`, with all its columns, whose doc_id names its own component of `near_copies`: one document of each group."""
+    kept = near_copies(docs.select("doc_id", "text"), least, width).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
