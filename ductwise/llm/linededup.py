@@ -3,7 +3,8 @@
 Repeated passages rarely begin or end with a line, so the hashed unit is a window of K words rather than a whole line, with
 line breaks read as any white space. Of every WINDOW neighbouring hashes the smallest is a fingerprint, so a run of
 K + WINDOW - 1 = 50 words that two documents share has a fingerprint that both select. Each fingerprint is joined to its
-first occurrence only, never to all others, so a passage in a third of the documents costs one row for each of them.
+first occurrence only, never to all others, so a passage in a third of the documents costs one row for each of them. The same
+holds for fingerprints with the words around them, which say how far a match goes on beyond its outermost fingerprints.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import saved, scratch, small_batches, stored, to_bytes
+from ductwise.llm.common import remove, saved, scratch, small_batches, stored, to_bytes
 
 K, WINDOW = 26, 25
 #: A matched run can go on past its outermost fingerprints by fewer words than this.
@@ -89,10 +90,12 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": np.concatenate([*h, np.zeros(0, np.uint64)]).view(np.int64), "doc_id": np.repeat(b["doc_id"].to_numpy(), n), "tx": np.repeat(b["tx"].to_numpy(), n), "pos": np.concatenate([*pos, np.zeros(0, np.int64)])})
 
 
-def _context(h: np.ndarray, at: int, left: bool) -> bytes:
-    """Hashes of up to REACH words before or after a position, nearest first, four bytes each."""
-    near = h[max(0, at - REACH) : at][::-1] if left else h[at : at + REACH]
-    return near.astype("<u4").tobytes()
+def _extensions(h: np.ndarray, at: int, print_: int, left: bool) -> list[int]:
+    """Hashes of a fingerprint with the 1, 2 ... REACH words before or after it, as far as the text goes."""
+    near = h[max(0, at - REACH) : at][::-1] if left else h[at + K : at + K + REACH]
+    x = np.cumsum(near * _power(REACH)[0][: len(near)]) + np.uint64(print_ % 2**64) * _INVERSE
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 if left else 0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(29))).view(np.int64).tolist()
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,27 +103,18 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc, tx, text, wanted in zip(b["doc_id"], b["tx"], b["text"], b["wanted"], strict=True):
             h = word_hashes(text)
-            out += [(doc, tx, int(r["at"]), bool(r["left"]), _context(h, int(r["at"]), bool(r["left"]))) for r in wanted]
-        yield pd.DataFrame(out, columns=["cdoc", "ctx", "at", "left", "near"])
-
-
-def _common(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    n = min(len(x), len(y))
-    off = np.flatnonzero(x[:n] != y[:n])
-    return int(off[0]) if len(off) else n
+            out += [(doc, tx, int(r["pos"]), left, _extensions(h, int(r["pos"]), int(r["h"]), left)) for r in wanted for left in (True, False)]
+        yield pd.DataFrame(out, columns=["doc_id", "tx", "pos", "left", "keys"])
 
 
 def cut(text: str, spans: list[dict], least: int) -> tuple[str, int]:
-    """The text without the extended spans of at least `least` words, and how many words those had."""
+    """The text without the spans of at least `least` words, and how many words those had."""
     raw = text.encode("utf-8", "surrogatepass")
     h, gone, at = word_hashes(text), 0, 0
     keep = np.ones(len(h), bool)
     for s in spans:
-        low = s["s"] - _common(s["before"] or b"", _context(h, s["s"], True))
-        high = s["e"] + _common(s["after"] or b"", _context(h, s["e"], False))
-        if high - low >= least:
-            keep[low:high] = False
+        if s["e"] - s["s"] >= least:
+            keep[s["s"] : s["e"]] = False
     if keep.all():
         return text, 0
     lens = np.fromiter(map(len, raw.split()), np.int64, len(h))
@@ -138,9 +132,11 @@ def cut(text: str, spans: list[dict], least: int) -> tuple[str, int]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tx, spans) of documents with words that an earlier document holds too.
 
-    A span is [s, e) in words; every K-word fingerprint in it has its first occurrence in an earlier document. `before` and
-    `after` are what surrounds that occurrence, to extend the match with. Documents are in order of (doc_id, tx), tx being
-    the hash of the text, so rows that share an id but not a text are different documents and equal rows are one.
+    A span is [s, e) in words: neighbouring K-word fingerprints that have their first occurrence in an earlier document, and
+    the words on both sides that some earlier document has beside one of them too. For that, each fingerprint near an end
+    of the run is hashed with 1, 2 ... REACH further words, and each such hash is joined to its own first occurrence, so
+    the document with the longest match decides and not the first with the fingerprint. Documents are in order of (doc_id,
+    tx), tx being the hash of the text, so rows that share an id but not a text are different documents and equal rows are one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -152,16 +148,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         by_doc = W.partitionBy("doc_id", "tx").orderBy("pos")
         fresh = F.when(F.col("pos") <= F.lag("pos").over(by_doc) + K, 0).otherwise(1)
         runs = found.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_doc))
-        runs = saved(runs.groupBy("doc_id", "tx", "run").agg(F.min("pos").alias("s"), (F.max("pos") + K).alias("e"), F.min_by("c", "pos").alias("low"), F.max_by("c", "pos").alias("high")))
-    sides = runs.select(F.explode(F.array(F.struct(F.col("low.doc_id").alias("cdoc"), F.col("low.tx").alias("ctx"), F.col("low.pos").alias("at"), F.lit(True).alias("left")), F.struct(F.col("high.doc_id").alias("cdoc"), F.col("high.tx").alias("ctx"), (F.col("high.pos") + K).alias("at"), F.lit(False).alias("left")))).alias("x")).select("x.*")
-    wanted = sides.distinct().groupBy(F.col("cdoc").alias("doc_id"), F.col("ctx").alias("tx")).agg(F.collect_list(F.struct("at", "left")).alias("wanted"))
-    near = texts.join(wanted, ["doc_id", "tx"]).dropDuplicates(["doc_id", "tx"]).mapInPandas(_contexts, "cdoc long, ctx long, at int, left boolean, near binary")
-    near = saved(near)
-    before = near.where("left").select(F.col("cdoc").alias("low_doc"), F.col("ctx").alias("low_tx"), F.col("at").alias("low_at"), F.col("near").alias("before"))
-    after = near.where("not left").select(F.col("cdoc").alias("high_doc"), F.col("ctx").alias("high_tx"), F.col("at").alias("high_at"), F.col("near").alias("after"))
-    flat = runs.select("doc_id", "tx", "s", "e", F.col("low.doc_id").alias("low_doc"), F.col("low.tx").alias("low_tx"), F.col("low.pos").alias("low_at"), F.col("high.doc_id").alias("high_doc"), F.col("high.tx").alias("high_tx"), (F.col("high.pos") + K).alias("high_at"))
-    flat = flat.join(before, ["low_doc", "low_tx", "low_at"], "left").join(after, ["high_doc", "high_tx", "high_at"], "left")
-    return flat.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("s", "e", "before", "after")).alias("spans"))
+        run = W.partitionBy("doc_id", "tx", "run")
+        placed = saved(runs.select("doc_id", "tx", "run", "h", "pos", F.min("pos").over(run).alias("s"), (F.max("pos").over(run) + K).alias("e")))
+        ends = placed.where((F.col("pos") <= F.col("s") + REACH) | (F.col("pos") + K >= F.col("e") - REACH))
+        wanted = prints.join(ends.select("h").distinct(), "h", "left_semi").groupBy("doc_id", "tx").agg(F.collect_set(F.struct("pos", "h")).alias("wanted"))
+        near = texts.join(wanted, ["doc_id", "tx"]).dropDuplicates(["doc_id", "tx"]).mapInPandas(_contexts, "doc_id long, tx long, pos int, left boolean, keys array<long>")
+        near = stored(near, f"{path}-near")
+        longer = near.select("doc_id", "tx", "pos", "left", F.posexplode("keys").alias("more", "key"))
+        first = longer.groupBy("key").agg(F.min(F.struct("doc_id", "tx")).alias("c"), F.max(F.struct("doc_id", "tx")).alias("top")).where("c.doc_id < top.doc_id or c.tx < top.tx")
+        longer = longer.join(first.select("key", "c"), "key").where("doc_id > c.doc_id or (doc_id = c.doc_id and tx > c.tx)")
+        more = longer.groupBy("doc_id", "tx", "pos").agg(*[F.max(F.when(side, F.col("more") + 1)).alias(n) for side, n in ((F.col("left"), "l"), (~F.col("left"), "r"))])
+        spans = placed.join(more, ["doc_id", "tx", "pos"], "left").groupBy("doc_id", "tx", "run").agg(F.min(F.col("pos") - F.coalesce("l", F.lit(0))).alias("s"), F.max(F.col("pos") + K + F.coalesce("r", F.lit(0))).alias("e"))
+        spans = saved(spans.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+        remove(spark, f"{path}-near")
+    return spans
 
 
 def remove_repeats(docs: DataFrame, least: int = K + WINDOW - 1, removed: str | None = None) -> DataFrame:
