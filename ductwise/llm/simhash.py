@@ -279,6 +279,6 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: i
 
 
 def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """Rows of `docs`, with all its columns, whose doc_id names its own component of `near_copies`: one document of each group."""
+    """Rows of `docs`, with all its columns, whose doc_id names its own component of `near_copies`: one document of each group. Every row with a null doc_id stays, as a document of its own."""
     kept = near_copies(docs.select("doc_id", "text"), least, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

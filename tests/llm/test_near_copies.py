@@ -59,3 +59,9 @@ def test_one_fingerprint_is_not_one_text(spark):
     texts = [f"{same} one two three four five", f"{same} six seven eight nine ten"]
     assert simhash.fingerprint(texts[0], 5, 2) == simhash.fingerprint(texts[1], 5, 2) and jaccard(*texts) < 0.5
     assert kept(spark, texts) == {0, 1}
+
+
+def test_rows_with_a_null_doc_id_stay(spark):
+    rows = [(None, "only here"), (1, "one two three four five"), (2, "one two three four five"), (None, "one two three four five"), (None, None)]
+    out = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [rows[0], rows[1], rows[3], rows[4]]))
