@@ -24,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share. A temporary one only where none is set and everything runs in one process."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        set_already = spark.sparkContext.getCheckpointDir()
-        found = set_already or tempfile.mkdtemp(prefix="ductwise-")
-        if not set_already:
-            spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="ductwise-")
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -65,9 +65,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of text to a Python batch, so that very long texts do not add up to very large batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores after each as it takes for df to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
 
 
 def smallest_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
@@ -109,7 +115,8 @@ class CachedTokenizer:
     """Ids of whole texts by the tokenizers library, each pre-token looked up once.
 
     A text is cut only where the tokenizer's own pattern cuts it, so the ids of the pieces are the ids of the text. kind is
-    "byte" (byte-level pattern that keeps white space) or "word" (white space dropped, lower case). At most `entries`
+    "byte" (byte-level pattern that keeps white space) or "word" (white space dropped, lower case). Texts with the string of a
+    special token are left to the library as a whole. At most `entries`
     pieces are kept in a generation of the cache; then a new one begins, and what is still used moves to it.
     """
 
@@ -120,7 +127,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)", re.IGNORECASE).search
         self.kind, self.entries, self.cache, self.older = kind, entries, {}, {}
         self.find, self.plain = re.compile(f"{_PLAIN[kind]}|{_OTHER[kind]}").findall, re.compile(_PLAIN[kind]).fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -138,6 +146,8 @@ class CachedTokenizer:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
+        if self.special(text):  # the library cuts these out first
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         units = self.find(text)
         out = list(map(self.cache.get, units))
         if None in out:

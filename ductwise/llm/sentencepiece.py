@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding through a relational lattice of words and pieces.
 
-Each different word of the corpus (a run of spaces and what follows up to the next) is exploded into its substrings up to the
-longest piece, and those are joined to the piece table. The edges of a word come together by word, and a Spark higher-order
-aggregate folds them to its pieces. The scores of a byte-pair model are merge ranks: the best sum of them, a Viterbi fold,
-does not give the model's own pieces (it cuts "and" in two), so the fold here replays the merges, best rank first.
-
-Words longer than LONG are merged by a heap in Python instead, by the same ranks, as a fold of arrays takes the square of the
-length. Characters without a piece become byte pieces.
+The most frequent words of the corpus (a word is a run of spaces and what follows up to the next) are exploded into their
+substrings up to the longest piece, and those are joined to the piece table. The edges of a word come together by word, and a
+Spark higher-order aggregate folds them to its pieces. The scores of a byte-pair model are merge ranks, and the best sum of
+them, a Viterbi fold, is not the model's own cut of seven in ten different words. So the fold here runs over the edges by
+rank and keeps a bit for every cut: an edge takes out the only cut inside it, and after each the best edge is looked for anew.
+
+A corpus has new words without end, and bringing the ids of each rare one back to its texts would move more bytes than the texts
+have. Words beyond the most frequent ones, and those too long for a mask of cuts, are therefore merged where they stand,
+by the same ranks with a heap. Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
@@ -14,21 +16,23 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import saved, scratch, small_batches, stored
+from ductwise.llm.common import scratch, stored
 
 SPACE = "▁"
-LONG = 48
-_UNITS = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-_FIND = re.compile(_UNITS).findall
+#: Characters of a word whose cuts have a bit each in a long.
+LONG = 62
+_FIND = re.compile(" *[^ ]+| +").findall
+#: Different words that are counted, or remembered with their ids, at once.
+_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -88,7 +92,8 @@ class Pieces:
 
 
 def units(text: str | None) -> list[str]:
-    return _FIND((" " + text).replace(" ", SPACE)) if text else []
+    """Words of a text with the spaces before them; the model puts a space first and takes its mark for one."""
+    return _FIND(f" {text}".replace(SPACE, " ")) if text else []
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -96,108 +101,128 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): for each word a map from start * 1000 + length to the (id, score) of the piece there."""
+    """(unit, edges): for each word the pieces of two characters and more in it, best rank first.
+
+    An edge is one long: the rank of its piece above 12 bits, then its start and its length with 6 bits each. The words are
+    dealt out by unit once, and explode, join and grouping keep them where they are.
+    """
     n = F.length("unit")
-    starts = words.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    cut = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("len"))
-    edges = cut.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("len"))).join(F.broadcast(pieces), "piece")
-    return edges.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct((F.col("start") * 1000 + F.col("len")).alias("at"), F.struct("id", "score").alias("piece")))).alias("edges"))
+    starts = words.select("unit", F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).alias("start"))
+    cut = starts.select("unit", "start", F.explode(F.sequence(F.lit(2), F.greatest(F.least(F.lit(longest), n - F.col("start")), F.lit(2)))).alias("len"))
+    edges = cut.select("unit", "start", "len", F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece")).join(F.broadcast(pieces), "piece")
+    edge = F.col("rank") * 4096 + F.col("start") * 64 + F.col("len")
+    return edges.where(F.length("piece") == F.col("len")).groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def fold(unit: Column, edges: Column) -> Column:
-    """Ids of a word from its lattice; a character without a piece as minus its code point minus one.
+    """The cuts of a word as the bits of a long, from its edges by rank; bit 0 is its beginning.
 
-    The state is the list of cuts. A step takes out the cut between the two neighbours whose union has the best score.
+    Each round takes the best edge that begins and ends at a cut and has one cut inside, and takes that one out.
     """
-    n = F.length(unit)
-    at = lambda cuts, i, k: F.try_element_at(edges, F.get(cuts, i) * 1000 + F.get(cuts, i + k) - F.get(cuts, i))
+    one = F.lit(1).cast("long")
+    shift = lambda x, by: F.call_function("shiftleft", x, by)
+    whole = shift(one, F.length(unit) + 1) - 1
+
+    def masks(e: Column) -> Column:
+        start, length = F.shiftright(e, 6).bitwiseAND(F.lit(63)).cast("int"), e.bitwiseAND(F.lit(63)).cast("int")
+        begin = shift(one, start)
+        end = shift(begin, length)
+        return F.struct((end - begin * 2).alias("inside"), (begin + end).alias("ends"))
 
-    def step(cuts: Column, _: Column) -> Column:
-        pairs = F.transform(F.slice(cuts, 1, F.greatest(F.size(cuts) - 2, F.lit(0))), lambda c, i: F.struct(at(cuts, i, 2).score.alias("score"), (-i).alias("i")))
-        best = F.array_max(F.filter(pairs, lambda p: p.score.isNotNull()))
-        return F.element_at(F.transform(F.array(best), lambda b: F.when(b.isNull(), cuts).otherwise(F.filter(cuts, lambda c, j: j != 1 - b.i))), 1)
+    def step(cuts: Column, e: Column) -> Column:
+        inside = cuts.bitwiseAND(e["inside"])
+        ready = (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(inside) == 1)
+        return F.when(ready, inside).otherwise(F.lit(0).cast("long"))
 
-    cuts = F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
-    char = lambda c: -F.ascii(F.substring(unit, c + 1, F.lit(1))) - 1
-    ids = lambda cuts: F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda c, i: F.coalesce(at(cuts, i, 1).id, char(c)))
-    return F.element_at(F.transform(F.array(cuts), ids), 1)
+    def best(cuts: Column, edges: Column) -> Column:
+        """The cut that the best edge takes out, 0 if none does."""
+        return F.aggregate(edges, F.lit(0).cast("long"), lambda found, e: F.when(found != 0, found).otherwise(step(cuts, e)))
+
+    rounds = lambda edges: F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(unit) - 1, F.lit(1))), whole, lambda cuts, _: cuts - best(cuts, edges))
+    return F.element_at(F.transform(F.array(F.transform(edges, masks)), rounds), 1)
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts: Counter = Counter()
+    frame = lambda: pd.DataFrame(list(counts.items()), columns=["unit", "n"])
+    for b in batches:
+        for t in b["text"]:
+            counts.update(units(t))
+            if len(counts) > _WORDS:
+                yield frame()
+                counts.clear()
+    yield frame()
 
 
 def different_words(docs: DataFrame) -> DataFrame:
-    """(unit, n) of every different word and how often it occurs."""
-    marked = F.translate(F.concat(F.lit(" "), F.col("text")), " ", SPACE)
-    return docs.where("text <> ''").select(F.explode(F.regexp_extract_all(marked, F.lit(_UNITS), F.lit(0))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    """(unit, n) of every different word, with plain spaces, and how often it occurs."""
+    return docs.where("text <> ''").select("text").mapInPandas(_count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words at or over the lowest count that at most `most` of them reach; the count is found by a few passes of counters."""
+    low, high = 1, (words.agg(F.sum("n")).first()[0] or 0) // max(most, 1) + 2  # no more than `most` words reach the upper end
+    while low < high:
+        marks = sorted({low + (high - low) * i // 32 for i in range(32)})
+        over = words.agg(*[F.count_if(F.col("n") >= m).alias(str(m)) for m in marks]).first()
+        first = next((i for i, m in enumerate(marks) if over[str(m)] <= most), len(marks))
+        high = marks[first] if first < len(marks) else high
+        low = marks[first - 1] + 1 if first else high
+    return words.where(F.col("n") >= high)
 
 
 def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, ids) of a stored table of words; it is read for the lattice and for the long words."""
-    spark = words.sparkSession
-    table = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")  # as large as the model
-    longest = max(map(len, pieces.table))
-    short = words.where(F.length("unit") <= LONG)
-    folded = short.join(lattice(short.select("unit"), table, longest), "unit", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(map() as map<int, struct<id int, score double>>)")))
-    folded = folded.select("unit", "n", fold(F.col("unit"), F.col("edges")).alias("ids"))
-
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"unit": b["unit"], "n": b["n"], "ids": [pieces.merge(u) for u in b["unit"]]})
+    """(unit, cuts) of the words of up to LONG characters, through the lattice; words without an edge are left out."""
+    ranked = sorted((p for p in pieces.table if len(p) > 1), key=lambda p: (-pieces.table[p][1], pieces.table[p][0]))
+    table = words.sparkSession.createDataFrame([(p.replace(SPACE, " "), i) for i, p in enumerate(ranked)], "piece string, rank long")  # as large as the model
+    short = words.where(F.length("unit") <= LONG).select("unit")
+    return lattice(short, table, max(map(len, ranked), default=2)).select("unit", fold(F.col("unit"), F.col("edges")).alias("cuts"))
 
-    return folded.unionByName(words.where(F.length("unit") > LONG).mapInPandas(merged, "unit string, n long, ids array<int>"))
 
+def _ids(unit: str, cuts: int, pieces: Pieces) -> bytes:
+    unit, out = unit.replace(" ", SPACE), []
+    at = [i for i in range(len(unit) + 1) if cuts >> i & 1]
+    for a, b in zip(at, at[1:]):
+        found = pieces.table.get(unit[a:b])
+        out += [found[0]] if found else pieces.fallback(unit[a:b])
+    return _bytes(out)
 
-def encode(docs: DataFrame, pieces: Pieces, most: int = 1 << 17) -> DataFrame:
+
+def encode(docs: DataFrame, pieces: Pieces, most: int = 1 << 18) -> DataFrame:
     """(doc_id, text, ids binary) of every row: little-endian unsigned 32-bit ids of the whole text.
 
-    The `most` most frequent words go to every executor with their ids, which bounds what is broadcast; the words of a text
-    beyond those are joined to theirs by hash. Null and empty texts have no ids. Equal rows are encoded each; other columns
-    are not read; an empty table gives no rows.
+    At most `most` words, the most frequent, pass through the lattice and go to every executor with their ids, which bounds
+    what is broadcast; all others are merged in their texts. Null and empty texts have no ids. Equal rows are encoded each;
+    other columns are not read; an empty table gives no rows.
     """
-    from ductwise.llm.maxent import frequent
-
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text")
-
     with scratch(spark) as path:
-        words = stored(encoded_words(stored(different_words(docs), f"{path}/counts"), pieces), f"{path}/words")
-        total = words.agg(F.sum("n")).first()[0] or 0
-        top = frequent(words.select(F.col("unit").cast("binary").alias("word"), F.col("n").alias("c")), most, total)
-        least = min((c for _, c in top), default=1)
-        ids = {r["unit"]: tuple(r["ids"]) for r in words.where(F.col("n") >= least).select("unit", "ids").collect()}
-        shared = spark.sparkContext.broadcast((pieces, {u: _bytes(_expand(x, pieces)) for u, x in ids.items()}))
-
-        def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, digest = shared.value[1], xxhash.xxh64_intdigest
-            for b in batches:
-                odd = [sorted({digest(u.encode("utf-8", "replace"), 42) for u in units(t) if u not in known}) for t in b["text"]]
-                yield pd.DataFrame({"tx": b["tx"], "h": [np.array(x, np.uint64).view(np.int64) for x in odd]})
-
-        texts = docs.where("text <> ''").select(F.xxhash64("text").alias("tx"), "text")
-        wanted = texts.mapInPandas(rare, "tx long, h array<long>").select("tx", F.explode("h").alias("h")).distinct()
-        found = wanted.join(words.where(F.col("n") < least).select(F.xxhash64("unit").alias("h"), "ids"), "h")
-        found = found.groupBy("tx").agg(F.collect_list(F.struct("h", "ids")).alias("rare")).withColumnRenamed("tx", "_tx")
-        joined = docs.join(found, F.xxhash64("text") == F.col("_tx"), "left").select("doc_id", "text", F.col("rare.h").alias("h"), F.col("rare.ids").alias("ids"))
-
-        def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pieces, known = shared.value
-            digest = xxhash.xxh64_intdigest
-            for b in batches:
-                out = []
-                for text, h, own in zip(b["text"], b["h"], b["ids"], strict=True):
-                    mine = {} if h is None else {int(k) % 2**64: _bytes(_expand(x, pieces)) for k, x in zip(h, own, strict=True)}
-                    out.append(b"".join([known[u] if u in known else mine[digest(u.encode("utf-8", "replace"), 42)] for u in units(text)]))
-                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": b["text"], "ids": out})
-
-        return saved(joined.mapInPandas(assemble, "doc_id long, text string, ids binary"))
-
-
-def _expand(ids, pieces: Pieces) -> list[int]:
-    if min(ids, default=0) >= 0:
-        return list(ids)
-    out: list[int] = []
-    for i in ids:
-        out += [i] if i >= 0 else pieces.fallback(chr(-i - 1))
-    return out
+        words = stored(different_words(docs), path)
+        cuts = encoded_words(frequent(words, most).repartition("unit"), pieces).toPandas()
+    shared = spark.sparkContext.broadcast((pieces, {u: _ids(u, int(c), pieces) for u, c in zip(cuts["unit"], cuts["cuts"], strict=True)}))
+
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces, known = shared.value
+        seen: dict[str, bytes] = {}
+        for b in batches:
+            out = []
+            for text in b["text"]:
+                found = list(map(known.get, own := units(text)))
+                if None in found:
+                    for i, x in enumerate(found):
+                        if x is None:
+                            u = own[i]
+                            x = seen.get(u)
+                            if x is None:
+                                if len(seen) > _WORDS:
+                                    seen.clear()
+                                x = seen[u] = _bytes(pieces.merge(u.replace(" ", SPACE)))
+                            found[i] = x
+                out.append(b"".join(found))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": b["text"], "ids": out})
+
+    return docs.mapInPandas(assemble, "doc_id long, text string, ids binary")
 
 
 def decode(ids: bytes, pieces: Pieces) -> str:
@@ -206,7 +231,7 @@ def decode(ids: bytes, pieces: Pieces) -> str:
     return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
-def round_trip(docs: DataFrame, model_path: str, most: int = 1 << 17) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, most: int = 1 << 18) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, returns) of every row; `returns` says that decoding gives the text (null: empty) back.
 
     It does for every text without the mark U+2581 itself, which the model reads as a space.
