@@ -1,10 +1,14 @@
-"""Removal of passages that an earlier document holds: winnowing, joined positions, extended matches.
+"""Removal of passages that an earlier document holds: winnowing, joined positions, matches extended both ways.
 
 Repeated passages rarely begin or end with a line, so the hashed unit is a window of K words rather than a whole line, with
 line breaks read as any white space. Of every WINDOW neighbouring hashes the smallest is a fingerprint, so a run of
-K + WINDOW - 1 = 50 words that two documents share has a fingerprint that both select. Each fingerprint is joined to its
-first occurrence only, never to all others, so a passage in a third of the documents costs one row for each of them. The same
-holds for fingerprints with the words around them, which say how far a match goes on beyond its outermost fingerprints.
+K + WINDOW - 1 = 50 words that two documents share has a fingerprint that both select. Around each fingerprint that different
+texts share, the match is extended both ways: all windows of 50 words that hold the fingerprint are hashed, and a window whose
+hash an earlier document has too is a repeat. The union of those is exactly what goes.
+
+Both times a hash is looked for in "an earlier document", never in all others: of the documents of one batch only the first
+with a hash takes part in the shuffle, and the others are known to be later. So a passage in a third of all documents sends one
+row for each batch and hash.
 """
 
 from __future__ import annotations
@@ -15,15 +19,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ductwise.llm.common import remove, saved, scratch, small_batches, stored, to_bytes
+from ductwise.llm.common import saved, scratch, stored, to_bytes, unused
 
 K, WINDOW = 26, 25
-#: A matched run can go on past its outermost fingerprints by fewer words than this.
-REACH = WINDOW - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -78,46 +81,112 @@ def winnow(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.array(out)
 
 
+#: Hashed places that are brought together at once.
+_PLACES = 1 << 21
+
+
+def _first_holders(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, alone): which places belong to the first document with their key, and which keys no other document has."""
+    at = np.lexsort((order, keys))
+    k, o = keys[at], order[at]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(k)))
+    first, alone = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    first[at] = o == np.repeat(o[start], size)
+    alone[at] = np.repeat(o[start] == np.maximum.reduceat(o, start) if len(k) else o[start], size)
+    return first, alone
+
+
+def _ranks(doc_id: np.ndarray, tx: np.ndarray) -> np.ndarray:
+    """Places of rows in the order of (doc_id, tx); equal rows have one place."""
+    at = np.lexsort((tx, doc_id))
+    out = np.empty(len(at), np.int64)
+    d, t = doc_id[at], tx[at]
+    out[at] = np.cumsum(np.append(False, (d[1:] != d[:-1]) | (t[1:] != t[:-1])))[: len(at)] if len(at) else []
+    return out
+
+
+def _split(values: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(n)[:-1]) if len(n) else []
+
+
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each document: 16 bits of each word, fingerprints that may be the first of their kind, and places of those that other texts of the batch have."""
     for b in batches:
-        pos, h, n = [], [], []
-        for text in b["text"]:
-            x = window_hashes(word_hashes(text))
+        doc, tx = b["doc_id"].to_numpy(), b["tx"].to_numpy()
+        rank = _ranks(doc, tx)
+        one = pd.Series(rank).groupby(tx).transform("min").to_numpy() == rank  # of copies the first speaks for all
+        words, pos, h, n_words = [], [], [], []
+        for text, wanted in zip(b["text"], one, strict=True):
+            w = word_hashes(text)
+            x = window_hashes(w) if wanted else np.zeros(0, np.uint64)
             at = winnow(x)
+            words.append((w >> np.uint64(48)).astype("<u2").tobytes() if len(at) else b"")
             pos.append(at)
             h.append(x[at])
-            n.append(len(at))
-        yield pd.DataFrame({"h": np.concatenate([*h, np.zeros(0, np.uint64)]).view(np.int64), "doc_id": np.repeat(b["doc_id"].to_numpy(), n), "tx": np.repeat(b["tx"].to_numpy(), n), "pos": np.concatenate([*pos, np.zeros(0, np.int64)])})
+            n_words.append(len(w))
+        n = np.array([len(x) for x in pos], np.int64)
+        of = np.repeat(np.arange(len(b)), n)
+        h, pos = np.concatenate([*h, np.zeros(0, np.uint64)]).view(np.int64), np.concatenate([*pos, np.zeros(0, np.int64)]).astype(np.int32)
+        first, alone = _first_holders(h, rank[of])
+        count = lambda mask: np.bincount(of[mask], minlength=len(b))
+        yield pd.DataFrame({"doc_id": doc, "tx": tx, "n": np.array(n_words, np.int32), "words": words, "h": _split(h[first], count(first)), "pos": _split(pos[first], count(first)), "shared": _split(pos[~alone], count(~alone))})
 
 
-def _extensions(h: np.ndarray, at: int, print_: int, left: bool) -> list[int]:
-    """Hashes of a fingerprint with the 1, 2 ... REACH words before or after it, as far as the text goes."""
-    near = h[max(0, at - REACH) : at][::-1] if left else h[at + K : at + K + REACH]
-    x = np.cumsum(near * _power(REACH)[0][: len(near)]) + np.uint64(print_ % 2**64) * _INVERSE
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 if left else 0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(29))).view(np.int64).tolist()
+def _spread() -> np.ndarray:
+    """64 bits for each value of 16."""
+    x = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * _BASE
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for doc, tx, text, wanted in zip(b["doc_id"], b["tx"], b["text"], b["wanted"], strict=True):
-            h = word_hashes(text)
-            out += [(doc, tx, int(r["pos"]), left, _extensions(h, int(r["pos"]), int(r["h"]), left)) for r in wanted for left in (True, False)]
-        yield pd.DataFrame(out, columns=["doc_id", "tx", "pos", "left", "keys"])
+def _windows(least: int):
+    """For each document: the windows of `least` words around shared fingerprints that may be the first of their kind, and where those begin that an earlier document of the batch has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spread = _spread()
+
+        def out(part: pd.DataFrame, keys: list[np.ndarray], at: list[np.ndarray]) -> pd.DataFrame:
+            doc, tx, n = part["doc_id"].to_numpy(), part["tx"].to_numpy(), np.array([len(x) for x in at], np.int64)
+            of, key, start = np.repeat(np.arange(len(part)), n), np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64), np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int32)
+            first, _ = _first_holders(key, _ranks(doc, tx)[of])
+            count = lambda mask: np.bincount(of[mask], minlength=len(part))
+            return pd.DataFrame({"doc_id": doc, "tx": tx, "key": _split(key[first], count(first)), "start": _split(start[first], count(first)), "later": _split(start[~first], count(~first))})
+
+        for b in batches:
+            keys, at, begin, held = [], [], 0, 0
+            for i, (words, places) in enumerate(zip(b["words"], b["places"], strict=True)):
+                y = window_hashes(spread[np.frombuffer(words, "<u2")], least)
+                near = np.zeros(len(y) + 1, np.int64)
+                p = np.asarray(places, np.int64)
+                np.add.at(near, np.clip(p - (least - K), 0, len(y)), 1)
+                np.add.at(near, np.clip(p + 1, 0, len(y)), -1)
+                at.append(np.flatnonzero(np.cumsum(near[:-1])))
+                keys.append(y[at[-1]])
+                held += len(keys[-1])
+                if held > _PLACES:
+                    yield out(b.iloc[begin : i + 1], keys, at)
+                    keys, at, begin, held = [], [], i + 1, 0
+            if at:
+                yield out(b.iloc[begin:], keys, at)
+
+    return run
 
 
-def cut(text: str, spans: list[dict], least: int) -> tuple[str, int]:
-    """The text without the spans of at least `least` words, and how many words those had."""
+def cut(text: str, starts: np.ndarray, least: int) -> tuple[str, int]:
+    """The text without the `least` words from each start on (all words if that is -1), and how many words those were."""
     raw = text.encode("utf-8", "surrogatepass")
-    h, gone, at = word_hashes(text), 0, 0
-    keep = np.ones(len(h), bool)
-    for s in spans:
-        if s["e"] - s["s"] >= least:
-            keep[s["s"] : s["e"]] = False
+    words = raw.split()
+    inside = np.zeros(len(words) + 1, np.int64)
+    if len(starts) and starts[0] < 0:
+        inside[0] = 1
+    else:
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, np.minimum(starts + least, len(words)), -1)
+    keep, gone, at = np.cumsum(inside[:-1]) == 0, 0, 0
     if keep.all():
         return text, 0
-    lens = np.fromiter(map(len, raw.split()), np.int64, len(h))
+    lens = np.fromiter(map(len, words), np.int64, len(words))
     blank = np.isin(np.frombuffer(raw, np.uint8), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
     starts = np.flatnonzero(~blank & np.append(True, blank[:-1]))
     out, edge = [], np.flatnonzero(np.diff(np.concatenate([[1], keep.astype(np.int8), [1]])))
@@ -129,66 +198,60 @@ def cut(text: str, spans: list[dict], least: int) -> tuple[str, int]:
     return b"".join(out).decode("utf-8", "surrogatepass"), gone
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tx, spans) of documents with words that an earlier document holds too.
+def _is_later(first: Column) -> Column:
+    return (F.col("doc_id") > first["doc_id"]) | ((F.col("doc_id") == first["doc_id"]) & (F.col("tx") > first["tx"]))
+
+
+def repeats(docs: DataFrame, least: int = K + WINDOW - 1) -> DataFrame:
+    """(doc_id, tx, starts) of documents with words that go: where the repeated windows of `least` words begin, or [-1] for all words.
 
-    A span is [s, e) in words: neighbouring K-word fingerprints that have their first occurrence in an earlier document, and
-    the words on both sides that some earlier document has beside one of them too. For that, each fingerprint near an end
-    of the run is hashed with 1, 2 ... REACH further words, and each such hash is joined to its own first occurrence, so
-    the document with the longest match decides and not the first with the fingerprint. Documents are in order of (doc_id,
-    tx), tx being the hash of the text, so rows that share an id but not a text are different documents and equal rows are one.
+    A window is a repeat if an earlier document holds it; documents are in order of (doc_id, tx), tx being the hash of the
+    text, so rows that share an id but not a text are different documents and equal rows are one. Copies of a whole text
+    meet by tx alone. In a window a word stands by 16 bits of its hash, so one different word in 65,536 goes unseen.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    if least < K + WINDOW - 1:
+        raise ValueError(f"winnowing guarantees runs of {K + WINDOW - 1} words and more")
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("tx"), "text")
-    with scratch(spark) as path:
-        prints = stored(texts.mapInPandas(_fingerprints, "h long, doc_id long, tx long, pos int"), path)
-        first = prints.groupBy("h").agg(F.min(F.struct("doc_id", "tx", "pos")).alias("c"), F.max(F.struct("doc_id", "tx")).alias("top")).where("c.doc_id < top.doc_id or c.tx < top.tx")
-        found = prints.join(first.select("h", "c"), "h").where("doc_id > c.doc_id or (doc_id = c.doc_id and tx > c.tx)")
-        by_doc = W.partitionBy("doc_id", "tx").orderBy("pos")
-        fresh = F.when(F.col("pos") <= F.lag("pos").over(by_doc) + K, 0).otherwise(1)
-        runs = found.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_doc))
-        run = W.partitionBy("doc_id", "tx", "run")
-        placed = saved(runs.select("doc_id", "tx", "run", "h", "pos", F.min("pos").over(run).alias("s"), (F.max("pos").over(run) + K).alias("e")))
-        ends = placed.where((F.col("pos") <= F.col("s") + REACH) | (F.col("pos") + K >= F.col("e") - REACH))
-        wanted = prints.join(ends.select("h").distinct(), "h", "left_semi").groupBy("doc_id", "tx").agg(F.collect_set(F.struct("pos", "h")).alias("wanted"))
-        near = texts.join(wanted, ["doc_id", "tx"]).dropDuplicates(["doc_id", "tx"]).mapInPandas(_contexts, "doc_id long, tx long, pos int, left boolean, keys array<long>")
-        near = stored(near, f"{path}-near")
-        longer = near.select("doc_id", "tx", "pos", "left", F.posexplode("keys").alias("more", "key"))
-        first = longer.groupBy("key").agg(F.min(F.struct("doc_id", "tx")).alias("c"), F.max(F.struct("doc_id", "tx")).alias("top")).where("c.doc_id < top.doc_id or c.tx < top.tx")
-        longer = longer.join(first.select("key", "c"), "key").where("doc_id > c.doc_id or (doc_id = c.doc_id and tx > c.tx)")
-        more = longer.groupBy("doc_id", "tx", "pos").agg(*[F.max(F.when(side, F.col("more") + 1)).alias(n) for side, n in ((F.col("left"), "l"), (~F.col("left"), "r"))])
-        spans = placed.join(more, ["doc_id", "tx", "pos"], "left").groupBy("doc_id", "tx", "run").agg(F.min(F.col("pos") - F.coalesce("l", F.lit(0))).alias("s"), F.max(F.col("pos") + K + F.coalesce("r", F.lit(0))).alias("e"))
-        spans = saved(spans.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-        remove(spark, f"{path}-near")
-    return spans
+    with scratch(docs.sparkSession) as path:
+        rows = stored(texts.mapInPandas(_fingerprints, "doc_id long, tx long, n int, words binary, h array<long>, pos array<int>, shared array<int>"), f"{path}/prints")
+        copied = rows.groupBy("tx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n")).where("first < last").select("tx", "first", "n")
+        copied = stored(copied, f"{path}/copied")
+        by_print = W.partitionBy("h")
+        open_ = rows.select("doc_id", "tx", F.inline(F.arrays_zip("h", "pos")))
+        open_ = open_.withColumn("low", F.min("tx").over(by_print)).withColumn("high", F.max("tx").over(by_print)).where("low <> high")
+        places = open_.select("doc_id", "tx", "pos").unionByName(rows.select("doc_id", "tx", F.explode("shared").alias("pos")))
+        places = places.groupBy("doc_id", "tx").agg(F.collect_set("pos").alias("places"))
+        places = places.join(copied.select("tx", "first"), "tx", "left").where("first is null or first = doc_id").drop("first")
+        found = rows.where("size(h) > 0 or size(shared) > 0").select("doc_id", "tx", "words").join(places, ["doc_id", "tx"])
+        found = stored(found.mapInPandas(_windows(least), "doc_id long, tx long, key array<long>, start array<int>, later array<int>"), f"{path}/windows")
+        first = F.min(F.struct("doc_id", "tx")).over(W.partitionBy("key"))
+        again = found.select("doc_id", "tx", F.inline(F.arrays_zip("key", "start"))).withColumn("first", first).where(_is_later(F.col("first")))
+        starts = again.select("doc_id", "tx", "start").unionByName(found.select("doc_id", "tx", F.explode("later").alias("start"))).groupBy("doc_id", "tx").agg(F.collect_list("start").alias("starts"))
+        copies = rows.select("doc_id", "tx").join(copied, "tx").where(f"doc_id > first and n >= {least}").select("doc_id", "tx", F.array(F.lit(-1)).alias("starts"))
+        return saved(starts.unionByName(copies.distinct()))
 
 
 def remove_repeats(docs: DataFrame, least: int = K + WINDOW - 1, removed: str | None = None) -> DataFrame:
     """`docs` with every run of at least `least` words that an earlier document holds taken out of `text`.
 
     All rows and columns stay; `removed` names a column to add with the number of words taken. The first document with a
-    passage, by (doc_id, text hash), keeps it. A run is a maximal stretch of words that earlier documents hold, perhaps
-    in parts. Null texts, null ids, empty texts and texts under `least` words stay as they are; a document that is a copy
-    of an earlier one is left with an empty text, or its white space. Repeats inside one document are not touched.
+    passage, by (doc_id, text hash), keeps it. A word goes if it is in a run of `least` words or more that one earlier document
+    holds as one run. Null texts, null ids, empty texts and texts under `least` words stay as they are; a document that is
+    a copy of an earlier one is left with an empty text, or its white space. Repeats inside one document are not touched.
     """
     add = [removed] if removed else []
-    spans = repeated_spans(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_doc"), F.col("tx").alias("_tx"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_tx")), "left").select(*[docs[c] for c in docs.columns], "_spans")
-    place = docs.columns.index("text")
-    schema = docs.schema
+    doc, tx, starts = unused(docs, "doc", "tx", "starts")
+    found = repeats(docs.select("doc_id", "text"), least).toDF(doc, tx, starts)
+    joined = docs.join(found, (docs["doc_id"] == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(tx)), "left").select(*[docs[c] for c in docs.columns], starts)
+    place, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, texts = b.column(b.num_columns - 1), b.column(place)
-            new, gone = list(texts), [0] * b.num_rows
-            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
-                text, gone[i] = cut(texts[i].as_py(), spans[i].as_py(), least)
-                new[i] = pa.scalar(text, texts.type)
-            columns = [pa.array([x.as_py() for x in new], texts.type) if k == place else b.column(k) for k in range(b.num_columns - 1)]
-            names = [*b.schema.names[:-1], *add]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(gone, pa.int32())] if add else [])], names=names)
-
-    from pyspark.sql.types import IntegerType, StructField, StructType
+            begin, texts = b.column(b.num_columns - 1), b.column(place)
+            new, gone = texts.to_pylist(), [0] * b.num_rows
+            for i in np.flatnonzero(begin.is_valid().to_numpy(zero_copy_only=False)):
+                new[i], gone[i] = cut(new[i], begin[i].values.to_numpy(), least)
+            columns = [pa.array(new, texts.type) if k == place else b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(gone, pa.int32())] if add else [])], names=[*b.schema.names[:-1], *add])
 
     return joined.mapInArrow(run, StructType([*schema.fields, *(StructField(c, IntegerType()) for c in add)]))
