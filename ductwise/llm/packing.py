@@ -9,7 +9,9 @@ The plan is a short list of (filling, how often); each piece finds its place in
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import saved, small_batches, tokenizer
+from ductwise.llm.common import saved, tokenizer
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -71,76 +73,158 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(room: int, left: list[int], counts: dict[int, int], spare: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated multisets of lengths that fill `room` and waste at most `spare`, least waste first.
+def _reachable(left: list[int]) -> list[int]:
+    """For every size the sums, as bits, that items of at most that size can add up to."""
+    capacity = len(left) - 1
+    mask, sums, out = (1 << capacity + 1) - 1, 1, [1]
+    for size in range(1, capacity + 1):
+        n, step = min(left[size], capacity // size), 1
+        while n > 0:  # n copies as 1, 2, 4 ... and the rest
+            step = min(step, n)
+            sums |= sums << size * step & mask
+            n -= step
+            step *= 2
+        out.append(sums)
+    return out
 
-    `left`: lengths still there, largest first. A filling is dominated if a length that is left fits beside it, or can
-    take the place of one of its items together with the waste. At most `most` are enumerated.
+
+def fillings(room: int, top: int, left: list[int], spare: Callable[[], int], band: int, sums: list[int], tick: Callable[[], bool]) -> Iterator[tuple[int, ...]]:
+    """Undominated multisets of lengths up to `top` that fill `room`, as far as spare() allows: by rising waste in bands, largest items first in a band.
+
+    A filling is dominated if a length that is left fits beside it, or can take the place of one of its items together with
+    the waste. `left` may change between two steps, if it is as before when the next is asked for. Each step asks tick(), and
+    none are left when it says no.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = [50 * most]
+    free = lambda size, items: left[size] > items.count(size)
 
-    def add(at: int, room: int, items: tuple[int, ...]) -> None:
-        steps[0] -= 1
-        if len(found) >= most or steps[0] < 0:
+    def undominated(waste: int, items: list[int]) -> bool:
+        return not any(free(x, items) for x in range(1, waste + 1)) and not any(free(x, items) for item in set(items) for x in range(item + 1, min(item + waste, top) + 1))
+
+    for least in range(0, room + 1, band + 1):
+        if least > spare():
             return
-        fits = False
-        for i in range(at, len(left)):
-            size = left[i]
-            if size <= room and counts[size] > items.count(size):
-                fits = True
-                add(i, room - size, (*items, size))
-                if room == size:
-                    break
-        if not fits and room <= spare and not dominated(room, items):
-            found.append((room, items))
+        items: list[int] = []
+        need = room - least
+        size = min(top, need)
+        while True:
+            low = max(0, need - band)
+            wanted = (1 << need - low + 1) - 1
+            while size and not (left[size] > 0 and sums[size] >> low & wanted):
+                size -= 1
+            if not tick():
+                for x in items:
+                    left[x] += 1
+                return
+            if size:
+                items.append(size)
+                left[size] -= 1
+                need -= size
+                size = min(size, need)
+                continue
+            if not low:
+                for x in items:
+                    left[x] += 1
+                if least + need <= spare() and undominated(least + need, items):
+                    yield tuple(items)
+                for x in items:
+                    left[x] -= 1
+            if not items:
+                break
+            size = items.pop()
+            left[size] += 1
+            need += size
+            size -= 1
+
 
-    def dominated(waste: int, items: tuple[int, ...]) -> bool:
-        return any(counts.get(bigger, 0) > items.count(bigger) for item in set(items) for bigger in range(item + 1, item + waste + 1)) or any(counts.get(x, 0) > items.count(x) for x in range(1, waste + 1))
+@dataclass
+class _Choice:
+    """The largest length left at a point of the search, its fillings still to try, and the one in use `n` times."""
 
-    add(0, room, ())
-    return [items for _, items in sorted(set(found), key=lambda x: (x[0], [-i for i in x[1]]))]
+    top: int
+    others: Iterator[tuple[int, ...]]
+    whole: tuple[int, ...] = ()
+    n: int = 0
+    waste: int = 0
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 6000, width: int = 16) -> Plan:
+def plan(counts: dict[int, int], capacity: int, steps: int = 300_000) -> Plan:
     """Fillings and how often each is used; every item of the histogram is in exactly one.
 
-    nodes and width bound the work of the search, not the items packed: when they are spent, the incumbent is the answer.
+    Starts from best fit decreasing. A branch takes a filling of the largest length left as often as it goes, and later
+    fewer times; the search is over when the lower bound is met or every branch is pruned, and then the answer is the least.
+    `steps` bounds the work of the search, not the items packed: when they are spent, the incumbent is the answer. One
+    histogram is changed and restored in place, so memory grows with the depth alone.
     """
     counts = {s: c for s, c in counts.items() if c}
     best = best_fit(counts, capacity)
     most, least = sum(n for _, n in best), lower_bound(counts, capacity)
-    volume, budget = sum(s * c for s, c in counts.items()), [nodes]
-
-    def search(counts: dict[int, int], done: Plan, used: int, waste: int) -> None:
+    if most == least:
+        return best
+    left = [counts.get(s, 0) for s in range(capacity + 1)]
+    volume, sums = sum(s * c for s, c in counts.items()), _reachable(left)
+    used, waste, budget, nodes, every = 0, 0, steps, 0, max(1, len(counts) // 64)
+    band = max(0, (most - 1) * capacity - volume) // most  # the waste that a bin may have on average
+    stack: list[_Choice] = []
+
+    def tick() -> bool:
+        nonlocal budget
+        budget -= 1
+        return budget > 0
+
+    def spare() -> int:
+        """Waste that a solution better than the incumbent may still add."""
+        return (most - 1) * capacity - volume - waste
+
+    def put(c: _Choice, n: int) -> None:
+        nonlocal used, waste
+        for size in c.whole:
+            left[size] -= n
+        c.n += n
+        used += n
+        waste += n * c.waste
+
+    def offer(rest: Plan) -> None:
         nonlocal best, most
-        if most == least or budget[0] <= 0:
-            return
-        budget[0] -= 1
-        left = sorted((s for s, c in counts.items() if c), reverse=True)
-        if not left:
-            if used < most:
-                best, most = list(done), used
-            return
-        spare = (most - 1) * capacity - volume - waste
-        if spare < 0:
-            return
-        top = left[0]
-        rest = counts | {top: counts[top] - 1}
-        for items in fillings(capacity - top, left, rest, spare, width):
-            whole = (top, *items)
-            wasted = capacity - sum(whole)
-            n = min(counts[s] // whole.count(s) for s in set(whole))
-            n = max(1, min(n, spare // wasted if wasted else n))
-            search({s: c - n * whole.count(s) for s, c in counts.items()}, [*done, (whole, n)], used + n, waste + n * wasted)
-            if most == least or budget[0] <= 0:
-                return
-
-    if most > least:
-        import sys
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        search(counts, [], 0, 0)
+        n = used + sum(k for _, k in rest)
+        if n < most:
+            best, most = [(c.whole, c.n) for c in stack if c.n] + rest, n
+
+    def descend() -> None:
+        top = stack[-1].top if stack else capacity
+        while top and not left[top]:
+            top -= 1
+        if top:
+            left[top] -= 1
+            stack.append(_Choice(top, fillings(capacity - top, top, left, spare, band, sums, tick)))
+            left[top] += 1
+        else:
+            offer([])
+
+    descend()
+    while stack and budget > 0 and most > least:
+        c = stack[-1]
+        if c.n > 1:  # all below one use less has been tried
+            put(c, -1)
+        else:
+            put(c, -c.n)
+            left[c.top] -= 1
+            items = next(c.others, None)
+            left[c.top] += 1
+            if items is None:
+                stack.pop()
+                continue
+            c.whole = (c.top, *items)
+            c.waste = capacity - sum(c.whole)
+            n = min(left[s] // k for s, k in Counter(c.whole).items())
+            put(c, max(1, min(n, spare() // c.waste if c.waste else n)))
+        if spare() < 0:
+            continue
+        nodes += 1
+        if nodes % every == 0:  # best fit of what is left is a new incumbent if it does better
+            rest = {s: k for s, k in enumerate(left) if k}
+            budget -= len(rest)
+            offer(best_fit(rest, capacity))
+        descend()
     return best
 
 
@@ -159,11 +243,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                     out.append((doc, at // step, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(rows: DataFrame, capacity: int = 2048, nodes: int = 6000, parts: int | None = None) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 2048, steps: int = 300_000, parts: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (with doc_id, piece and length from 1 to capacity; other columns are kept).
 
     Pieces are put in order of length and dealt out in ranges, so that a length that very many share is spread over many
@@ -183,7 +266,6 @@ def pack(rows: DataFrame, capacity: int = 2048, nodes: int = 6000, parts: int |
                 seen[size] = seen.get(size, 0) + int(n)
             yield b
 
-    small_batches(spark, 10_000)
     spread = saved(rows).repartitionByRange(parts, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     marked = saved(spread.mapInPandas(mark, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "_part int", "_nth long"])))
     counted = marked.groupBy("length", "_part").count().orderBy("length", "_part").collect()
@@ -193,7 +275,7 @@ def pack(rows: DataFrame, capacity: int = 2048, nodes: int = 6000, parts: int |
         base.append((r["length"], r["_part"], counts.get(r["length"], 0)))
         counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
     slots, done, seq = [], {}, 0
-    for items, n in plan(counts, capacity, nodes):
+    for items, n in plan(counts, capacity, steps):
         at = 0
         for size in sorted(set(items), reverse=True):
             k = items.count(size)
@@ -221,9 +303,9 @@ def pack(rows: DataFrame, capacity: int = 2048, nodes: int = 6000, parts: int |
     return marked.mapInPandas(place, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "sequence_id long", "offset long"]))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, nodes: int = 6000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, steps: int = 300_000) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty and take one end id. Repeated documents are packed each; an empty table gives no rows.
     """
-    return pack(pieces(docs, tokenizer_path, capacity, end_id), capacity, nodes)
+    return pack(pieces(docs, tokenizer_path, capacity, end_id), capacity, steps)
