@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import small_batches, smallest_hashes
+from ductwise.llm.common import saved, smallest_hashes
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a word's beginning that are a feature of their own, for words that are longer.
@@ -64,12 +64,6 @@ class Rows:
         at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int32)
         return cls(at, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), len(rows), width)
 
-    def only(self, places: np.ndarray) -> Rows:
-        """The columns of a mask, numbered anew."""
-        new = np.cumsum(places) - 1
-        left = places[self.at]
-        return Rows(new[self.at[left]].astype(np.int32), self.of[left], self.n, int(places.sum()))
-
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, w[self.at], self.n)
 
@@ -123,40 +117,61 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _occurrences(names: list[str]):
+    """How many rows have each hash, and of those in each category."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [np.frombuffer(w, "<u4") for w in b["words"]]
+            h, at = np.unique(np.concatenate([*words, np.zeros(0, "<u4")]), return_inverse=True)
+            of = np.repeat(np.arange(len(b)), [len(w) for w in words])
+            yield pd.DataFrame({"h": h.astype(np.int64), "n": np.bincount(at, minlength=len(h)), **{f"one{k}": np.bincount(at, b[c].to_numpy(np.float64)[of], len(h)) for k, c in enumerate(names)}})
+
+    return run
+
+
+def _telling(rows: DataFrame, names: list[str], most: int, least_z: float) -> list[int]:
+    """For each category the `most` hashes whose share differs most between its two classes, by least_z standard errors at least."""
+    total, *ones = rows.agg(F.count("*"), *[F.sum(F.col(f"`{c}`")) for c in names]).first()
+    counted = rows.mapInPandas(_occurrences(names), ", ".join(["h long, n long", *(f"one{k} double" for k in range(len(names)))]))
+    counted = saved(counted.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f"one{k}").alias(f"one{k}") for k in range(len(names))]).where("n > 1"))
+    found: set[int] = set()
+    for k, one in enumerate(ones):
+        one, total = one or 0, max(total, 1)
+        n1, n0 = max(one, 1), max(total - one, 1)
+        p, both = F.col("n") / total, 1 / n1 + 1 / n0
+        off = F.greatest(F.abs(F.col(f"one{k}") / n1 - (F.col("n") - F.col(f"one{k}")) / n0) - both, F.lit(0.0))  # less what one row more or less changes
+        z = off / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * both)
+        found |= {r["h"] for r in counted.select("h", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "h").limit(most).collect()}
+    return sorted(found)
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs: int = 8000, max_features: int = 4096, folds: int = 3, least_z: float = 3.0) -> Chain:
     """Learns the categories (name to SQL expression over the columns of `labels`, in the order of the chain).
 
-    The classifier is fitted on at most max_docs labelled documents, those with the smallest hash of doc_id, whose hashed
-    words go to the driver; copies of a text count once. Features are the words whose share differs most between the
-    classes, by least_z standard errors at least. Without labelled documents every probability is 0.
+    The classifier is fitted on at most max_docs labelled documents, those with the smallest hash of doc_id; copies of a text
+    count once. Features are at most max_features hashed words: those whose share differs most between the classes, by
+    least_z standard errors at least. They are counted and chosen on the executors; the driver gets only their places in
+    each document. Without labelled documents every probability is 0.
     """
     names = list(categories)
     flags = [F.max(F.expr(e).cast("int")).alias(c) for c, e in categories.items()]
     chosen = smallest_hashes(labels.where("doc_id is not null").groupBy("doc_id").agg(*flags).dropna(), "doc_id", max_docs)
-    small_batches(docs.sparkSession)
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sample.mapInPandas(_featurise, ", ".join(["doc_id long", *(f"`{c}` int" for c in names), "words binary"])).toPandas()
-    rows = rows.sort_values(["doc_id", "words"]).drop_duplicates("words", ignore_index=True)
+    schema = ", ".join(["doc_id long", *(f"`{c}` int" for c in names), "words binary"])
+    first = F.min(F.struct("doc_id", *(F.col(f"`{c}`") for c in names))).alias("first")
+    sampled = saved(sample.mapInPandas(_featurise, schema).groupBy("words").agg(first).select("first.*", "words"))
+    features = np.array(_telling(sampled, names, max_features // len(names), least_z), np.int64)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["places"] = [np.flatnonzero(np.isin(features, np.frombuffer(w, "<u4"), assume_unique=True)).astype(np.int32) for w in b["words"]]
+            yield b.drop(columns=["words"])
+
+    rows = sampled.mapInPandas(placed, schema.replace("words binary", "places array<int>")).toPandas().sort_values("doc_id", ignore_index=True, kind="stable")
     if rows.empty:
         return Chain({}, [Linear(c, -35.0, np.zeros(0), np.zeros(i), 0.5) for i, c in enumerate(names)])
-    words = [np.frombuffer(w, "<u4") for w in rows["words"]]
-    flat, of = np.concatenate(words), np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
-    vocab, seen = np.unique(flat, return_counts=True)
-    vocab, seen = vocab[seen > 1], seen[seen > 1]
-    at = np.minimum(np.searchsorted(vocab, flat), max(len(vocab) - 1, 0)).astype(np.int32)
-    there = vocab[at] == flat if len(vocab) else np.zeros(len(flat), bool)
-    full, chosen_words = Rows(at[there], of[there], len(words), len(vocab)), np.zeros(len(vocab), bool)
-    del words, flat, of, at, there
-    for c in names:
-        y = rows[c].to_numpy(np.float64)
-        n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-        one = full.back(y)
-        p = seen / len(rows)
-        off = np.maximum(np.abs(one / n1 - (seen - one) / n0) - (1 / n1 + 1 / n0), 0)  # less what one row more or less changes
-        z = off / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        best = np.argsort(-z, kind="stable")[: max_features // len(names)]
-        chosen_words[best[z[best] >= least_z]] = True
-    x = full.only(chosen_words)
+    x = Rows.of_lists([np.asarray(p, np.int64) for p in rows["places"]], len(features))
     fold = np.array([zlib.crc32(str(d).encode()) % folds for d in rows["doc_id"]])
     dense, links = np.zeros((len(rows), 0)), []
     for c in names:
@@ -168,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_docs
         b, w, d = fit_linear(x, dense, y, np.ones(len(rows), bool))
         links.append(Linear(c, b, w, d, _best_threshold(y, p)))
         dense = np.column_stack([dense, logit(p)])
-    return Chain({int(h): i for i, h in enumerate(vocab[chosen_words])}, links)
+    return Chain({int(h): i for i, h in enumerate(features)}, links)
 
 
 def _probabilities(chain: Chain, rows: list[np.ndarray]) -> list[np.ndarray]:
@@ -211,7 +226,6 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             out |= {f"is_{link.category}": (p >= link.threshold) & ~np.array(empty, bool) for link, p in zip(chain.links, probabilities, strict=True)}
             yield pd.DataFrame(out)
 
-    small_batches(docs.sparkSession)
     schema = ["doc_id long", *(f"`p_{c}` double" for c in names), *(f"`is_{c}` boolean" for c in names)]
     return docs.select("doc_id", "text").mapInPandas(run, ", ".join(schema))
 
