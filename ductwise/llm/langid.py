@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import small_batches, smallest_hashes
+from ductwise.llm.common import smallest_hashes
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -86,7 +86,6 @@ def fit(docs: DataFrame, max_docs: int = 6000, max_words: int = 200_000, max_gra
     The bounds keep the model, which every executor gets, under 100 MB whatever the corpus. Words seen once are left to
     the n-grams. No rows give a model that knows no language.
     """
-    small_batches(docs.sparkSession)
     chosen = smallest_hashes(docs.where("lang is not null and text is not null").select("doc_id"), "doc_id", max_docs).distinct()
     sample = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     counted = sample.select("lang", "text").mapInPandas(_count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")).cache()
@@ -156,7 +155,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [scorer.predict(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": np.array([p for _, p in found], np.float64)})
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ductwise.llm import ann, langid, linededup, maxent, packing, quality, sentencepiece, simhash, tokenfile, toxicity
 from ductwise.llm.common import table
 
-#: Folder of the public tokenizers' files; never copied into the repository.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def tokenizer_file(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """A public tokenizer's file: in the folder TOKENIZERS_DIR if that is set, else where the installed package has it."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import saved, small_batches, to_bytes
+from ductwise.llm.common import saved, to_bytes
 from ductwise.llm.components import components
 
 BITS = 64
@@ -75,7 +75,6 @@ def fingerprints(docs: DataFrame, width: int = 4, words: int = 1) -> DataFrame:
             found = np.array([fingerprint(t, width, words) for t in b["text"]], np.uint64).reshape(len(b), words).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), **{n: found[:, k] for k, n in enumerate(names)}})
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
@@ -179,7 +178,6 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, within
     #: side 2: compare within the chunk; otherwise only across the two chunks.
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     rows = dealt.select(F.xxhash64("key", low, high).alias("g"), "node", *names, side.cast("int").alias("side"))
-    small_batches(nodes.sparkSession, 20_000)
     return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_verify(names, distance if closest is None else closest, distance if within is None else within), "a long, b long").distinct()
 
 
@@ -256,7 +254,6 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: i
         for b in batches:
             yield b.assign(shingles=[shingle_set(t, width).tobytes() for t in b["text"]]).drop(columns="text")
 
-    small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("tx"))
     fps = saved(texts.mapInPandas(prints, ", ".join(["doc_id long, tx long, node long, size long", *(f"{n} long" for n in names)])))
     nodes = saved(fps.groupBy("node").agg(F.min(F.struct("doc_id", "tx")).alias("one"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in names)))
@@ -265,7 +262,6 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: i
     chunks = chunks.select("root", F.when((F.col("n") <= GROUP) & (F.col("m") <= SHINGLES), 1).otherwise(F.greatest(F.ceil(F.col("n") / (GROUP // 2)), F.ceil(F.col("m") / (SHINGLES // 2)))).cast("int").alias("c"))
     wanted = near.join(nodes, "node").join(chunks, "root").select("root", "node", "c", *names, "one.doc_id", "one.tx")
     held = texts.join(wanted, ["doc_id", "tx"]).dropDuplicates(["doc_id", "tx"]).select("root", "node", "c", *names, "text")
-    small_batches(docs.sparkSession)
     held = held.mapInPandas(sets_of, ", ".join(["root long, node long, c int", *(f"{n} long" for n in names), "shingles binary"]))
     mine, other = F.pmod(F.xxhash64("node", F.lit(7)), F.col("c")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("c") - 1))
     dealt = held.withColumn("mine", mine).withColumn("other", other)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import new_folder, scratch, small_batches, stored, tokenizer
+from ductwise.llm.common import new_folder, scratch, stored, tokenizer
 
 #: Ids that a block holds before the next one begins.
 BLOCK_IDS = 1 << 18
@@ -126,7 +126,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shards:
     texts. An empty table gives a file set without blocks. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     with scratch(spark) as raw:
@@ -153,7 +152,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 parts = [p.tobytes() for p in np.split(ids, np.cumsum(n)[:-1])]
                 yield pd.DataFrame({"shard": x["shard"], "seq": np.arange(x["first_seq"], x["first_seq"] + len(n)), "doc_id": pd.array([None if v is None or v != v else int(v) for v in x["doc_ids"]], "Int64"), "n_tokens": n, "ids_crc32": [zlib.crc32(p) for p in parts], "ids": parts})
 
-    small_batches(spark, 16)
     blocks = spark.read.schema("first_seq long, doc_ids array<long>, counts array<int>, control binary, data binary, shard int").parquet(f"{path}/tokens")
     return blocks.mapInPandas(run, "shard int, seq long, doc_id long, n_tokens long, ids_crc32 long, ids binary")
 

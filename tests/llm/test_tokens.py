@@ -1,7 +1,9 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from ductwise.llm import packing, tokenfile
 from ductwise.llm.common import CachedTokenizer
@@ -11,9 +13,9 @@ ODDITIES = ["it's 's x''s don't'll  a  b\n\n c", "  lead", "trail  ", "½ ² Ⅷ
 
 @pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_cached_ids_are_the_librarys(documents, name, kind):
-    t = CachedTokenizer(f"/opt/tokenizers/{name}", kind)
+    t, library = CachedTokenizer(public_tokenizers.path(name), kind), Tokenizer.from_file(public_tokenizers.path(name))
     for text in ODDITIES + [r["text"] for r in documents.collect()]:
-        assert np.frombuffer(t.ids(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(t.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_code_round_trip():
@@ -27,13 +29,17 @@ def test_code_round_trip():
 
 
 def plain(documents, name, end):
-    t = CachedTokenizer(f"/opt/tokenizers/{name}", "byte").tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path(name))
     rows = sorted(((r["doc_id"], r["text"] or "") for r in documents.collect()), key=lambda r: (r[0], r[1]))
     return [(d, [*t.encode(x, add_special_tokens=False).ids, end]) for d, x in rows]
 
 
-def test_token_file(documents, odd, none):
-    for docs in (documents, odd):
+def special(spark):
+    return spark.createDataFrame(list(enumerate(ODDITIES)), "doc_id long, text string")
+
+
+def test_token_file(spark, documents, odd, none):
+    for docs in (documents, odd, special(spark)):
         want, at = [], 0
         for d, ids in plain(docs, "byte_bpe_50k.json", 2):
             want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -59,8 +65,8 @@ def check_packing(rows, capacity):
     return len(bins), packing.lower_bound(counts, capacity)
 
 
-def test_documents_are_packed(documents, odd, none):
-    for docs in (documents, odd):
+def test_documents_are_packed(spark, documents, odd, none):
+    for docs in (documents, odd, special(spark)):
         rows = packing.pack_documents(docs, "/opt/tokenizers/word_bpe_49k.json", 2048, 0).collect()
         used, least = check_packing(rows, 2048)
         assert used == least
