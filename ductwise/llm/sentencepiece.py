@@ -31,8 +31,8 @@ SPACE = "▁"
 #: Characters of a word whose cuts have a bit each in a long.
 LONG = 62
 _FIND = re.compile(" *[^ ]+| +").findall
-#: Different words that are counted, or remembered with their ids, at once.
-_WORDS = 300_000
+#: Different words that are counted, or remembered with their ids, at once; texts that are put out at once.
+_WORDS, _TEXTS = 100_000, 1000
 
 
 @dataclass(frozen=True)
@@ -205,22 +205,23 @@ def encode(docs: DataFrame, pieces: Pieces, most: int = 1 << 18) -> DataFrame:
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, known = shared.value
         seen: dict[str, bytes] = {}
-        for b in batches:
-            out = []
-            for text in b["text"]:
-                found = list(map(known.get, own := units(text)))
-                if None in found:
-                    for i, x in enumerate(found):
+        def ids(text: str | None) -> bytes:
+            found = list(map(known.get, own := units(text)))
+            if None in found:
+                for i, x in enumerate(found):
+                    if x is None:
+                        x = seen.get(u := own[i])
                         if x is None:
-                            u = own[i]
-                            x = seen.get(u)
-                            if x is None:
-                                if len(seen) > _WORDS:
-                                    seen.clear()
-                                x = seen[u] = _bytes(pieces.merge(u.replace(" ", SPACE)))
-                            found[i] = x
-                out.append(b"".join(found))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": b["text"], "ids": out})
+                            if len(seen) > _WORDS:
+                                seen.clear()
+                            x = seen[u] = _bytes(pieces.merge(u.replace(" ", SPACE)))
+                        found[i] = x
+            return b"".join(found)
+
+        for whole in batches:
+            for at in range(0, len(whole), _TEXTS):
+                b = whole.iloc[at : at + _TEXTS]
+                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": b["text"], "ids": list(map(ids, b["text"]))})
 
     return docs.mapInPandas(assemble, "doc_id long, text string, ids binary")
 
