@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ductwise.llm.common import saved, to_bytes
@@ -25,6 +25,8 @@ BITS = 64
 GROUP = 4096
 #: Shingles of one group of texts that are compared in one place.
 SHINGLES = 1 << 22
+#: Keys with more than GROUP fingerprints that are broadcast at most.
+BROADCAST = 1 << 20
 
 
 def _shingles(text: str | None, width: int, seed: int = 42, block: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -151,34 +153,41 @@ def _verify(names: list[str], distance: int, within: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _whole_groups(batches):
             x, y = edges(b["g"].to_numpy(), [b[n].to_numpy().view(np.uint64) for n in names], b["side"].to_numpy())
-            node = b["node"].to_numpy()
-            yield pd.DataFrame({"a": node[x], "b": node[y]})
+            yield pd.DataFrame({f"{side}_{n}": b[n].to_numpy()[at] for side, at in (("a", x), ("b", y)) for n in names})
 
     return run
 
 
-def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, within: int | None = None, closest: int | None = None) -> DataFrame:
-    """Edges (a, b) between nodes (node long, f0 long, f1 long ...; no two with the same fingerprint).
+def node_of(*names: str) -> Column:
+    """The node of a fingerprint."""
+    return F.xxhash64(*names) if len(names) > 1 else F.col(names[0])
+
+
+def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, within: int | None = None, closest: int | None = None) -> DataFrame:
+    """Edges (a, b) between the nodes (see node_of) of different fingerprints (f0 long, f1 long ...; a column `node` is not read).
 
     Two nodes link if their fingerprints differ in at most `within` bits over all words (default: distance) and in at most
     `closest` bits in one of them (default: distance). With a larger `closest`, nodes more than `distance` apart in every
     word link if they share a key all the same, as most that are little further apart do. Not every such pair is listed, but every one is connected by listed edges: within a key,
-    pairs that are connected already are left out. A key of more than GROUP nodes is compared as pairs of chunks, so no
-    task holds it whole.
+    pairs that are connected already are left out. A key of more than GROUP fingerprints is compared as pairs of chunks, so no
+    task holds it whole. There are at most rows / GROUP such keys; up to BROADCAST of them go to every executor, more are joined.
     """
-    names = [c for c in nodes.columns if c != "node"]
-    blocks = blocks or choose_blocks(nodes.count(), distance)
+    names = [c for c in fps.columns if c != "node"]
+    blocks = blocks or choose_blocks(fps.count(), distance)
     keys = [F.xxhash64(F.col(n).bitwiseAND(F.lit(m)), F.lit(f"{n}-{i}")) for n in names for i, m in enumerate(block_masks(blocks, distance))]
-    keyed = nodes.select("node", *names, F.explode(F.array(*keys)).alias("key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(size, "key").withColumn("c", F.when(F.col("n") <= GROUP, 1).otherwise(F.ceil(F.col("n") / (GROUP // 2))).cast("int"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("c")).cast("int"))
+    keyed = fps.select(*names, F.explode(F.array(*keys)).alias("key"))
+    large = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
+    dealt = keyed.join(F.broadcast(large) if large.count() <= BROADCAST else large, "key", "left")
+    dealt = dealt.withColumn("c", F.coalesce(F.ceil(F.col("n") / (GROUP // 2)), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(*names, F.lit(7)), F.col("c")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     #: side 2: compare within the chunk; otherwise only across the two chunks.
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    rows = dealt.select(F.xxhash64("key", low, high).alias("g"), "node", *names, side.cast("int").alias("side"))
-    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_verify(names, distance if closest is None else closest, distance if within is None else within), "a long, b long").distinct()
+    rows = dealt.select(F.xxhash64("key", low, high).alias("g"), *names, side.cast("int").alias("side"))
+    verify = _verify(names, distance if closest is None else closest, distance if within is None else within)
+    found = rows.repartition("g").sortWithinPartitions("g").mapInPandas(verify, ", ".join(f"{side}_{n} long" for side in "ab" for n in names))
+    return found.select(node_of(*[f"a_{n}" for n in names]).alias("a"), node_of(*[f"b_{n}" for n in names]).alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, blocks: int | None = None, words: int = 1, within: int | None = None) -> DataFrame:
@@ -190,8 +199,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, blocks:
     """
     names = [f"f{k}" for k in range(words)]
     fps = saved(fingerprints(docs, width, words))
-    nodes = saved(fps.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64(*names) if words > 1 else F.col("f0")))
-    roots = components(links(nodes.select("node", *names), distance, blocks, within)).select("node", "root")
+    nodes = saved(fps.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", node_of(*names)))
+    roots = components(links(nodes.select(*names), distance, blocks, within)).select("node", "root")
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(least, "root").select(*names, "component_id"), names).select("doc_id", *names, "component_id")
@@ -257,10 +266,13 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: i
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("tx"))
     fps = saved(texts.mapInPandas(prints, ", ".join(["doc_id long, tx long, node long, size long", *(f"{n} long" for n in names)])))
     nodes = saved(fps.groupBy("node").agg(F.min(F.struct("doc_id", "tx")).alias("one"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in names)))
-    near = saved(components(links(nodes.select("node", *names), distance, None, within, BITS)))
-    chunks = near.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    near = components(links(nodes.select(*names).distinct(), distance, None, within, BITS)).select(F.col("node").alias("fp"), "root")
+    nodes = nodes.withColumn("fp", node_of(*names))
+    near = nodes.join(near, "fp", "left").select("node", "size", F.coalesce("root", "fp").alias("root"))
+    chunks = near.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m")).where("n > 1")
     chunks = chunks.select("root", F.when((F.col("n") <= GROUP) & (F.col("m") <= SHINGLES), 1).otherwise(F.greatest(F.ceil(F.col("n") / (GROUP // 2)), F.ceil(F.col("m") / (SHINGLES // 2)))).cast("int").alias("c"))
-    wanted = near.join(nodes, "node").join(chunks, "root").select("root", "node", "c", *names, "one.doc_id", "one.tx")
+    near = saved(near.join(chunks, "root").select("root", "node", "c"))
+    wanted = near.join(nodes, "node").select("root", "node", "c", *names, "one.doc_id", "one.tx")
     held = texts.join(wanted, ["doc_id", "tx"]).dropDuplicates(["doc_id", "tx"]).select("root", "node", "c", *names, "text")
     held = held.mapInPandas(sets_of, ", ".join(["root long, node long, c int", *(f"{n} long" for n in names), "shingles binary"]))
     mine, other = F.pmod(F.xxhash64("node", F.lit(7)), F.col("c")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("c") - 1))
