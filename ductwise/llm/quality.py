@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +22,12 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 @dataclass(frozen=True)
 class Text:
-    """A text with its words and the lines that have a word, each evaluated once for all that reads them."""
+    """A text with its words and the lines that have a word, each evaluated once for all that reads them; `known` holds statistics that are there already."""
 
     text: Column
     words: Column
     lines: Column
+    known: Column | None = None
 
     def share_of_lines(self, pattern: str) -> Column:
         return F.size(F.filter(self.lines, lambda x: x.rlike(pattern)))
@@ -35,13 +36,13 @@ class Text:
         return F.size(self.words).cast("long")
 
     def word_chars(self) -> Column:
-        return F.length(F.array_join(self.words, "")).cast("long")
+        return F.length(F.array_join(self.words, "")).cast("long") if self.known is None else self.known["word_chars"]
 
     def n_symbols(self) -> Column:
-        return F.regexp_count(self.text, F.lit(SYMBOLS)).cast("long")
+        return F.regexp_count(self.text, F.lit(SYMBOLS)).cast("long") if self.known is None else self.known["n_symbols"]
 
     def n_dup_lines(self) -> Column:
-        return (F.size(self.lines) - F.size(F.array_distinct(self.lines))).cast("long")
+        return (F.size(self.lines) - F.size(F.array_distinct(self.lines))).cast("long") if self.known is None else self.known["n_dup_lines"]
 
     def n_repeat_words(self) -> Column:
         return repeated_words(self.words)
@@ -152,7 +153,7 @@ def judged(docs: DataFrame, rules: Iterable[Rule] = RULES, sample_rows: int = 10
     def all_of(t: Text) -> Column:
         stats = F.struct(*[getattr(t, c)().alias(c) for c in STATS])
         base = lambda s: (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-        return _let(stats, lambda s: F.struct(*[s[c].alias(c) for c in STATS], base(s).alias("base_failed"), F.when(base(s), False).otherwise(~rejected(order, t)).alias("kept")))
+        return _let(stats, lambda s: F.struct(*[s[c].alias(c) for c in STATS], base(s).alias("base_failed"), F.when(base(s), False).otherwise(~rejected(order, replace(t, known=s))).alias("kept")))
 
     added = [*STATS, "base_failed", "kept"]
     (found,) = unused(docs, "found")
