@@ -72,7 +72,7 @@ def fit(vectors: DataFrame, n: int, sample_rows: int = 20_000, aim: float = 0.96
     of their five nearest in the sample; more vectors lie closer and need no more.
     """
     rows = smallest_hashes(vectors.select("v"), "v", sample_rows).toPandas()["v"]
-    v = np.stack([np.frombuffer(x, "<f4") for x in rows]).astype(np.float64)
+    v = np.stack([np.frombuffer(x, "<f8") for x in rows]).astype(np.float64)
     rng = np.random.default_rng(7)
     turn, r = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))
     turned = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ (turn * np.sign(np.diag(r)))
@@ -102,12 +102,12 @@ def fit(vectors: DataFrame, n: int, sample_rows: int = 20_000, aim: float = 0.96
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the vectors that take part: not null, not zero, all components finite; of the most common length."""
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.where(ok).select("vec_id", F.col("embedding").cast("array<float>").alias("e"))
+    rows = vectors.where(ok).select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     width = rows.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
 
     def raw(batches):
         for b in batches:
-            yield pd.DataFrame({"vec_id": b["vec_id"], "v": [np.asarray(x, "<f4").tobytes() for x in b["e"]]})
+            yield pd.DataFrame({"vec_id": b["vec_id"], "v": [np.asarray(x, "<f8").tobytes() for x in b["e"]]})
 
     return rows.where(F.size("e") == (width["n"] if width else 0)).mapInPandas(raw, "vec_id long, v binary")
 
@@ -117,8 +117,8 @@ def _search(shared, keep: int):
         index, empty = shared.value, pd.DataFrame({"q": [], "v_id": [], "score": []})
         if base.empty or asked.empty:
             return empty
-        x = np.stack([np.frombuffer(v, "<f4") for v in base["v"]]).astype(np.float64)
-        q = np.stack([np.frombuffer(v, "<f4") for v in asked["v"]]).astype(np.float64)
+        x = np.stack([np.frombuffer(v, "<f8") for v in base["v"]]).astype(np.float64)
+        q = np.stack([np.frombuffer(v, "<f8") for v in asked["v"]]).astype(np.float64)
         tx, tq = index.turned(x), index.turned(q)
         ids, out = base["v_id"].to_numpy(), []
         for at in range(0, len(q), 64):
@@ -142,7 +142,7 @@ def _found(base: DataFrame, asked: DataFrame, index: Index, probes: int, keep: i
     def place(n: int, name: str):
         def run(batches):
             for b in batches:
-                v = np.stack([np.frombuffer(x, "<f4") for x in b["v"]]).astype(np.float64) if len(b) else np.zeros((0, len(shared.value.rotation)))
+                v = np.stack([np.frombuffer(x, "<f8") for x in b["v"]]).astype(np.float64) if len(b) else np.zeros((0, len(shared.value.rotation)))
                 lists = shared.value.lists(shared.value.turned(v), n) if len(b) else np.zeros((0, n), np.int64)
                 at = np.repeat(np.arange(len(b)), lists.shape[1])
                 yield pd.DataFrame({name: b[name].to_numpy()[at], "v": b["v"].to_numpy()[at], "list": lists.ravel()})

@@ -65,17 +65,16 @@ def _to_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         counts: Counter = Counter()
         for lang, word, n in zip(b["lang"], b["item"], b["n"], strict=True):
-            for g in _grams(word[:64]):
+            for g in _grams(word):
                 counts[lang, g] += n
         yield _frame(counts)
 
 
 def _table(counted: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
     """The `most` frequent items and log frequencies by language, smoothed by a half."""
-    wide = counted.groupBy("item").pivot("lang", langs).agg(F.sum("n")).na.fill(0)
-    total = sum((F.col(f"`{x}`") for x in langs), F.lit(0))
-    rows = wide.withColumn("_n", total).orderBy(F.desc("_n"), "item").limit(most).toPandas()
-    counts = rows[langs].to_numpy(np.float64).reshape(len(rows), len(langs))
+    own = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    rows = counted.groupBy("item").agg(F.sum("n").alias("n"), *own).orderBy(F.desc("n"), "item").limit(most).toPandas()
+    counts = rows[[f"n{i}" for i in range(len(langs))]].to_numpy(np.float64).reshape(len(rows), len(langs))
     logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * (len(rows) + 1)))
     return {w: i for i, w in enumerate(rows["item"])}, logs
 
@@ -83,7 +82,8 @@ def _table(counted: DataFrame, langs: list[str], most: int) -> tuple[dict[str, i
 def fit(docs: DataFrame, max_docs: int = 6000, max_words: int = 200_000, max_grams: int = 200_000) -> Model:
     """Learns from text and lang of at most max_docs rows that have both: those with the smallest hash of doc_id.
 
-    The bounds keep the model, which every executor gets, under 100 MB whatever the corpus. Words seen once are left to
+    The model has the max_words most frequent words and the max_grams most frequent n-grams, rarer ones back off to shorter
+    n-grams: the bounds keep the model, which every executor gets, under 100 MB whatever the corpus. Words seen once are left to
     the n-grams. No rows give a model that knows no language.
     """
     chosen = smallest_hashes(docs.where("lang is not null and text is not null").select("doc_id"), "doc_id", max_docs).distinct()

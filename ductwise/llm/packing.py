@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import saved, tokenizer
+from ductwise.llm.common import saved, tokenizer, unused
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -256,23 +256,24 @@ def pack(rows: DataFrame, capacity: int = 2048, steps: int = 300_000, parts: int
     spark = rows.sparkSession  # the rows are kept before they are dealt out, which looks at them twice
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = rows.schema
+    in_part, nth_name = unused(rows, "part", "nth")
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seen = TaskContext.get().partitionId(), {}
         for b in batches:
             nth = b.groupby("length").cumcount()
-            b["_part"], b["_nth"] = part, nth + b["length"].map(seen).fillna(0).astype("int64")
+            b[in_part], b[nth_name] = part, nth + b["length"].map(seen).fillna(0).astype("int64")
             for size, n in b["length"].value_counts().items():
                 seen[size] = seen.get(size, 0) + int(n)
             yield b
 
     spread = saved(rows).repartitionByRange(parts, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
-    marked = saved(spread.mapInPandas(mark, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "_part int", "_nth long"])))
-    counted = marked.groupBy("length", "_part").count().orderBy("length", "_part").collect()
+    marked = saved(spread.mapInPandas(mark, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), f"{in_part} int", f"{nth_name} long"])))
+    counted = marked.groupBy("length", in_part).count().orderBy("length", in_part).collect()
     counts: dict[int, int] = {}
     base: list[tuple[int, int, int]] = []
     for r in counted:
-        base.append((r["length"], r["_part"], counts.get(r["length"], 0)))
+        base.append((r["length"], r[in_part], counts.get(r["length"], 0)))
         counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
     slots, done, seq = [], {}, 0
     for items, n in plan(counts, capacity, steps):
@@ -289,14 +290,14 @@ def pack(rows: DataFrame, capacity: int = 2048, steps: int = 300_000, parts: int
         by = {int(size): x.sort_values("low") for size, x in tables[0].groupby("length")}
         for b in batches:
             seq, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for (size, part), at in b.groupby(["length", "_part"]).indices.items():
+            for (size, part), at in b.groupby(["length", in_part]).indices.items():
                 s = by[int(size)]
-                rank = b["_nth"].to_numpy()[at] + tables[1][int(size), int(part)]
+                rank = b[nth_name].to_numpy()[at] + tables[1][int(size), int(part)]
                 i = np.searchsorted(s["low"].to_numpy(), rank, "right") - 1
                 within = rank - s["low"].to_numpy()[i]
                 seq[at] = s["seq"].to_numpy()[i] + within // s["each"].to_numpy()[i]
                 offset[at] = s["at"].to_numpy()[i] + within % s["each"].to_numpy()[i] * int(size)
-            b = b.drop(columns=["_part", "_nth"])
+            b = b.drop(columns=[in_part, nth_name])
             b["sequence_id"], b["offset"] = seq, offset
             yield b
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import new_folder, scratch, stored, tokenizer
+from ductwise.llm.common import new_folder, remove, scratch, stored, tokenizer
 
 #: Ids that a block holds before the next one begins.
 BLOCK_IDS = 1 << 18
@@ -173,4 +173,5 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFra
 
     path = write(docs, new_folder(docs.sparkSession, "tokens"), tokenizer_path, end_id)
     rows = saved(read(docs.sparkSession, path).drop("ids"))
+    remove(docs.sparkSession, path)
     return placed(rows.withColumn("ids", F.lit(None))).select("doc_id", "start", "n_tokens", "ids_crc32")
