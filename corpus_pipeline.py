@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ductwise.llm import linededup, packing, quality, simhash, toxicity
-from ductwise.llm.common import new_folder, table
+from ductwise.llm.common import new_folder, remove, table
 from ductwise.llm.queries import tokenizer_file
 
 
@@ -48,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; between two stages the rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to `documents`; between two stages the rows are written to the shared folder and read again; a stage's input goes when its output is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
