@@ -120,3 +120,25 @@ def ring_area(ring: Column) -> Column:
     cross = lambda i: F.get(ring, i - 1).x * F.get(ring, i).y - F.get(ring, i).x * F.get(ring, i - 1).y
     parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), cross)
     return F.when(F.size(ring) > 3, F.abs(F.aggregate(parts, F.lit(0.0), lambda a, d: a + d)) / 2).otherwise(0.0)
+
+
+def _on(px: Column, py: Column, s: tuple[Column, ...]) -> Column:
+    """Whether a point lies on a segment, its ends included."""
+    return (side(*s, px, py) == 0) & px.between(F.least(s[0], s[2]), F.greatest(s[0], s[2])) & py.between(F.least(s[1], s[3]), F.greatest(s[1], s[3]))
+
+
+def segments_meet(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Two segments (x1, y1, x2, y2) have a point in common: crossing, touching or overlapping."""
+    return properly_cross(a, b) | _on(a[0], a[1], b) | _on(a[2], a[3], b) | _on(b[0], b[1], a) | _on(b[2], b[3], a)
+
+
+def meets_ring(s: tuple[Column, ...], ring: Column) -> Column:
+    """A segment has a point in common with the area of a closed ring: it meets an edge, or begins inside."""
+    edge = lambda i: (F.get(ring, i - 1).x, F.get(ring, i - 1).y, F.get(ring, i).x, F.get(ring, i).y)
+    return F.exists(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: segments_meet(s, edge(i))) | ring_contains(ring, s[0], s[1])
+
+
+def area_of(polygons: Column) -> Column:
+    """Area of polygons, each an array of closed rings: the first less the others, which are holes."""
+    one = lambda rings: F.aggregate(F.transform(rings, lambda r, i: F.when(i == 0, ring_area(r)).otherwise(-ring_area(r))), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.transform(polygons, one), F.lit(0.0), lambda a, x: a + x)

@@ -111,3 +111,28 @@ def with_rule(df: DataFrame, column: str = "restriction_type") -> DataFrame:
     """Adds rule, min_distance and k; types that are not in the table, and null, get the rule for unknown ones."""
     found = df.join(F.broadcast(rules(df.sparkSession).select(F.col("restriction_type").alias("_type"), "rule", "min_distance", "k")), F.col(column) == F.col("_type"), "left")
     return found.drop("_type").withColumns({"rule": F.coalesce("rule", F.lit(UNKNOWN_RULE[0])), "min_distance": F.coalesce("min_distance", F.lit(UNKNOWN_RULE[1])), "k": F.coalesce("k", F.lit(1.0))})
+
+
+def tie_in_cost(n_new: Column, in_chamber: Column) -> Column:
+    """What n new segments that meet an existing chamber cost; ties to a segment cost nothing here."""
+    return F.when(in_chamber, n_new * TIE_IN_COST).otherwise(0)
+
+
+def half_width(dn: Column) -> Column:
+    """Half of the width of a pair of pipes; null for a dn that is not in the table."""
+    return _first([(dn == d, F.lit(width / 2)) for d, _, _, _, width, _ in PIPES])
+
+
+def clearance_for(building: Column, dn: Column, min_distance: Column, object_width: Column, extra: float = 0.0) -> Column:
+    """Distance from the axis of a new pair of pipes to an obstacle: to a building by dn, else by the rule and half the object's width."""
+    return F.when(building, clearance(dn)).otherwise(min_distance + F.coalesce(object_width, F.lit(0.0)) / 2) + half_width(dn) + extra
+
+
+def capacity_at_least(dn: Column) -> Column:
+    """Capacity of the pipe of this dn, or of the next larger one in the table; null above all."""
+    return _first([(dn <= d, F.lit(c)) for d, c, *_ in PIPES])
+
+
+def assumed_flow(dn: Column, share: float | None) -> Column:
+    """Flow of an existing pipe that is not known: a share of its capacity, or none."""
+    return F.lit(0.0) if share is None else F.coalesce(capacity_at_least(dn) * share, F.lit(0.0))

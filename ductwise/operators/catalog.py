@@ -88,3 +88,42 @@ def with_examples(issues: DataFrame, most: int = 50) -> DataFrame:
     w = W.partitionBy("code").orderBy("seq", "feature_id")
     counts = issues.groupBy("code").agg(F.count("*").alias("n"))
     return issues.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r").join(F.broadcast(counts), "code")
+
+
+def features_by_id(rows: DataFrame, fid: object, key: str = "fid", order: str = "seq", most: int = 100) -> DataFrame:
+    """The first `most` rows of one id, in order: a point lookup that reaches the scan as a filter."""
+    return rows.where(F.col(key) == fid).orderBy(order).limit(most)
+
+
+def features_of_issue(rows: DataFrame, issues: DataFrame, code: str, key: str = "fid", order: str = "seq", most: int = 5000) -> DataFrame:
+    """The first `most` rows that an issue of this code names."""
+    named = issues.where(F.col("code") == code).select(F.col("feature_id").alias(key))
+    return rows.join(named, key, "left_semi").orderBy(order).limit(most)
+
+
+def filtered_issues(issues: DataFrame, severity: str | None = None, most: int = 500) -> DataFrame:
+    """The first `most` issues of a severity by code, or of all by severity and code; ties in order of seq."""
+    found = issues if severity is None else issues.where(F.col("severity") == severity)
+    return found.orderBy(*([] if severity else ["severity"]), "code", "seq").limit(most)
+
+
+def copy_version(rows: DataFrame, parent: object, child: object, version: str = "dataset_id") -> DataFrame:
+    """The rows of one version as those of a new one."""
+    return rows.where(F.col(version) == parent).withColumn(version, F.lit(child))
+
+
+def with_fallback(rows: DataFrame, first: DataFrame, second: DataFrame, key: str = "fid", value: str = "geom") -> DataFrame:
+    """Adds `value` from `first`, and where that has none from `second`; both hold (key, value), at most one row for a key."""
+    a, b = first.select(key, F.col(value).alias("_first")), second.select(key, F.col(value).alias("_second"))
+    return rows.join(a, key, "left").join(b, key, "left").withColumn(value, F.coalesce("_first", "_second")).drop("_first", "_second")
+
+
+def run_scores(runs: DataFrame, summary: str = "summary") -> DataFrame:
+    """Adds best_score and variants from a JSON array of variants with their scores; no array gives null and null."""
+    found = F.from_json(summary, "array<struct<score double>>")
+    return runs.withColumns({"best_score": F.array_min(F.transform(found, lambda x: x.score)), "variants": F.when(found.isNotNull(), F.size(found))})
+
+
+def nearest_rank(value: str, percent: int) -> Column:
+    """The smallest value that at least `percent` in a hundred do not exceed; from counts of different values, so it is summed before the shuffle."""
+    return F.expr(f"percentile_disc({percent / 100}) within group (order by {value})")

@@ -81,3 +81,56 @@ def merge_intervals(df: DataFrame, keys: list[str], low: str, high: str, k: str,
 def degree(segments: DataFrame, ends: list[str]) -> DataFrame:
     """(node, degree): how many segment ends meet at a node."""
     return segments.select(F.explode(F.array(*ends)).alias("node")).where("node is not null").groupBy("node").agg(F.count("*").alias("degree"))
+
+
+def running_length(df: DataFrame, keys: list[str], order: list[str], length: str, out: str = "position") -> DataFrame:
+    """Adds how far along its line each piece begins."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumn(out, F.coalesce(F.sum(length).over(w), F.lit(0)))
+
+
+def derive_upstream(segments: DataFrame, root: int, source: int, most: int = 10_000) -> DataFrame:
+    """(id, upstream, depth) of the segments (id, a, b) that hang together with the root node: the walk from it, level by level.
+
+    upstream is the segment by which the walk came to the end where this one begins; the source at the root. Of several
+    segments that lead to a node in one level the smallest id counts. Segments out of reach have no row.
+    """
+    ends = segments.select("id", F.col("a").alias("at"), F.col("b").alias("to")).unionByName(segments.select("id", F.col("b").alias("at"), F.col("a").alias("to")))
+    reached = cut_lineage(segments.sparkSession.createDataFrame([(root, source)], "node long, into long"))
+    front, taken, found = reached, None, None
+    for depth in range(1, most):
+        step = ends.join(front, ends["at"] == front["node"])
+        step = step if taken is None else step.join(taken, "id", "left_anti")
+        step = cut_lineage(step.groupBy("id").agg(F.min(F.struct("into", "to")).alias("s")).select("id", F.col("s.into").alias("upstream"), F.col("s.to").alias("to"), F.lit(depth).alias("depth")))
+        if step.isEmpty():
+            break
+        found = step if found is None else found.unionByName(step)
+        taken = found.select("id")
+        fresh = step.groupBy(F.col("to").alias("node")).agg(F.min("id").alias("into")).join(reached.select("node"), "node", "left_anti")
+        front = cut_lineage(fresh.select("node", "into"))
+        reached = reached.unionByName(front)
+    else:
+        raise RuntimeError(f"the walk takes more than {most} levels")
+    if found is None:
+        return segments.sparkSession.createDataFrame([], "id long, upstream long, depth int")
+    return found.select("id", "upstream", "depth")
+
+
+def branch_groups(tree: DataFrame, low: int = 2, high: int = 6) -> DataFrame:
+    """(node, n, shape, length, density) of the nodes with low to high consumers below, densest first, ties to the smaller node.
+
+    The tree holds node, parent, consumer (true for a connection point), shape and length of the edge above the node; the
+    group is the node's subtree with the edge above it. Consumers themselves are no groups.
+    """
+    below = ancestors(tree).select("node", "ancestor").join(tree.select("node", "consumer", "shape", "length"), "node")
+    sums = below.groupBy(F.col("ancestor").alias("node")).agg(F.count_if("consumer").alias("n"), F.sum("shape").alias("shape"), F.sum("length").alias("length"))
+    groups = sums.where(F.col("n").between(low, high)).join(tree.where("not consumer").select("node"), "node", "left_semi")
+    groups = groups.withColumn("density", F.col("shape") / F.nullif(F.col("length"), F.lit(0)))
+    return groups.orderBy(F.desc_nulls_last("density"), "node")
+
+
+def place_names(segments: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """(id, place): the upstream segment's id where a segment (id, upstream, sx, sy, ex, ey) goes on from its end, else its own."""
+    up = segments.select(F.col("id").alias("_up"), F.col("ex").alias("_x"), F.col("ey").alias("_y"))
+    near = (F.col("_x") - F.col("sx")) * (F.col("_x") - F.col("sx")) + (F.col("_y") - F.col("sy")) * (F.col("_y") - F.col("sy")) <= tolerance * tolerance
+    return segments.join(up, F.col("upstream") == F.col("_up"), "left").select("id", F.when(near, F.col("_up")).otherwise(F.col("id")).alias("place"))

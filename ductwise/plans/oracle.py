@@ -65,8 +65,13 @@ SQL["q24_within_radius"] = f"with {_SUPPLIERS}, {_CUSTOMERS} select s_suppkey, c
 SQL["q25_box_join"] = f"with {_SUPPLIERS}, {_RECTS} select s_suppkey, count(*) as n, min(p_partkey) as first_part from s join r on x between x0 and x1 and y between y0 and y1 group by s_suppkey"
 SQL["q26_smallest_area"] = f"with {_SUPPLIERS}, {_RECTS} select s_suppkey, p_partkey from (select s_suppkey, p_partkey, row_number() over (partition by s_suppkey order by (x1 - x0) * (y1 - y0), p_partkey) as n from s join r on x between x0 and x1 and y between y0 and y1) where n = 1"
 _SIDE = "sign(({0}.bx - {0}.ax) * ({1} - {0}.ay) - ({0}.by_ - {0}.ay) * ({2} - {0}.ax))"
-SQL["q27_segment_crossings"] = f"""with {_CUSTOMERS}, {_SHORT} select a.k as a, b.k as b from g a join g b on a.k < b.k and abs(a.ax - b.ax) <= 20 and abs(a.ay - b.ay) <= 20
+_LONG = "g as (select c_custkey as k, cx as ax, cy as ay, cx + (c_custkey % 7 - 3) * 20 as bx, cy + ((c_custkey % 5 - 2) * 2 + 1) * 10 as by_ from c)"
+_NEAR = "least({0}.ax, {0}.bx) <= greatest({1}.ax, {1}.bx) and least({1}.ax, {1}.bx) <= greatest({0}.ax, {0}.bx) and least({0}.ay, {0}.by_) <= greatest({1}.ay, {1}.by_) and least({1}.ay, {1}.by_) <= greatest({0}.ay, {0}.by_)"
+SQL["q27_segment_crossings"] = f"""with {_CUSTOMERS}, {_LONG} select a.k as a, b.k as b from g a join g b on a.k < b.k and {_NEAR.format('a', 'b')}
 where {_SIDE.format('a', 'b.ay', 'b.ax')} * {_SIDE.format('a', 'b.by_', 'b.bx')} < 0 and {_SIDE.format('b', 'a.ay', 'a.ax')} * {_SIDE.format('b', 'a.by_', 'a.bx')} < 0"""
+_ON = "({2} between least({0}.ax, {0}.bx) and greatest({0}.ax, {0}.bx) and {1} between least({0}.ay, {0}.by_) and greatest({0}.ay, {0}.by_) and " + _SIDE + " = 0)"
+_MEET = f"""({_SIDE.format('a', 'b.ay', 'b.ax')} * {_SIDE.format('a', 'b.by_', 'b.bx')} < 0 and {_SIDE.format('b', 'a.ay', 'a.ax')} * {_SIDE.format('b', 'a.by_', 'a.bx')} < 0
+  or {_ON.format('a', 'b.ay', 'b.ax')} or {_ON.format('a', 'b.by_', 'b.bx')} or {_ON.format('b', 'a.ay', 'a.ax')} or {_ON.format('b', 'a.by_', 'a.bx')})"""
 SQL["q28_clip_intervals"] = f"""with {_CUSTOMERS}, {_SHORT}, {_RECTS}, j as (select k, ax, ay, (bx - ax)::double as dx, (by_ - ay)::double as dy, x0, y0, x1, y1 from g join r on least(ax, bx) <= x1 and greatest(ax, bx) >= x0 and least(ay, by_) <= y1 and greatest(ay, by_) >= y0),
 t as (select k, greatest(0, case when dx = 0 then 0 else least((x0 - ax) / dx, (x1 - ax) / dx) end, case when dy = 0 then 0 else least((y0 - ay) / dy, (y1 - ay) / dy) end) as low,
   least(1, case when dx = 0 then 1 else greatest((x0 - ax) / dx, (x1 - ax) / dx) end, case when dy = 0 then 1 else greatest((y0 - ay) / dy, (y1 - ay) / dy) end) as high from j)
@@ -114,3 +119,47 @@ SQL["q46_point_to_segment"] = """with p as (select s_suppkey as k, ((s_suppkey +
 t as (select *, case when ax = bx and ay = by_ then 0.0::double else greatest(0.0::double, least(1.0::double, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay))::double / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) end as t from p)
 select k as s_suppkey, round(sqrt((ax + t * (bx - ax) - x) ** 2 + (ay + t * (by_ - ay) - y) ** 2), 6) as distance from t"""
 SQL["q47_union_and_run_lists"] = "select o_orderkey, c_name from (select o_orderkey, c_name, o_orderdate from orders join customer on o_custkey = c_custkey where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey limit 100)"
+SQL["q49_segments_meet"] = f"""with {_CUSTOMERS}, {_LONG}, m as (select a.k as i, b.k as j from g a join g b on a.k < b.k and {_NEAR.format('a', 'b')} where {_MEET})
+select c_custkey, count(*) as n from (select i as c_custkey from m union all select j from m) group by 1"""
+SQL["q50_segment_meets_area"] = f"""with {_CUSTOMERS}, {_LONG}, d as (select s_suppkey, (s_suppkey * 7919) % 1000 + 1 as x, (s_suppkey * 104729) % 1000 + 2 as y, s_suppkey % 30 + 2 as r from supplier),
+e as (select s_suppkey, x + r as ax, y as ay, x as bx, y + r as by_ from d union all select s_suppkey, x, y + r, x - r, y from d union all select s_suppkey, x - r, y, x, y - r from d union all select s_suppkey, x, y - r, x + r, y from d),
+m as (select b.s_suppkey, a.k from g a join e b on {_NEAR.format('a', 'b')} where {_MEET} union select s_suppkey, k from g join d on abs(ax - x) + abs(ay - y) < r)
+select s_suppkey, count(*) as n, sum(k)::bigint as keys from m group by 1"""
+SQL["q51_features_by_id"] = "select l_partkey, count(*) as n from (select l_partkey from lineitem where l_partkey = 7 order by l_orderkey limit 100) group by 1"
+SQL["q52_features_of_issue"] = "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_nationkey = 3) order by o_orderkey limit 5000"
+SQL["q53_issue_filter"] = "select 'code.' || (user_id % 10) as code, event_type as severity, event_id as seq from events where event_type = 'error' order by code, seq limit 500"
+SQL["q54_version_copy"] = "select dataset_id, count(*) as n, sum(p_partkey)::bigint as keys from (select p_size::int as dataset_id, p_partkey from part union all select 1000, p_partkey from part where p_size = 1) group by 1"
+SQL["q55_fallback_join"] = """select geom, count(*) as n, sum(c_custkey)::bigint as keys from (select c_custkey, case when a.s_suppkey is not null then 'footprint' when b.s_suppkey is not null then 'point' end as geom
+from customer left join supplier a on a.s_suppkey = c_custkey and a.s_nationkey < 10 left join supplier b on b.s_suppkey * 2 = c_custkey) group by 1"""
+SQL["q56_run_scores"] = """select case o_orderkey % 3 when 0 then 0 when 1 then 2 end::int as variants, count(*) as n, sum(case when o_orderkey % 3 = 1 then least(o_orderkey % 7, o_custkey % 5)::double end) as scores from orders group by 1"""
+SQL["q57_latency"] = """with r as (select event_type, value, row_number() over (partition by event_type order by value) as i, count(*) over (partition by event_type) as n from events where value is not null)
+select event_type, n, max(value) filter (where i = greatest(1, (50 * n + 99) // 100)) as p50, max(value) filter (where i = greatest(1, (95 * n + 99) // 100)) as p95, max(value) as longest from r group by event_type, n"""
+SQL["q58_running_length"] = """with l as (select l_orderkey, l_linenumber, l_partkey % 90 + 10 as length from lineitem), p as (select l_orderkey, coalesce(sum(length) over (partition by l_orderkey order by l_linenumber, length rows between unbounded preceding and 1 preceding), 0) as position from l)
+select l_orderkey, sum(position)::bigint as positions, max(position)::bigint as last from p group by 1"""
+SQL["q59_kinds_by_count"] = "select p_brand, count(*) as n, (row_number() over (order by count(*) desc, p_brand))::int as place from part group by 1"
+_CONSUMERS = "k as (select c_custkey, c_nationkey, c_custkey // 5 as branch, (c_custkey * 7919) % 1000 as distance, c_custkey % 40 + 1 as flow from customer)"
+SQL["q60_three_orders"] = f"""with {_CONSUMERS} select c_custkey, (row_number() over (partition by c_nationkey order by distance, c_custkey))::int as near, (row_number() over (partition by c_nationkey order by distance desc, c_custkey desc))::int as far,
+(row_number() over (partition by c_nationkey order by flow desc, distance, c_custkey))::int as by_flow from k"""
+SQL["q61_group_orders"] = f"""with {_CONSUMERS}, o as (select branch, string_agg(c_custkey::varchar, ',' order by distance desc, c_custkey desc) as far, string_agg(c_custkey::varchar, ',' order by flow desc, distance, c_custkey) as by_flow,
+  string_agg(c_custkey::varchar, ',' order by distance, c_custkey) as near from k where c_custkey % 7 <> 0 group by branch having count(*) between 2 and 6)
+select branch, len(list_distinct([far, by_flow, near]))::int as n, far, case when near <> far and near <> by_flow then near when by_flow <> far then by_flow else far end as last from o"""
+SQL["q62_alternatives"] = """with t as (select s_nationkey, s_suppkey, (s_suppkey * 37) % 101 as score, row_number() over (partition by s_nationkey order by s_suppkey % 11 <> 0, s_suppkey) = 1 as chosen from supplier),
+r as (select *, row_number() over (partition by s_nationkey order by score, s_suppkey) as r from t), w as (select *, max(case when chosen then r end) over (partition by s_nationkey) as c from r)
+select s_nationkey, s_suppkey, least(r, 6)::int as place, chosen from w where chosen or r <= case when c > 6 then 5 else 6 end"""
+SQL["q63_derived_upstream"] = """with recursive w(id, upstream, depth) as (select c_custkey::bigint, 0::bigint, 1 from customer where c_custkey > 0 and c_custkey // 4 = 0
+union all select c.c_custkey, w.id, w.depth + 1 from customer c join w on c.c_custkey // 4 = w.id and c.c_custkey > 0) select id, upstream, depth::int as depth from w"""
+_GAP = "sqrt((ax + t{0} * (bx - ax) - x{0}) ** 2 + (ay + t{0} * (by_ - ay) - y{0}) ** 2)"
+_PLACE = "greatest(0.0::double, least(1.0::double, ((x{0} - ax) * (bx - ax) + (y{0} - ay) * (by_ - ay))::double / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) as t{0}"
+SQL["q64_oriented_lines"] = f"""with p as (select s_suppkey, ((s_suppkey + 3) * 7919) % 1000 as x1, ((s_suppkey + 3) * 104729) % 1000 as y1, (s_suppkey * 3 * 7919) % 1000 as x2, (s_suppkey * 3 * 104729) % 1000 as y2, (s_suppkey * 7919) % 1000 as ax, (s_suppkey * 104729) % 1000 as ay,
+  ((s_suppkey * 2 + 1) * 7919) % 1000 as bx, ((s_suppkey * 2 + 1) * 104729) % 1000 as by_ from supplier), t as (select *, case when ax = bx and ay = by_ then null else [0] end as ok, {_PLACE.format(1)}, {_PLACE.format(2)} from p)
+select s_suppkey, {_GAP.format(2)} < {_GAP.format(1)} as reversed, round(least({_GAP.format(1)}, {_GAP.format(2)}), 6) as gap from t"""
+SQL["q65_place_names"] = "select c.c_custkey::bigint as id, case when u.c_custkey is not null and c.c_custkey % 3 <> 0 then u.c_custkey else c.c_custkey end::bigint as place from customer c left join customer u on u.c_custkey = c.c_custkey // 4"
+SQL["q66_branch_groups"] = """with recursive n as (select c_custkey as node, case when c_custkey > 0 then c_custkey // 4 end as parent from customer), t as (select node, parent, node not in (select parent from n where parent is not null) as consumer from n),
+u(node, ancestor) as (select node, node from t union all select u.node, t.parent from u join t on t.node = u.ancestor where t.parent in (select node from n)),
+s as (select ancestor as node, count(*) filter (where consumer) as n, sum(u.node % 5)::bigint as shape, sum(u.node % 9 + 1)::bigint as length from u join t on t.node = u.node group by 1)
+select s.node, n, shape, length, round(shape::double / length, 9) as density from s join t on t.node = s.node where n between 2 and 6 and not consumer"""
+_DN = "case " + " ".join(f"when flow <= {c} + 1e-9 then {dn}" for dn, c, *_ in ref.PIPES) + " end"
+_BY_DN = lambda column: "case dn " + " ".join(f"when {p[0]} then {p[column]}::double" for p in ref.PIPES) + " end"
+SQL["q67_new_costs"] = f"""with p as (select distinct p_size::int as size, p_partkey % 2 = 0 as building from part), f as (select *, size * 100.0::double as flow from p), d as (select *, {_DN} as dn from f)
+select size, building, dn, round(case when building then case when dn < 500 then 5.0::double when dn < 900 then 7.0::double else 9.0::double end else 2.2::double end + {_BY_DN(4)} / 2, 6) as clearance,
+case when building then size % 3 * 5000000 else 0 end::bigint as tie_in, round(coalesce({_BY_DN(1)} * 0.5::double, 0.0::double), 6) as flow from d"""

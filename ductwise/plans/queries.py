@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
-from ductwise.operators import catalog, compare, grid, network, shapes
+from ductwise.operators import catalog, compare, grid, network, orders, shapes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -237,9 +237,18 @@ def short_segments(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k, x.alias("ax"), y.alias("ay"), (x + dx).alias("bx"), (y + dy).alias("by"), F.least(x, x + dx).alias("x0"), F.least(y, y + dy).alias("y0"), F.greatest(x, x + dx).alias("x1"), F.greatest(y, y + dy).alias("y1"))
 
 
+def long_segments(spark, sf_dir):
+    """Segments of up to 80 by 50, so that they cross, touch and overlap."""
+    k = F.col("c_custkey")
+    x, y = px(k), py(k)
+    dx, dy = (k % 7 - 3) * 20, ((k % 5 - 2) * 2 + 1) * 10
+    ends = {"ax": x, "ay": y, "bx": x + dx, "by": y + dy}
+    return table(spark, sf_dir, "customer").select(k, *[v.cast("long").alias(n) for n, v in ends.items()]).withColumns({"x0": F.least("ax", "bx"), "y0": F.least("ay", "by"), "x1": F.greatest("ax", "bx"), "y1": F.greatest("ay", "by")})
+
+
 @query
 def q27_segment_crossings(spark, sf_dir):
-    pairs = grid.pairs_of_boxes(short_segments(spark, sf_dir), "c_custkey", "x0", "y0", "x1", "y1", 20.0)
+    pairs = grid.pairs_of_boxes(long_segments(spark, sf_dir), "c_custkey", "x0", "y0", "x1", "y1", 80.0)
     ends = lambda s: tuple(F.col(f"{s}.{c}") for c in ("ax", "ay", "bx", "by"))
     return pairs.where(geo.properly_cross(ends("a"), ends("b"))).select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"))
 
@@ -411,3 +420,162 @@ def q48_convex_hulls(spark, sf_dir):
     k = F.col("c_custkey")
     hulls = shapes.convex_hulls(table(spark, sf_dir, "customer").select("c_nationkey", px(k).alias("x"), py(k).alias("y")), "c_nationkey")
     return hulls.select("c_nationkey", F.size("hull").alias("n"), F.round(geo.ring_area(F.col("hull")), 3).alias("area"))
+
+
+@query
+def q49_segments_meet(spark, sf_dir):
+    """How many others each segment meets: crossing, touching and overlapping."""
+    pairs = grid.pairs_of_boxes(long_segments(spark, sf_dir), "c_custkey", "x0", "y0", "x1", "y1", 80.0)
+    ends = lambda s: tuple(F.col(f"{s}.{c}") for c in ("ax", "ay", "bx", "by"))
+    met = pairs.where(geo.segments_meet(ends("a"), ends("b"))).select(F.explode(F.array("a.c_custkey", "b.c_custkey")).alias("c_custkey"))
+    return met.groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+
+@query
+def q50_segment_meets_area(spark, sf_dir):
+    """Segments against diamonds around the suppliers' points."""
+    size, r = 80.0, F.col("r")
+    k = F.col("s_suppkey")
+    d = table(spark, sf_dir, "supplier").select(k, (px(k) + 1).cast("long").alias("x"), (py(k) + 2).cast("long").alias("y"), (k % 30 + 2).cast("long").alias("r"))
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y = F.col("x"), F.col("y")
+    d = d.withColumn("ring", F.array(corner(x + r, y), corner(x, y + r), corner(x - r, y), corner(x, y - r), corner(x + r, y)))
+    a = grid.over_cells(long_segments(spark, sf_dir), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
+    b = grid.over_cells(d, x - r, y - r, x + r, y + r, size)
+    home = (F.col("_cx") == grid.cell(F.greatest(F.col("x0"), x - r), size)) & (F.col("_cy") == grid.cell(F.greatest(F.col("y0"), y - r), size))
+    rows = a.join(b, ["_cx", "_cy"]).where(home & geo.meets_ring(tuple(F.col(c) for c in ("ax", "ay", "bx", "by")), F.col("ring")))
+    return rows.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query
+def q51_features_by_id(spark, sf_dir):
+    """The first hundred order lines of one part."""
+    return catalog.features_by_id(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), 7, "l_partkey", "l_orderkey").groupBy("l_partkey").agg(F.count("*").alias("n"))
+
+
+@query
+def q52_features_of_issue(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    issues = c.select(F.concat(F.lit("nation."), F.col("c_nationkey").cast("string")).alias("code"), F.col("c_custkey").alias("feature_id"))
+    return catalog.features_of_issue(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), issues, "nation.3", "o_custkey", "o_orderkey")
+
+
+@query
+def q53_issue_filter(spark, sf_dir):
+    """The first issues of one severity, by code."""
+    issues = table(spark, sf_dir, "events").select(F.concat(F.lit("code."), (F.col("user_id") % 10).cast("string")).alias("code"), F.col("event_type").alias("severity"), F.col("event_id").alias("seq"))
+    return catalog.filtered_issues(issues, "error").select("code", "severity", "seq")
+
+
+@query
+def q54_version_copy(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("dataset_id"), "p_partkey", "p_retailprice")
+    copy = catalog.copy_version(p, 1, 1000)
+    return p.unionByName(copy).groupBy("dataset_id").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"))
+
+
+@query
+def q55_fallback_join(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    first = s.where("s_nationkey < 10").select(F.col("s_suppkey").alias("fid"), F.lit("footprint").alias("geom"))
+    second = s.select((F.col("s_suppkey") * 2).alias("fid"), F.lit("point").alias("geom"))
+    rows = catalog.with_fallback(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fid")), first, second)
+    return rows.groupBy("geom").agg(F.count("*").alias("n"), F.sum("fid").alias("keys"))
+
+
+@query
+def q56_run_scores(spark, sf_dir):
+    k = F.col("o_orderkey")
+    score = lambda x: F.concat(F.lit('{"score":'), x.cast("string"), F.lit("}"))
+    summary = F.when(k % 3 == 0, "[]").when(k % 3 == 1, F.concat(F.lit("["), score(k % 7), F.lit(","), score(F.col("o_custkey") % 5), F.lit("]")))
+    runs = catalog.run_scores(table(spark, sf_dir, "orders").select(k, "o_custkey", summary.alias("summary")))
+    return runs.groupBy("variants").agg(F.count("*").alias("n"), F.sum("best_score").alias("scores"))
+
+
+@query
+def q57_latency(spark, sf_dir):
+    """Nearest-rank percentiles, as of a load test."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), catalog.nearest_rank("value", 50).alias("p50"), catalog.nearest_rank("value", 95).alias("p95"), F.max("value").alias("longest"))
+
+
+@query
+def q58_running_length(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 90 + 10).cast("long").alias("length"))
+    return network.running_length(rows, ["l_orderkey"], ["l_linenumber", "length"], "length").groupBy("l_orderkey").agg(F.sum("position").cast("long").alias("positions"), F.max("position").cast("long").alias("last"))
+
+
+@query
+def q59_kinds_by_count(spark, sf_dir):
+    """Kinds with the most rows first, ties by name; `place` is the place in that list."""
+    counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "p_brand").select("p_brand", "n", F.row_number().over(W.orderBy(F.desc("n"), "p_brand")).alias("place"))
+
+
+def consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k, "c_nationkey", F.floor(k / 5).cast("long").alias("branch"), px(k).cast("long").alias("distance"), (k % 40 + 1).cast("long").alias("flow"))
+
+
+@query
+def q60_three_orders(spark, sf_dir):
+    return orders.three_orders(consumers(spark, sf_dir), ["c_nationkey"], "distance", "flow", "c_custkey").select("c_custkey", "near", "far", "by_flow")
+
+
+@query
+def q61_group_orders(spark, sf_dir):
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    found = orders.group_orders(consumers(spark, sf_dir).where("c_custkey % 7 <> 0"), "branch", "distance", "flow", "c_custkey")
+    return found.select("branch", F.size("orders").alias("n"), text(F.get("orders", 0)).alias("far"), text(F.element_at("orders", -1)).alias("last"))
+
+
+@query
+def q62_alternatives(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    ties = s.select("s_nationkey", k, ((k * 37) % 101).cast("long").alias("score"), (k % 11 == 0).alias("reached"))
+    chosen = F.row_number().over(W.partitionBy("s_nationkey").orderBy(F.desc("reached"), "s_suppkey")) == 1
+    return orders.alternatives(ties.withColumn("chosen", chosen), "s_nationkey", "s_suppkey", "score", "chosen").select("s_nationkey", "s_suppkey", "place", "chosen")
+
+
+@query
+def q63_derived_upstream(spark, sf_dir):
+    """The tree of customers as segments whose ends stand in any order, walked from its root."""
+    k = F.col("c_custkey").cast("long")
+    up = F.floor(k / 4).cast("long")
+    segments = table(spark, sf_dir, "customer").where("c_custkey > 0").select(k.alias("id"), F.when(k % 2 == 0, up).otherwise(k).alias("a"), F.when(k % 2 == 0, k).otherwise(up).alias("b"))
+    return network.derive_upstream(segments, 0, 0)
+
+
+@query
+def q64_oriented_lines(spark, sf_dir):
+    """Whether a line has to be turned to begin at its upstream segment, and whether it touches that."""
+    k = F.col("s_suppkey")
+    up = (px(k), py(k), px(k * 2 + 1), py(k * 2 + 1))
+    start = geo.point_segment_distance(px(k + 3), py(k + 3), *up)
+    end = geo.point_segment_distance(px(k * 3), py(k * 3), *up)
+    return table(spark, sf_dir, "supplier").select(k, (end < start).alias("reversed"), F.round(F.least(start, end), 6).alias("gap"))
+
+
+@query
+def q65_place_names(spark, sf_dir):
+    k = F.col("c_custkey").cast("long")
+    up = F.floor(k / 4).cast("long")
+    s = table(spark, sf_dir, "customer").select(k.alias("id"), up.alias("upstream"), (px(up) + F.when(k % 3 == 0, 1).otherwise(0)).alias("sx"), py(up).alias("sy"), px(k).alias("ex"), py(k).alias("ey"))
+    return network.place_names(s)
+
+
+@query
+def q66_branch_groups(spark, sf_dir):
+    nodes = tree(spark, sf_dir)
+    inner = nodes.select(F.col("parent").alias("node")).distinct().withColumn("_inner", F.lit(True))
+    k = F.col("node")
+    t = nodes.join(inner, "node", "left").select("node", "parent", F.col("_inner").isNull().alias("consumer"), (k % 5).cast("long").alias("shape"), (k % 9 + 1).cast("long").alias("length"))
+    return network.branch_groups(t).select("node", "n", "shape", "length", F.round("density", 9).alias("density"))
+
+
+@query
+def q67_new_costs(spark, sf_dir):
+    """Clearance, tie-in cost and assumed flow of each pipe of the table that parts of a size would take."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("size"), (F.col("p_partkey") % 2 == 0).alias("building"))
+    found = rows.distinct().select("size", "building", ref.dn_for_flow(F.col("size") * 100.0).alias("dn"))
+    return found.select("size", "building", "dn", F.round(ref.clearance_for(F.col("building"), F.col("dn"), F.lit(2.0), F.lit(0.4)), 6).alias("clearance"), ref.tie_in_cost(F.col("size") % 3, F.col("building")).cast("long").alias("tie_in"), F.round(ref.assumed_flow(F.col("dn"), 0.5), 6).alias("flow"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,10 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset and everything runs in one process."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ductwise-"))
     return df.checkpoint()

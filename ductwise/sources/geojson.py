@@ -78,6 +78,12 @@ def parts_of(kind: Column, coordinates: Column) -> Column:
     )
 
 
+def polygons_of(kind: Column, coordinates: Column) -> Column:
+    """Polygons as arrays of rings, the outer one first; null for other geometry."""
+    rings = lambda x: F.transform(x, _points)
+    return F.when(kind == "Polygon", F.array(rings(F.from_json(coordinates, f"array<{_LINE}>")))).when(kind == "MultiPolygon", F.transform(F.from_json(coordinates, f"array<array<{_LINE}>>"), rings))
+
+
 def _every_point(parts: Column, test) -> Column:
     return F.forall(parts, lambda line: F.forall(line, test))
 
@@ -87,7 +93,7 @@ def checked(features: DataFrame) -> DataFrame:
     rows = features.select("seq", F.col("feature.properties").alias("props"), F.col("feature.id").alias("_id"), F.col("feature.geometry.type").alias("kind"), F.col("feature.geometry.coordinates").alias("_c"))
     fid = F.coalesce(F.nullif(_text("props", "id"), F.lit("")), F.nullif(F.try_variant_get("_id", "$", "string"), F.lit("")))
     number_id = F.schema_of_variant(F.coalesce(F.variant_get("props", "$.id", "variant"), F.col("_id"))).rlike(_NUMBER)
-    rows = rows.withColumns({"fid": fid, "id_is_number": F.coalesce(number_id, F.lit(False)), "object_type": _text("props", "object_type"), "lonlat": parts_of(F.col("kind"), F.col("_c"))})
+    rows = rows.withColumns({"fid": fid, "id_is_number": F.coalesce(number_id, F.lit(False)), "object_type": _text("props", "object_type"), "lonlat": parts_of(F.col("kind"), F.col("_c")), "polygons": polygons_of(F.col("kind"), F.col("_c"))})
     allowed, missing, wrong = F.lit(False), F.lit(False), F.lit(False)
     for name, (kinds, needs) in TYPES.items():
         own = F.col("object_type") == name
@@ -128,11 +134,12 @@ def typed(rows: DataFrame) -> DataFrame:
     good = good.withColumns({"object_type": F.when(building, "oks_existing").otherwise(F.col("object_type")), "restriction_type": F.when(~building, F.col("restriction_type"))})
     xy = lambda p: F.struct(*[c.alias(n) for n, c in zip("xy", geo.utm_forward(p.x, p.y), strict=True)])
     good = good.withColumn("parts", F.transform("lonlat", lambda line: F.transform(line, xy)))
+    polygons = F.transform("polygons", lambda rings: F.transform(rings, lambda r: F.transform(r, xy)))
     over = lambda f, c: f(F.transform(F.flatten("parts"), lambda p: p[c]))
     lines, rings = F.col("kind").isin("LineString", "MultiLineString"), F.col("kind").isin(*_AREA)
     total = lambda f: F.aggregate(F.transform("parts", f), F.lit(0.0), lambda a, x: a + x)
     envelope = {"minx": over(F.array_min, "x"), "miny": over(F.array_min, "y"), "maxx": over(F.array_max, "x"), "maxy": over(F.array_max, "y")}
-    return good.withColumns(envelope | {"length_m": F.when(lines, total(geo.line_length)), "area_m2": F.when(rings, total(geo.ring_area))}).drop("code")
+    return good.withColumns(envelope | {"length_m": F.when(lines, total(geo.line_length)), "area_m2": F.when(rings, geo.area_of(polygons))}).drop("code", "polygons")
 
 
 def issues(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ductwise.functions import geometry as geo
 from ductwise.operators import shapes
 
 LINE = "array<struct<x double, y double>>"
@@ -40,3 +41,22 @@ def test_exits_and_tiles(spark):
     t = shapes.in_tile(spark.createDataFrame([(37.6, 55.75)], "lon double, lat double"), 10).first()
     assert (t["tile_x"], t["tile_y"]) == (618, 320) and 0 <= t["px"] < 4096
     assert t["px"] == pytest.approx(((37.6 + 180) / 360 * 1024 - 618) * 4096, abs=1)
+
+
+def test_areas_have_holes_and_segments_touch(spark):
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    rings = [[square(0.0, 10.0), square(2.0, 4.0)], [square(20.0, 23.0)]]
+    row = spark.createDataFrame([(rings,)], "p array<array<array<struct<x double, y double>>>>").select(geo.area_of(F.col("p")).alias("a")).first()
+    assert row["a"] == 100 - 4 + 9
+    cases = [((0, 0, 4, 0), (2, 0, 2, 3), True), ((0, 0, 4, 0), (1, 0, 3, 0), True), ((0, 0, 4, 0), (5, 0, 6, 0), False), ((0, 0, 4, 4), (0, 4, 4, 0), True), ((0, 0, 4, 0), (0, 1, 4, 1), False), ((0, 0, 4, 0), (4, 0, 8, 5), True)]
+    for a, b, want in cases:
+        s = tuple(F.lit(x) for x in a), tuple(F.lit(x) for x in b)
+        assert spark.range(1).select(geo.segments_meet(*s)).first()[0] is want
+
+
+def test_walk_from_the_source_over_loops(spark):
+    from ductwise.operators import network
+
+    segments = [(1, 0, 1), (2, 2, 1), (3, 2, 0), (4, 3, 2), (5, 9, 8)]
+    rows = network.derive_upstream(spark.createDataFrame(segments, "id long, a long, b long"), 0, -1).collect()
+    assert sorted(map(tuple, rows)) == [(1, -1, 1), (2, 1, 2), (3, -1, 1), (4, 3, 2)]
