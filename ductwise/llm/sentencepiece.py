@@ -32,7 +32,7 @@ SPACE = "▁"
 LONG = 62
 _FIND = re.compile(" *[^ ]+| +").findall
 #: Different words that are counted, or remembered with their ids, at once; texts that are put out at once.
-_WORDS, _TEXTS = 100_000, 1000
+_WORDS, _TEXTS = 300_000, 1000
 
 
 @dataclass(frozen=True)
