@@ -81,12 +81,54 @@ def test_model_beats_the_base_on_held_out_text(spark):
 
 
 def test_probabilities_sum_to_one():
-    v = maxent.Vocabulary.of([(b"", 4), (b"a", 9), (b"bb", 3), *((f"w{i}".encode(), 2) for i in range(40))], 200, 60)
-    rng = np.random.default_rng(1)
-    weights = rng.normal(size=(maxent.FEATURES, maxent.CLASSES))
-    f = maxent.features(np.array([1, 2, 0]), np.array([3]))
-    logs = np.stack([maxent.class_logs(weights, f, np.full(3, k)) for k in range(maxent.CLASSES)], 1)
-    share = 10 ** v.in_class()[:-1]
-    per_class = np.bincount(v.classes, share, maxent.CLASSES)
-    assert np.allclose(per_class[per_class > 0], 1)
-    assert np.allclose(np.exp(logs).sum(1), 1)
+    v = maxent.Vocabulary.of([(b"", 4), (b"a", 9), (b"bb", 3), *((f"w{i}".encode(), 2) for i in range(400))], 900, 500)
+    weights = np.random.default_rng(1).normal(size=(2 * maxent.FEATURES, maxent.CLASSES)).astype(np.float32)
+    keys = np.repeat(maxent.features(np.array([1, 2, 0]), np.array([3])), maxent.LEAVES, 0)
+    leaf = np.tile(np.arange(maxent.LEAVES), 3)
+    logs = maxent.token_logs(weights, keys, leaf // maxent.CLASSES, leaf % maxent.CLASSES, v.priors())
+    assert np.allclose(np.exp(logs).reshape(3, -1).sum(1), 1, rtol=1e-5)
+    per_leaf = np.bincount(v.leaves, 10 ** v.in_leaf()[:-1], maxent.LEAVES)
+    assert np.allclose(per_leaf[per_leaf > 0], 1)
+
+
+def plain_model(texts, train, total, most, weights):
+    """The model's log10 probability of each text, token by token."""
+    level = next(k for k in range(1, total + 2) if sum(c >= k for c in train.values()) <= most)
+    top = sorted(((w, c) for w, c in train.items() if w is not None and c >= level), key=lambda x: (-x[1], x[0].encode()))
+    ids = {None: 0} | {w: i for i, (w, _) in enumerate(top, 1)}
+    count = [train[None], *(c for _, c in top)]
+    leaf = [0, *(i if i <= 200 else 201 + (w.encode()[0] * 7 + w.encode()[-1]) % 54 for i, (w, _) in enumerate(top, 1)), 255]
+    mass, smooth = np.full(256, 0.5), np.zeros(256)
+    for x, c in zip(leaf, [*count, total - sum(count)], strict=True):
+        mass[x] += c
+    for x, c in zip(leaf, count, strict=False):
+        smooth[x] += c + 0.5
+    unknown = total - sum(count) + 0.5 * (len(train) - sum(c > 0 for c in count) + 1)
+    mass = mass.reshape(16, 16)
+
+    def factor(keys, table, prior, y):
+        z = np.log(prior / prior.sum()) + sum(table[(k * 0x9E3779B97F4A7C15 % 2**64) >> 49].astype(float) for k in keys)
+        return (z[y] - np.log(np.exp(z).sum())) / math.log(10)
+
+    out = []
+    for words in texts:
+        x, logs = [ids.get(w, len(count)) for w in words], 0.0
+        for i, w in enumerate(words):
+            a, b = (x[i - 1] + 1 if i else 0), (x[i - 2] + 1 if i > 1 else 0)
+            keys, (c, m) = (3 * a + 1, 3 * b + 2, 3 * ((a << 20) + b)), divmod(leaf[x[i]], 16)
+            logs += factor(keys, weights[: 1 << 15], mass.sum(1), c) + factor([k + ((c + 1) << 42) for k in keys], weights[1 << 15 :], mass[c], m)
+            logs += math.log10((train[w] + 0.5) / (unknown if x[i] == len(count) else smooth[leaf[x[i]]]))
+        out.append(logs)
+    return out
+
+
+def test_model_scores_by_brute_force(spark, documents, odd, monkeypatch):
+    weights = np.random.default_rng(3).normal(size=(2 * maxent.FEATURES, maxent.CLASSES)).astype(np.float32)
+    monkeypatch.setattr(maxent, "train", lambda *_: weights)
+    for docs, most in ((documents.where("length(text) < 3000"), 1 << 17), (documents.where("length(text) < 3000"), 400), (odd, 3)):
+        rows = [(r["doc_id"], plain_tokens(r["text"])) for r in docs.collect()]
+        train = Counter(t for d, x in rows if zlib.crc32(str(d).encode()) % 5 != 1 for t in x)
+        want = sorted(zip((d for d, _ in rows), plain_model([x for _, x in rows], train, sum(train.values()), most, weights), strict=True))
+        got = sorted((r["doc_id"], r["score"]) for r in maxent.score(docs, max_words=most).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5)
