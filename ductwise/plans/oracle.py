@@ -163,3 +163,23 @@ _BY_DN = lambda column: "case dn " + " ".join(f"when {p[0]} then {p[column]}::do
 SQL["q67_new_costs"] = f"""with p as (select distinct p_size::int as size, p_partkey % 2 = 0 as building from part), f as (select *, size * 100.0::double as flow from p), d as (select *, {_DN} as dn from f)
 select size, building, dn, round(case when building then case when dn < 500 then 5.0::double when dn < 900 then 7.0::double else 9.0::double end else 2.2::double end + {_BY_DN(4)} / 2, 6) as clearance,
 case when building then size % 3 * 5000000 else 0 end::bigint as tie_in, round(coalesce({_BY_DN(1)} * 0.5::double, 0.0::double), 6) as flow from d"""
+_RESULT = """s as (select c_custkey::bigint as k, c_custkey // 4 as up, (c_custkey % 40 + 1)::double as flow, [50, 65, 80, 100][c_custkey % 4 + 1] as dn, (c_custkey % 90 + 10)::double as metres from customer where c_custkey > 0)"""
+_FINDING = "select '{0}' as rule, 'ERROR' as severity, {1}::bigint as variant_id, {2}::varchar as feature_id, {3} as message "
+SQL["q68_rule_lengths"] = f"with {_RESULT} {_FINDING.format('R-LEN', 1, 'k', repr('length differs from the geometry'))} from s where k % 5 = 0"
+SQL["q69_rule_turns"] = f"""with p as (select p_partkey as k, (p_partkey * 7919) % 1000 as ax, (p_partkey * 104729) % 1000 as ay, ((p_partkey + 1) * 7919) % 1000 as bx, ((p_partkey + 1) * 104729) % 1000 as by_,
+  ((p_partkey * 3 + 2) * 7919) % 1000 as cx, ((p_partkey * 3 + 2) * 104729) % 1000 as cy from part),
+v as (select k, bx - ax as ux, by_ - ay as uy, cx - bx as vx, cy - by_ as vy from p)
+{_FINDING.format('R-TURN', 'k % 3', 'k', repr('turns by more than the limit'))} from v where (ux <> 0 or uy <> 0) and (vx <> 0 or vy <> 0)
+and degrees(acos(greatest(-1.0::double, least(1.0::double, (ux * vx + uy * vy) / sqrt((ux * ux + uy * uy)::double * (vx * vx + vy * vy)))))) > {ref.MAX_TURN + ref.TURN_TOLERANCE}"""
+SQL["q70_rule_ids"] = f"""with i as (select l_linenumber % 3 as v, l_orderkey::varchar as fid from lineitem union all select p_partkey % 3, p_partkey::varchar from part)
+{_FINDING.format('OUT-ID', 'v', 'fid', repr('id is used more than once'))} from i group by v, fid having count(*) > 1"""
+SQL["q71_rule_one_parent"] = f"with p as (select l_suppkey % 3 as v, l_orderkey from lineitem) {_FINDING.format('R-NET-4', 'v', 'l_orderkey', repr('more than one way to the network'))} from p group by v, l_orderkey having count(*) > 1"
+SQL["q72_rule_diameters"] = f"""with {_RESULT} {_FINDING.format('R-NET-9', 1, 'k', repr('diameter is too small for the flow'))} from s where dn < {_DN.format('flow')}
+union all {_FINDING.format('R-NET-9', 1, 's.k', repr('diameter falls towards the network'))} from s join s u on u.k = s.up where u.dn < s.dn"""
+SQL["q73_rule_flows"] = f"""with recursive {_RESULT}, u as (select k, k as top, case when k % 3 = 0 then flow else 0 end as own from s union all select u.k, s.up, u.own from u join s on s.k = u.top where s.up > 0),
+t as (select top as k, sum(own) as total from u group by 1) {_FINDING.format('R-NET-8', 1, 'k', "'flow should be ' || round(total, 3)::varchar")} from s join t using (k) where flow <> total"""
+SQL["q74_rule_costs"] = f"with {_RESULT} {_FINDING.format('R-COST', 1, 'k', repr('cost differs from price by length'))} from s where abs(metres * ({_PRICE.format('dn')} - 78631)) > 0.05"
+SQL["q75_rule_degrees"] = f"""with {_RESULT}, e as (select k as node, dn from s union all select up, dn from s), d as (select node, max(dn) as most, count(*) as degree from e group by 1),
+c as (select c_custkey as k, case when c_custkey % 2 = 0 then 100 else 80 end as dn from customer), j as (select * from c left join d on node = k)
+{_FINDING.format('R-TIE-3', 1, 'k', repr('diameter or cost of the chamber'))} from j where dn is distinct from most
+union all {_FINDING.format('R-NET-5', 1, 'k', repr('too many pieces meet'))} from j where degree > {ref.MAX_DEGREE}"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
-from ductwise.operators import catalog, compare, grid, network, orders, shapes
+from ductwise.operators import catalog, compare, grid, network, orders, shapes, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -579,3 +579,71 @@ def q67_new_costs(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("size"), (F.col("p_partkey") % 2 == 0).alias("building"))
     found = rows.distinct().select("size", "building", ref.dn_for_flow(F.col("size") * 100.0).alias("dn"))
     return found.select("size", "building", "dn", F.round(ref.clearance_for(F.col("building"), F.col("dn"), F.lit(2.0), F.lit(0.4)), 6).alias("clearance"), ref.tie_in_cost(F.col("size") % 3, F.col("building")).cast("long").alias("tie_in"), F.round(ref.assumed_flow(F.col("dn"), 0.5), 6).alias("flow"))
+
+
+def result_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of customers as segments of one result, wrong on purpose in length, flow, diameter and cost for many of them."""
+    k = F.col("c_custkey")
+    up = F.floor(k / 4).cast("long")
+    point = lambda i: F.struct(px(i).cast("double").alias("x"), py(i).cast("double").alias("y"))
+    rows = table(spark, sf_dir, "customer").where("c_custkey > 0").select(k.cast("long").alias("k"), up.alias("up"), F.array(point(k), point(up)).alias("line"))
+    k, far = F.col("k"), geo.line_length(F.col("line"))
+    dn = F.get(F.array(*[F.lit(d) for d in (50, 65, 80, 100)]), (k % 4).cast("int"))
+    return rows.select(
+        F.lit(1).cast("long").alias("variant_id"), k.cast("string").alias("fid"), k.alias("start_node"), F.col("up").alias("end_node"), (k % 40 + 1).cast("double").alias("flow"), dn.alias("dn"),
+        F.when(k % 5 == 0, far + 1).otherwise(far).alias("length"), F.lit(1.0).alias("price_k"), (k % 90 + 10).alias("metres"), "line",
+    )
+
+
+@query
+def q68_rule_lengths(spark, sf_dir):
+    return validate.lengths(result_segments(spark, sf_dir))
+
+
+@query
+def q69_rule_turns(spark, sf_dir):
+    """Lines of three points; those that turn back too sharply are named."""
+    k = F.col("p_partkey")
+    point = lambda i: F.struct(px(i).cast("double").alias("x"), py(i).cast("double").alias("y"))
+    line = F.array(point(k), point(k + 1), point(k * 3 + 2))
+    return validate.turns(table(spark, sf_dir, "part").select((k % 3).alias("variant_id"), k.alias("fid"), line.alias("line")))
+
+
+@query
+def q70_rule_ids(spark, sf_dir):
+    """Order keys as ids of segments, part keys as ids of chambers; both may repeat, and each other."""
+    segments = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 3).cast("long").alias("variant_id"), F.col("l_orderkey").cast("string").alias("fid"))
+    chambers = table(spark, sf_dir, "part").select((F.col("p_partkey") % 3).cast("long").alias("variant_id"), F.col("p_partkey").cast("string").alias("fid"))
+    return validate.repeated_ids(segments, chambers)
+
+
+@query
+def q71_rule_one_parent(spark, sf_dir):
+    return validate.one_parent(table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 3).alias("variant_id"), F.col("l_orderkey").alias("start_node")))
+
+
+@query
+def q72_rule_diameters(spark, sf_dir):
+    return validate.diameters(result_segments(spark, sf_dir))
+
+
+@query
+def q73_rule_flows(spark, sf_dir):
+    consumers = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("fid"), (F.col("c_custkey") % 40 + 1).cast("double").alias("flow"))
+    return validate.flows(result_segments(spark, sf_dir), consumers)
+
+
+@query
+def q74_rule_costs(spark, sf_dir):
+    """Costs at the price of one diameter, whichever a segment has."""
+    s = result_segments(spark, sf_dir).withColumn("length", F.col("metres").cast("double"))
+    return validate.costs(s.withColumn("cost", (F.col("metres") * 78631).cast("double")))
+
+
+@query
+def q75_rule_degrees(spark, sf_dir):
+    """Chambers at every node of the tree of customers; a root has more pieces than are allowed, and sizes go by k."""
+    k = F.col("c_custkey")
+    size = F.when(k % 2 == 0, 100).otherwise(80)
+    chambers = table(spark, sf_dir, "customer").select(F.lit(1).cast("long").alias("variant_id"), k.cast("long").alias("fid"), size.alias("dn"), F.lit(3000000).alias("cost"))
+    return validate.chamber_sizes(result_segments(spark, sf_dir), chambers)
