@@ -19,6 +19,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Small rows that go to every executor at most.
+BROADCAST = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,6 +69,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def joined_by(left: DataFrame, right: DataFrame, key: str, n: str, hot: int = 4096) -> DataFrame:
+    """left and right where `key` is equal; right has one row for each key and, as `n`, how many rows of left have it.
+
+    Rows of left whose key has more than `hot` of them stay where they are: what right has for those keys goes to every executor, as
+    long as it is at most BROADCAST rows. left is read twice then. Null keys meet nothing.
+    """
+    large = saved(right.where(F.col(n) > hot))
+    if not 0 < large.count() <= BROADCAST:
+        return left.join(right, key)
+    more = [c for c in right.columns if c != key]
+    marked = left.join(F.broadcast(large.select(key, F.struct(*more).alias("found_"))), key, "left")
+    many = marked.where("found_ is not null").select(*left.columns, "found_.*")
+    return many.unionByName(marked.where("found_ is null").drop("found_").join(right.where(F.col(n) <= hot), key).select(many.columns))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores after each as it takes for df to have no such column."""
     taken, out = {c.lower() for c in df.columns}, []

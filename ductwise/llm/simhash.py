@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ductwise.llm.common import saved, to_bytes
+from ductwise.llm.common import BROADCAST, saved, to_bytes
 from ductwise.llm.components import components
 
 BITS = 64
@@ -25,8 +25,6 @@ BITS = 64
 GROUP = 4096
 #: Shingles of one group of texts that are compared in one place.
 SHINGLES = 1 << 22
-#: Keys with more than GROUP fingerprints that are broadcast at most.
-BROADCAST = 1 << 20
 
 
 def _shingles(text: str | None, width: int, seed: int = 42, block: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -98,7 +96,7 @@ def choose_blocks(n: int, distance: int) -> int:
     return min(range(distance + 2, distance + 6), key=work)
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Batches of rows sorted by g, joined and cut again so that no group is in two."""
     held: list[pd.DataFrame] = []
     for b in batches:
@@ -151,7 +149,7 @@ def _verify(names: list[str], distance: int, within: int):
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _whole_groups(batches):
+        for b in whole_groups(batches):
             x, y = edges(b["g"].to_numpy(), [b[n].to_numpy().view(np.uint64) for n in names], b["side"].to_numpy())
             yield pd.DataFrame({f"{side}_{n}": b[n].to_numpy()[at] for side, at in (("a", x), ("b", y)) for n in names})
 
@@ -234,7 +232,7 @@ def _alike(names: list[str], within: int, least: float):
         return x, y
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in _whole_groups(batches):
+        for whole in whole_groups(batches):
             for _, b in whole.groupby("g", sort=False):
                 node, (x, y) = b["node"].to_numpy(), edges(b)
                 yield pd.DataFrame({"a": node[x], "b": node[y]})
