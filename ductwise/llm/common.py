@@ -120,9 +120,9 @@ def to_bytes(text: str | None) -> bytes:
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A plain unit ends where no letter or mark beyond ASCII follows, so it is a whole pre-token; "'" is left out as contractions start with it.
+#: A plain unit ends where no letter or mark beyond ASCII and no control character but white space follows, as the library takes those into the same pre-token or piece; "'" is left out as contractions start with it.
 _PUNCT, _PUNCT1 = r"!-/:-@\[-`{-~", r"!-&(-/:-@\[-`{-~"
-_ENDS = r"(?![^\x00-\x7f])"
+_ENDS = r"(?![^\t-\r \x21-\x7e])"
 _PLAIN = {
     "byte": rf" ?[{_LETTERS}]++{_ENDS}| ?[{_PUNCT1}][{_PUNCT}]*+{_ENDS}",
     "word": rf"[{_LETTERS}]++{_ENDS}|[{_PUNCT1}][{_PUNCT}]*+{_ENDS}",
