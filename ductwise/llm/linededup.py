@@ -111,17 +111,16 @@ def _split(values: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each document: 16 bits of each word, fingerprints that may be the first of their kind, and places of those that other texts of the batch have."""
+    """For each document: its number of words, fingerprints that may be the first of their kind, and places of those that other texts of the batch have."""
     for b in batches:
         doc, tx = b["doc_id"].to_numpy(), b["tx"].to_numpy()
         rank = _ranks(doc, tx)
         one = pd.Series(rank).groupby(tx).transform("min").to_numpy() == rank  # of copies the first speaks for all
-        words, pos, h, n_words = [], [], [], []
+        pos, h, n_words = [], [], []
         for text, wanted in zip(b["text"], one, strict=True):
             w = word_hashes(text)
             x = window_hashes(w) if wanted else np.zeros(0, np.uint64)
             at = winnow(x)
-            words.append((w >> np.uint64(48)).astype("<u2").tobytes() if len(at) else b"")
             pos.append(at)
             h.append(x[at])
             n_words.append(len(w))
@@ -130,22 +129,13 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, pos = np.concatenate([*h, np.zeros(0, np.uint64)]).view(np.int64), np.concatenate([*pos, np.zeros(0, np.int64)]).astype(np.int32)
         first, alone = _first_holders(h, rank[of])
         count = lambda mask: np.bincount(of[mask], minlength=len(b))
-        yield pd.DataFrame({"doc_id": doc, "tx": tx, "n": np.array(n_words, np.int32), "words": words, "h": _split(h[first], count(first)), "pos": _split(pos[first], count(first)), "shared": _split(pos[~alone], count(~alone))})
-
-
-def _spread() -> np.ndarray:
-    """64 bits for each value of 16."""
-    x = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * _BASE
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(27))
+        yield pd.DataFrame({"doc_id": doc, "tx": tx, "n": np.array(n_words, np.int32), "h": _split(h[first], count(first)), "pos": _split(pos[first], count(first)), "shared": _split(pos[~alone], count(~alone))})
 
 
 def _windows(least: int):
     """For each document: the windows of `least` words around shared fingerprints that may be the first of their kind, and where those begin that an earlier document of the batch has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spread = _spread()
-
         def out(part: pd.DataFrame, keys: list[np.ndarray], at: list[np.ndarray]) -> pd.DataFrame:
             doc, tx, n = part["doc_id"].to_numpy(), part["tx"].to_numpy(), np.array([len(x) for x in at], np.int64)
             of, key, start = np.repeat(np.arange(len(part)), n), np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64), np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int32)
@@ -155,8 +145,8 @@ def _windows(least: int):
 
         for b in batches:
             keys, at, begin, held = [], [], 0, 0
-            for i, (words, places) in enumerate(zip(b["words"], b["places"], strict=True)):
-                y = window_hashes(spread[np.frombuffer(words, "<u2")], least)
+            for i, (text, places) in enumerate(zip(b["text"], b["places"], strict=True)):
+                y = window_hashes(word_hashes(text), least)
                 near = np.zeros(len(y) + 1, np.int64)
                 p = np.asarray(places, np.int64)
                 np.add.at(near, np.clip(p - (least - K), 0, len(y)), 1)
@@ -207,13 +197,13 @@ def repeats(docs: DataFrame, least: int = K + WINDOW - 1) -> DataFrame:
 
     A window is a repeat if an earlier document holds it; documents are in order of (doc_id, tx), tx being the hash of the
     text, so rows that share an id but not a text are different documents and equal rows are one. Copies of a whole text
-    meet by tx alone. In a window a word stands by 16 bits of its hash, so one different word in 65,536 goes unseen.
+    meet by tx alone. Windows are hashed from the text again, each word by all 64 bits of its hash.
     """
     if least < K + WINDOW - 1:
         raise ValueError(f"winnowing guarantees runs of {K + WINDOW - 1} words and more")
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("tx"), "text")
     with scratch(docs.sparkSession) as path:
-        rows = stored(texts.mapInPandas(_fingerprints, "doc_id long, tx long, n int, words binary, h array<long>, pos array<int>, shared array<int>"), f"{path}/prints")
+        rows = stored(texts.mapInPandas(_fingerprints, "doc_id long, tx long, n int, h array<long>, pos array<int>, shared array<int>"), f"{path}/prints")
         copied = rows.groupBy("tx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n")).where("first < last").select("tx", "first", "n")
         copied = stored(copied, f"{path}/copied")
         by_print = W.partitionBy("h")
@@ -222,7 +212,7 @@ def repeats(docs: DataFrame, least: int = K + WINDOW - 1) -> DataFrame:
         places = open_.select("doc_id", "tx", "pos").unionByName(rows.select("doc_id", "tx", F.explode("shared").alias("pos")))
         places = places.groupBy("doc_id", "tx").agg(F.collect_set("pos").alias("places"))
         places = places.join(copied.select("tx", "first"), "tx", "left").where("first is null or first = doc_id").drop("first")
-        found = rows.where("size(h) > 0 or size(shared) > 0").select("doc_id", "tx", "words").join(places, ["doc_id", "tx"])
+        found = texts.join(places, ["doc_id", "tx"])
         found = stored(found.mapInPandas(_windows(least), "doc_id long, tx long, key array<long>, start array<int>, later array<int>"), f"{path}/windows")
         first = F.min(F.struct("doc_id", "tx")).over(W.partitionBy("key"))
         again = found.select("doc_id", "tx", F.inline(F.arrays_zip("key", "start"))).withColumn("first", first).where(_is_later(F.col("first")))
