@@ -122,6 +122,13 @@ def ring_area(ring: Column) -> Column:
     return F.when(F.size(ring) > 3, F.abs(F.aggregate(parts, F.lit(0.0), lambda a, d: a + d)) / 2).otherwise(0.0)
 
 
+def ring_sense(ring: Column) -> Column:
+    """1 for a closed ring drawn against the clock, -1 for one drawn with it, 0 without area."""
+    cross = lambda i: F.get(ring, i - 1).x * F.get(ring, i).y - F.get(ring, i).x * F.get(ring, i - 1).y
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), lambda i: cross(i).cast("double"))
+    return F.coalesce(F.signum(F.aggregate(parts, F.lit(0.0), lambda a, d: a + d)), F.lit(0.0)).cast("int")
+
+
 def _on(px: Column, py: Column, s: tuple[Column, ...]) -> Column:
     """Whether a point lies on a segment, its ends included."""
     return (side(*s, px, py) == 0) & px.between(F.least(s[0], s[2]), F.greatest(s[0], s[2])) & py.between(F.least(s[1], s[3]), F.greatest(s[1], s[3]))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ductwise.operators import network
+from ductwise.operators import trees
 
 
 @dataclass(frozen=True)
@@ -53,17 +53,15 @@ def missing(ids: DataFrame, rows: DataFrame, key: str = "fid") -> DataFrame:
 
 
 def families(versions: DataFrame) -> DataFrame:
-    """(root_id, n, newest, next_version) of each family of versions (id, parent_id, version); null parents are roots."""
-    up = network.ancestors(versions.select(F.col("id").alias("node"), F.col("parent_id").alias("parent")))
-    root = up.groupBy("node").agg(F.max_by("ancestor", "depth").alias("root_id"))
-    rows = versions.join(root, versions["id"] == root["node"])
-    return rows.groupBy("root_id").agg(F.count("*").alias("n"), F.max("id").alias("newest"), (F.max("version") + 1).cast("long").alias("next_version"))
+    """(root_id, n, newest, next_version) of each family of versions (id, parent_id, version); null parents are roots. Versions whose parents go round in a circle are one family without a root."""
+    top = trees.climb(versions, node="id", parent="parent_id").select(F.col("node").alias("id"), F.col("top").alias("root_id"))
+    return versions.join(top, "id").groupBy("root_id").agg(F.count("*").alias("n"), F.max("id").alias("newest"), (F.max("version") + 1).cast("long").alias("next_version"))
 
 
 def descendants(versions: DataFrame, root: int) -> DataFrame:
-    """Ids of a version and all that come from it."""
-    up = network.ancestors(versions.select(F.col("id").alias("node"), F.col("parent_id").alias("parent")))
-    return up.where(F.col("ancestor") == root).select(F.col("node").alias("id"))
+    """Ids of a version and all that come from it, each once; parents may go round in a circle."""
+    cut = versions.select("id", F.when(F.col("id") != root, F.col("parent_id")).alias("parent_id"))
+    return trees.climb(cut, node="id", parent="parent_id").where(F.col("top") == root).select(F.col("node").alias("id"))
 
 
 def expired(runs: DataFrame, keep: int, hours: int, now: Column) -> DataFrame:

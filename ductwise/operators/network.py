@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ductwise.operators import trees
 from ductwise.session import cut_lineage
 
 
 def ancestors(tree: DataFrame, node: str = "node", parent: str = "parent", most: int = 10_000) -> DataFrame:
     """(node, ancestor, depth), the node itself at depth 0. One join for each level; a null or absent parent ends a chain.
 
-    Raises if a chain is longer than `most`, so that a cycle does not run forever; `chain_states` finds cycles.
+    Raises if a chain is longer than `most`, so that a cycle does not run forever. For the whole of every way, which is n * depth
+    rows; sums and ends over ways and subtrees are in `trees`.
     """
     up = tree.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
     level = tree.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("depth"))
@@ -46,11 +48,9 @@ def chain_states(tree: DataFrame, roots: list[int], node: str = "node", parent:
 
 
 def subtree_sums(tree: DataFrame, value: str, node: str = "node", parent: str = "parent") -> DataFrame:
-    """(node, total, n, depth): sum of a value over the subtree below each node, itself included."""
-    up = ancestors(tree, node, parent)
-    depth = up.groupBy(F.col("node").alias("_d")).agg(F.max("depth").alias("depth"))
-    sums = up.join(tree.select(F.col(node).alias("node"), F.col(value).alias("_v")), "node").groupBy("ancestor").agg(F.sum("_v").alias("total"), F.count("*").alias("n"))
-    return sums.join(depth, sums["ancestor"] == depth["_d"]).select(F.col("ancestor").alias("node"), "total", "n", "depth")
+    """(node, total, n, depth): sum of a value over the subtree below each node, itself included. Nodes without an end above them have no row."""
+    rows = tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(value).alias("total"))
+    return trees.gather(rows, sums=["total"]).select("node", "total", F.col("below").alias("n"), "depth")
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], changed: Column) -> DataFrame:
@@ -122,8 +122,8 @@ def branch_groups(tree: DataFrame, low: int = 2, high: int = 6) -> DataFrame:
     The tree holds node, parent, consumer (true for a connection point), shape and length of the edge above the node; the
     group is the node's subtree with the edge above it. Consumers themselves are no groups.
     """
-    below = ancestors(tree).select("node", "ancestor").join(tree.select("node", "consumer", "shape", "length"), "node")
-    sums = below.groupBy(F.col("ancestor").alias("node")).agg(F.count_if("consumer").alias("n"), F.sum("shape").alias("shape"), F.sum("length").alias("length"))
+    counted = tree.select("node", "parent", "shape", "length", F.col("consumer").cast("long").alias("n"))
+    sums = trees.gather(counted, sums=["n", "shape", "length"]).select("node", "n", "shape", "length")
     groups = sums.where(F.col("n").between(low, high)).join(tree.where("not consumer").select("node"), "node", "left_semi")
     groups = groups.withColumn("density", F.col("shape") / F.nullif(F.col("length"), F.lit(0)))
     return groups.orderBy(F.desc_nulls_last("density"), "node")

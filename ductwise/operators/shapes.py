@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ductwise.functions import clip
 from ductwise.functions import geometry as geo
 from ductwise.operators import grid
 
@@ -95,29 +96,41 @@ def edges(features: DataFrame, key: str = "fid", parts: str = "parts") -> DataFr
 def self_crossing(features: DataFrame, key: str = "fid", size: float = 50.0) -> DataFrame:
     """Keys of shapes two of whose edges cross inside both."""
     e = edges(features, key).withColumn("_id", F.struct("part", "i"))
-    pairs = grid.pairs_of_boxes(e, "_id", "x0", "y0", "x1", "y1", size).where(F.col(f"a.{key}") == F.col(f"b.{key}"))
+    pairs = grid.pairs_of_boxes(e, "_id", "x0", "y0", "x1", "y1", size, within=key)
     ends = lambda s: tuple(F.col(f"{s}.{c}") for c in ("ax", "ay", "bx", "by"))
     return pairs.where(geo.properly_cross(ends("a"), ends("b"))).select(F.col(f"a.{key}").alias(key)).distinct()
 
 
 def convex_corners(rings: DataFrame, key: str, ring: str) -> DataFrame:
-    """(key, i, x, y): corners of closed rings, against the clock, at which the outside is more than half a turn."""
+    """(key, i, x, y): corners of closed rings, drawn either way round, at which the outside is more than half a turn."""
     n = F.size(ring) - 1
     rows = rings.where(F.size(ring) > 3).select(key, F.col(ring).alias("_r"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     last = F.size("_r") - 1
     at = lambda k, c: F.get("_r", F.pmod(F.col("i") + k, last))[c]
-    left = geo.side(at(-1, "x"), at(-1, "y"), at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y")) > 0
-    return rows.where(left).select(key, "i", at(0, "x").alias("x"), at(0, "y").alias("y"))
+    turn = geo.side(at(-1, "x"), at(-1, "y"), at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y"))
+    return rows.where(turn * geo.ring_sense(F.col("_r")) > 0).select(key, "i", at(0, "x").alias("x"), at(0, "y").alias("y"))
 
 
-def exits(points: DataFrame, rings: DataFrame, key: str = "fid", k: int = 3) -> DataFrame:
-    """(key, rank, ex, ey, distance): feet of perpendiculars from a point (key, x, y) to the walls of its building (key, parts), the k nearest."""
+def exits(points: DataFrame, rings: DataFrame, key: str = "fid", k: int = 3, spacing: float = 0.5) -> DataFrame:
+    """(key, rank, ex, ey, distance): ways straight out of a building (key, parts) from a point in it (key, x, y), the k shortest.
+
+    A way ends at the foot of a perpendicular to a wall, the wall's ends included. From the nearest on, a foot counts if it is at least
+    `spacing` from those before it that count, and its way stays inside the building, border and 5 cm included. The feet of one building are
+    folded in order, so they meet in one row: as many as it has walls. No row where no way stays inside.
+    """
     walls = edges(rings, key).join(points.select(key, "x", "y"), key)
-    t = geo.place_on_segment(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
-    feet = walls.withColumn("_t", t).where((F.col("_t") > 0) & (F.col("_t") < 1))
+    d2 = (F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("by") - F.col("ay")) * (F.col("by") - F.col("ay"))
+    t = ((F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by") - F.col("ay"))) / F.nullif(d2.cast("double"), F.lit(0.0))
+    feet = walls.withColumn("_t", t).where(F.col("_t").between(0, 1))
     feet = feet.withColumns({"ex": F.col("ax") + F.col("_t") * (F.col("bx") - F.col("ax")), "ey": F.col("ay") + F.col("_t") * (F.col("by") - F.col("ay"))})
-    feet = feet.withColumn("distance", geo.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey")))
-    return grid.nearest_k(feet, key, [F.col("distance"), F.col("part"), F.col("i")], k).select(key, "rank", "ex", "ey", "distance")
+    feet = feet.withColumn("distance", geo.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey"))).where("distance > 1e-9")
+    shape = rings.select(key, F.col("parts").alias("_rings"))
+    ways = clip.with_inside(feet.select(key, "part", "i", "x", "y", "ex", "ey", "distance").join(shape, key), ("x", "y", "ex", "ey"), "_rings")
+    ways = ways.where((1 - clip.length_inside(F.col("inside"))) * F.col("distance") <= 0.05)
+    rows = ways.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("distance", "part", "i", "ex", "ey"))).alias("_f"))
+    apart = lambda kept, f: F.forall(kept, lambda o: geo.distance(o.ex, o.ey, f.ex, f.ey) >= spacing)
+    kept = F.aggregate("_f", F.slice("_f", F.lit(1), F.lit(0)), lambda kept, f: F.when((F.size(kept) < k) & apart(kept, f), F.concat(kept, F.array(f))).otherwise(kept))
+    return rows.select(key, F.posexplode(kept).alias("_r", "_e")).select(key, (F.col("_r") + 1).alias("rank"), "_e.ex", "_e.ey", "_e.distance")
 
 
 def in_tile(points: DataFrame, zoom: int, extent: int = 4096) -> DataFrame:

@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ductwise.functions import clip
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
-from ductwise.operators import grid, network
+from ductwise.operators import grid, trees, zones
+from ductwise.session import cut_lineage
 
 
 def _found(rows: DataFrame, rule: str, message: Column | str, severity: str = "ERROR", feature: str = "fid") -> DataFrame:
@@ -53,17 +55,19 @@ def _edges(segments: DataFrame) -> DataFrame:
 
 
 def reach(segments: DataFrame, ties: DataFrame) -> DataFrame:
-    """Chains of new pipe that do not end in a tie-in."""
+    """Chains of new pipe that do not end in a tie-in, and those that never end."""
     name = F.concat_ws("|", F.col("variant_id").cast("string"), F.col("node"))
-    ends = ties.select(name.alias("end"))
-    top = network.ancestors(_tree(segments)).groupBy("node").agg(F.max_by("ancestor", "depth").alias("end"))
-    rows = _edges(segments).join(top, "node").join(ends, "end", "left_anti")
-    return _found(rows, "R-NET-1", "does not lead to a tie-in")
+    ends = ties.select(name.alias("top"), F.lit(True).alias("tied")).distinct()
+    rows = _edges(segments).join(trees.climb(_tree(segments)).select("node", "top", "cyclic"), "node").join(ends, "top", "left")
+    lost = _found(rows.where("not cyclic and tied is null"), "R-NET-1", "does not lead to a tie-in")
+    return lost.unionByName(_found(rows.where("cyclic"), "R-NET-4", "leads round in a ring"))
 
 
-def _tree(segments: DataFrame) -> DataFrame:
-    e = _edges(segments).select("node", "parent")
-    return e.unionByName(e.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")).distinct().join(e.select("node"), "node", "left_anti"))
+def _tree(segments: DataFrame, *values: str) -> DataFrame:
+    """Edges and, as nodes without a parent, the ends that no segment starts from."""
+    e = _edges(segments).select("node", "parent", *values)
+    ends = e.select(F.col("parent").alias("node")).distinct().join(e.select("node"), "node", "left_anti")
+    return e.unionByName(ends, allowMissingColumns=True)
 
 
 def connected_or_listed(segments: DataFrame, consumers: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -75,15 +79,20 @@ def connected_or_listed(segments: DataFrame, consumers: DataFrame, summaries: Da
 
 
 def flows(segments: DataFrame, consumers: DataFrame) -> DataFrame:
-    """Flow of a segment against the sum of the consumers behind it."""
-    up = network.ancestors(_tree(segments))
-    own = _edges(segments).select("node", F.col("start_node").alias("fid")).distinct().join(consumers.select("fid", F.col("flow").alias("own")), "fid")
-    sums = up.join(own, "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum("own").alias("sum"))
-    rows = _edges(segments).join(sums, "node", "left").withColumn("sum", F.coalesce("sum", F.lit(0.0)))
+    """Flow of a segment against the sum of the consumers behind it. What leads round in a ring has no such sum and is a finding of `reach`."""
+    own = consumers.select(F.col("fid").alias("start_node"), F.col("flow").alias("sum"))
+    sums = trees.gather(_tree(segments.drop("sum").join(own, "start_node", "left"), "sum"), sums=["sum"]).select("node", "sum")
+    rows = _edges(segments).join(sums, "node")
     return _found(rows.where(F.abs(F.col("flow") - F.col("sum")) > 1e-4 + 1e-6 * F.abs("sum")), "R-NET-8", F.concat(F.lit("flow should be "), F.round("sum", 3).cast("string")))
 
 
+def _next_below(segments: DataFrame) -> DataFrame:
+    """(variant_id, start_node, below_dn): the widest pipe that comes to the start of a segment from further out."""
+    return segments.groupBy("variant_id", F.col("end_node").alias("start_node")).agg(F.max("dn").alias("below_dn"))
+
+
 def diameters(segments: DataFrame) -> DataFrame:
+    """Pipes too small for their flow, narrower than what feeds them, or wider than flow and length ask for."""
     need = ref.dn_for_flow(F.col("flow"))
     small = _found(segments.where(need.isNull() | (F.col("dn") < need)), "R-NET-9", "diameter is too small for the flow")
     up = segments.select("variant_id", F.col("start_node").alias("end_node"), F.col("dn").alias("next_dn"))
@@ -91,13 +100,35 @@ def diameters(segments: DataFrame) -> DataFrame:
     return small.unionByName(narrowing)
 
 
-def run_lengths(segments: DataFrame) -> DataFrame:
-    """Pipe of one diameter on each way to the network, against the longest allowed."""
-    up = network.ancestors(_tree(segments))
-    own = _edges(segments).select(F.col("node").alias("ancestor"), "variant_id", "dn", "length", F.col("fid"))
-    paths = network.equal_runs(up.join(own, "ancestor"), ["node"], ["depth"], "dn")
-    runs = paths.groupBy("variant_id", "node", "island", "dn").agg(F.sum("length").alias("run"), F.min("fid").alias("fid"))
-    return _found(runs.where(F.col("run") > ref.max_run(F.col("dn")) + 0.05).dropDuplicates(["variant_id", "fid"]), "R-NET-10", "pipe of one diameter is too long")
+def longest_ways(segments: DataFrame, consumers: DataFrame | None = None) -> DataFrame:
+    """Segments with `way`: the longest stretch of the segment's diameter on any way from a consumer through it to the network.
+
+    Without consumers (fid) every outer end is one. Branches side by side do not add up. Segments in a ring, or that no consumer is behind, have no row.
+    """
+    if consumers is not None:
+        fed = consumers.select(F.col("fid").alias("start_node"), F.lit(1).alias("fed")).distinct()
+        behind = trees.gather(_tree(segments.join(fed, "start_node", "left"), "fed"), maxes=["fed"]).where("fed = 1").select("node")
+        used = _edges(segments).join(behind, "node", "left_semi").drop("node", "parent")
+    else:
+        used = segments
+    edges = cut_lineage(_edges(used))
+    ways = trees.runs_up(edges, "dn", ["length"]).select("node", F.col("longest_length").alias("way"))
+    return edges.join(ways, "node").drop("node", "parent")
+
+
+def run_lengths(segments: DataFrame, consumers: DataFrame | None = None) -> DataFrame:
+    """Pipe of one diameter on each way from a consumer to the network, against the longest allowed: every segment of a way that is too long."""
+    rows = longest_ways(segments, consumers).where(F.col("way") > ref.max_run(F.col("dn")) + 0.05)
+    return _found(rows, "R-NET-10", "pipe of one diameter is too long")
+
+
+def oversized(segments: DataFrame, consumers: DataFrame | None = None) -> DataFrame:
+    """Warnings of pipes wider than their flow needs, where neither the longest run allowed for the smaller size nor a pipe further out that is as wide is a reason."""
+    need = ref.dn_for_flow(F.col("flow"))
+    rows = longest_ways(segments, consumers).select("variant_id", "fid", "way")
+    rows = segments.join(rows, ["variant_id", "fid"], "left").join(_next_below(segments), ["variant_id", "start_node"], "left").withColumn("need", need)
+    wide = (F.col("dn") > F.col("need")) & (F.coalesce("way", F.lit(0.0)) <= ref.max_run(F.col("need")) + 0.05) & ~F.coalesce(F.col("below_dn") >= F.col("dn"), F.lit(False))
+    return _found(rows.where(wide), "R-NET-9", F.concat(F.lit("diameter is larger than needed: "), F.col("need").cast("string")), "WARNING")
 
 
 def costs(segments: DataFrame) -> DataFrame:
@@ -113,16 +144,27 @@ def chamber_sizes(segments: DataFrame, chambers: DataFrame) -> DataFrame:
     return sized.unionByName(_found(rows.where(F.col("degree") > ref.MAX_DEGREE), "R-NET-5", "too many pieces meet"))
 
 
-def crossings(segments: DataFrame, size: float = 50.0) -> DataFrame:
-    """New pipes that cross each other away from a common node."""
+def _steps(segments: DataFrame) -> DataFrame:
+    """(variant_id, fid, line, ax, ay, bx, by): the straight pieces of each segment's line."""
     p = lambda i, c: F.get("line", i)[c]
-    steps = segments.select("variant_id", "fid", "line", F.explode(F.sequence(F.lit(1), F.size("line") - 1)).alias("i"))
-    steps = steps.select("variant_id", "fid", *[p(F.col("i") + d, c).alias(f"{c}{n}") for n, d in (("a", -1), ("b", 0)) for c in "xy"])
-    steps = steps.withColumns({"x0": F.least("xa", "xb"), "y0": F.least("ya", "yb"), "x1": F.greatest("xa", "xb"), "y1": F.greatest("ya", "yb")})
-    pairs = grid.pairs_of_boxes(steps, "fid", "x0", "y0", "x1", "y1", size).where("a.variant_id = b.variant_id")
-    ends = lambda s: tuple(F.col(f"{s}.{c}") for c in ("xa", "ya", "xb", "yb"))
-    rows = pairs.where(geo.properly_cross(ends("a"), ends("b"))).select("a.variant_id", "a.fid", F.col("b.fid").alias("other")).distinct()
-    return _found(rows, "R-NET-7", F.concat(F.lit("crosses "), F.col("other")))
+    steps = segments.where(F.size("line") > 1).select("variant_id", "fid", "line", F.explode(F.sequence(F.lit(1), F.size("line") - 1)).alias("i"))
+    return steps.select("variant_id", "fid", "line", *[p(F.col("i") + d, c).alias(f"{n}{c}") for n, d in (("a", -1), ("b", 0)) for c in "xy"])
+
+
+def crossings(segments: DataFrame, size: float = 50.0, tolerance: float = 0.05) -> DataFrame:
+    """New pipes with a point in common, crossing, touching or one on the other, that is not an end of both."""
+    ends = F.transform(F.array(F.get("line", F.lit(0)), F.element_at("line", -1)), lambda q: F.struct(q.x.alias("x"), q.y.alias("y")))
+    steps = _steps(segments).withColumn("ends", ends).drop("line")
+    steps = steps.withColumns({"x0": F.least("ax", "bx"), "y0": F.least("ay", "by"), "x1": F.greatest("ax", "bx"), "y1": F.greatest("ay", "by")})
+    steps = steps.select("*", *[F.concat_ws("|", F.col("variant_id").cast("string"), F.col("fid").cast("string")).alias("owner")])
+    pairs = grid.pairs_of_boxes(steps, "owner", "x0", "y0", "x1", "y1", size, within="variant_id")
+    one, two = (tuple(F.col(f"{s}.{c}") for c in ("ax", "ay", "bx", "by")) for s in "ab")
+    low, high, _ = clip.common_part(one, two)
+    at = lambda t: ((one[0] + t * (one[2] - one[0])), (one[1] + t * (one[3] - one[1])))
+    end_of = lambda s, t: F.exists(F.col(f"{s}.ends"), lambda q: geo.distance(q.x, q.y, *at(t)) <= tolerance)
+    apart = lambda c: ~(end_of("a", F.col(c)) & end_of("b", F.col(c)))
+    rows = pairs.withColumns({"low": low, "high": high}).where(F.col("low").isNotNull()).where(apart("low") | apart("high"))
+    return _found(rows.select("a.variant_id", "a.fid", F.col("b.fid").alias("other")).distinct(), "R-NET-7", F.concat(F.lit("meets "), F.col("other").cast("string"), F.lit(" outside a common end")))
 
 
 def near_obstacles(segments: DataFrame, obstacles: DataFrame, reach: float = 20.0) -> DataFrame:
@@ -136,6 +178,13 @@ def near_obstacles(segments: DataFrame, obstacles: DataFrame, reach: float = 20.
     return _found(pairs.where(d < F.col("min_distance") - 0.01).select("variant_id", "fid", "obstacle").distinct(), "R-RESTR", F.concat(F.lit("too close to "), F.col("obstacle")))
 
 
+def near_walls(segments: DataFrame, obstacles: DataFrame) -> DataFrame:
+    """New pipe closer to the walls of a forbidden obstacle (fid, min_distance, rings) than allowed, or inside it; holes are outside."""
+    areas = obstacles.select(F.col("fid").alias("obstacle"), "min_distance", "rings")
+    rows = zones.too_close(_steps(segments).drop("line"), areas, "min_distance").select("variant_id", "fid", "obstacle").distinct()
+    return _found(rows, "R-RESTR", F.concat(F.lit("too close to "), F.col("obstacle").cast("string")))
+
+
 def totals(segments: DataFrame, chambers: DataFrame, summaries: DataFrame, consumers: DataFrame) -> DataFrame:
     s = segments.groupBy("variant_id").agg(F.sum("cost").alias("pipe_sum"), F.sum("length").alias("length_sum"), F.count("*").alias("n"))
     c = chambers.groupBy("variant_id").agg(F.sum("cost").alias("chamber_sum"))
@@ -153,7 +202,8 @@ def ranks(summaries: DataFrame) -> DataFrame:
     return _found(summaries.withColumn("right", right).where("rank <> right"), "R-RANK", "rank is not the place by score", feature="variant_id")
 
 
-def findings(segments: DataFrame, chambers: DataFrame, consumers: DataFrame, ties: DataFrame, summaries: DataFrame) -> DataFrame:
-    """All rules together; no rows for a good result."""
-    parts = [repeated_ids(segments, chambers), lengths(segments), turns(segments), one_parent(segments), reach(segments, ties), connected_or_listed(segments, consumers, summaries), flows(segments, consumers), diameters(segments), run_lengths(segments), costs(segments), chamber_sizes(segments, chambers), crossings(segments), totals(segments, chambers, summaries, consumers), ranks(summaries)]
+def findings(segments: DataFrame, chambers: DataFrame, consumers: DataFrame, ties: DataFrame, summaries: DataFrame, obstacles: DataFrame | None = None) -> DataFrame:
+    """All rules together; no rows for a good result. Obstacles (fid, min_distance, rings) are those that no pipe may come near."""
+    parts = [repeated_ids(segments, chambers), lengths(segments), turns(segments), one_parent(segments), reach(segments, ties), connected_or_listed(segments, consumers, summaries), flows(segments, consumers), diameters(segments), run_lengths(segments, consumers), oversized(segments, consumers), costs(segments), chamber_sizes(segments, chambers), crossings(segments), totals(segments, chambers, summaries, consumers), ranks(summaries)]
+    parts += [near_walls(segments, obstacles)] if obstacles is not None else []
     return reduce(lambda a, b: a.unionByName(b), parts)

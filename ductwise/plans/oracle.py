@@ -53,10 +53,10 @@ b as (select *, row_number() over (partition by o_custkey order by o_totalprice
 SQL["q19_retention"] = """with a as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders where o_orderstatus <> 'P')
 select o_custkey as dataset_id, count(*) as n, max(o_orderkey) as last_id from a where r > 3 and o_orderdate < timestamp '2001-08-01 00:00:00' - interval (24 * 365) hour group by o_custkey"""
 SQL["q20_examples_capped"] = "select event_type, event_id, n from (select event_type, event_id, row_number() over (partition by event_type order by event_id) as r, count(*) over (partition by event_type) as n from events) where r <= 50"
-SQL["q21_interval_merge"] = """with a as (select l_orderkey, ((l_linenumber * 7) % 20)::double as low, ((l_linenumber * 7) % 20)::double + l_quantity % 10 as high, 1 + l_discount as k from lineitem),
+SQL["q21_interval_merge"] = """with a as (select l_orderkey, ((l_linenumber * 7) % 20 * 100)::bigint as low, ((l_linenumber * 7) % 20 * 100 + round(l_quantity)::bigint % 10 * 100)::bigint as high, (100 + round(l_discount * 100))::bigint as k from lineitem),
 b as (select *, max(high) over (partition by l_orderkey order by low, high rows between unbounded preceding and 1 preceding) as reach from a),
-c as (select *, sum(case when low <= reach + 0.01 then 0 else 1 end) over (partition by l_orderkey order by low, high rows unbounded preceding) as island from b)
-select l_orderkey, min(low) as low, max(high) as high, round(max(k), 6) as k from c group by l_orderkey, island"""
+c as (select *, sum(case when low <= reach + 1 then 0 else 1 end) over (partition by l_orderkey order by low, high rows unbounded preceding) as island from b)
+select l_orderkey, min(low) as low, max(high) as high, max(k) as k from c group by l_orderkey, island"""
 SQL["q22_turn_angles"] = f"""with {_CUSTOMERS}, p as (select c_custkey, lag(cx) over w as x0, lag(cy) over w as y0, cx as x1, cy as y1, lead(cx) over w as x2, lead(cy) over w as y2 from c window w as (partition by c_nationkey order by c_custkey)),
 v as (select c_custkey, (x1 - x0)::double as ux, (y1 - y0)::double as uy, (x2 - x1)::double as vx, (y2 - y1)::double as vy from p where x0 is not null and x2 is not null)
 select c_custkey, round(degrees(acos(greatest(-1.0::double, least(1.0::double, (ux * vx + uy * vy) / sqrt((ux * ux + uy * uy) * (vx * vx + vy * vy)))))), 6) as turn from v where ux * ux + uy * uy > 0 and vx * vx + vy * vy > 0"""
@@ -183,3 +183,44 @@ SQL["q75_rule_degrees"] = f"""with {_RESULT}, e as (select k as node, dn from s
 c as (select c_custkey as k, case when c_custkey % 2 = 0 then 100 else 80 end as dn from customer), j as (select * from c left join d on node = k)
 {_FINDING.format('R-TIE-3', 1, 'k', repr('diameter or cost of the chamber'))} from j where dn is distinct from most
 union all {_FINDING.format('R-NET-5', 1, 'k', repr('too many pieces meet'))} from j where degree > {ref.MAX_DEGREE}"""
+_CORNERS = [[(-4, -4), (4, -4), (4, 4), (1, 4), (1, 0), (-1, 0), (-1, 4), (-4, 4), (-4, -4)], [(-3, -3), (3, -3), (3, -1), (-3, -1), (-3, -3)]]
+_WALLS = "(values " + ", ".join(f"({a}, {b}, {c}, {d})" for ring in _CORNERS for (a, b), (c, d) in zip(ring, ring[1:], strict=False)) + ") u(a, b, c, d)"
+_YARDS = f"""y as (select s_suppkey as s, (s_suppkey * 7919) % 1000 + 1 as x, (s_suppkey * 104729) % 1000 + 2 as y, s_suppkey % 6 + 2 as m from supplier),
+e as (select s, (x + m * a)::double as ax, (y + m * b)::double as ay, (x + m * c)::double as bx, (y + m * d)::double as by_ from y, {_WALLS})"""
+_IN_RINGS = "(select count(*) % 2 = 1 from e where e.s = {0}.s and (e.ay > {2}) <> (e.by_ > {2}) and {1} < (e.bx - e.ax) * ({2} - e.ay) / nullif(e.by_ - e.ay, 0) + e.ax)"
+_STRETCHES = f"""{_CUSTOMERS}, {_LONG}, {_YARDS},
+j as (select k, s, ax, ay, (bx - ax)::double as dx, (by_ - ay)::double as dy from g join y on least(ax, bx) <= x + 4 * m and greatest(ax, bx) >= x - 4 * m and least(ay, by_) <= y + 4 * m and greatest(ay, by_) >= y - 4 * m),
+w as (select k, j.s, dx, dy, e.bx - e.ax as ux, e.by_ - e.ay as uy, e.ax - j.ax as px, e.ay - j.ay as py, dx * dx + dy * dy as l2 from j join e on e.s = j.s),
+h as (select k, s, true as along, greatest(0, least((px * dx + py * dy) / l2, ((px + ux) * dx + (py + uy) * dy) / l2)) as low, least(1, greatest((px * dx + py * dy) / l2, ((px + ux) * dx + (py + uy) * dy) / l2)) as high
+  from w where dx * uy = dy * ux and px * dy = py * dx
+  union all select k, s, false, t, t from (select k, s, (px * uy - py * ux) / (dx * uy - dy * ux) as t, (px * dy - py * dx) / (dx * uy - dy * ux) as u from w where dx * uy <> dy * ux) where t between 0 and 1 and u between 0 and 1),
+p as (select * from h where low <= high),
+t as (select k, s, low as t from p union select k, s, high from p union select k, s, v::double from j, (values (0), (1)) z(v)),
+i as (select k, s, t as low, lead(t) over (partition by k, s order by t) as high from t),
+r as (select i.*, ax + dx * (low + high) / 2 as mx, ay + dy * (low + high) / 2 as my, sqrt(dx * dx + dy * dy) as length from i join j using (k, s) where high - low >= 1e-12),
+held as (select * from r where {_IN_RINGS.format('r', 'mx', 'my')} or exists (select 1 from p where p.k = r.k and p.s = r.s and along and (r.low + r.high) / 2 between p.low and p.high)),
+isles as (select *, sum(fresh) over (partition by k, s order by low) as isle from (select *, case when abs(low - lag(high) over (partition by k, s order by low)) < 1e-12 then 0 else 1 end as fresh from held)),
+stretch as (select k, s, min(low) as low, max(high) as high, any_value(length) as length from isles group by k, s, isle)"""
+SQL["q76_inside_stretches"] = f"with {_STRETCHES} select k as c_custkey, s as s_suppkey, count(*) as n, round(max(high), 6) as last, round(sum(high - low), 6) as inside from stretch group by k, s"
+SQL["q77_merged_stretches"] = f"""with {_STRETCHES}, q as (select k, low * length as low, high * length as high from stretch),
+b as (select *, max(high) over (partition by k order by low, high rows between unbounded preceding and 1 preceding) as far from q),
+f as (select *, sum(case when low <= far + 0.2::double then 0 else 1 end) over (partition by k order by low, high rows unbounded preceding) as isle from b),
+o as (select k, min(low) as low, max(high) as high from f group by k, isle) select k as c_custkey, count(*) as n, round(sum(high - low), 6) as length from o group by k"""
+_OFF = "({2} and not (({0}.ax = {1}.ax and {0}.ay = {1}.ay) or ({0}.bx = {1}.ax and {0}.by_ = {1}.ay)) or {3} and not (({0}.ax = {1}.bx and {0}.ay = {1}.by_) or ({0}.bx = {1}.bx and {0}.by_ = {1}.by_)))"
+SQL["q78_rule_crossings"] = f"""with {_CUSTOMERS}, {_LONG} {_FINDING.format('R-NET-7', 'a.k % 3', 'a.k', "'meets ' || b.k || ' outside a common end'")} from g a join g b on a.k % 3 = b.k % 3 and a.k::varchar < b.k::varchar and {_NEAR.format('a', 'b')}
+where ({_SIDE.format('a', 'b.ay', 'b.ax')} * {_SIDE.format('a', 'b.by_', 'b.bx')} < 0 and {_SIDE.format('b', 'a.ay', 'a.ax')} * {_SIDE.format('b', 'a.by_', 'a.bx')} < 0)
+or {_OFF.format('a', 'b', _ON.format('a', 'b.ay', 'b.ax'), _ON.format('a', 'b.by_', 'b.bx'))} or {_OFF.format('b', 'a', _ON.format('b', 'a.ay', 'a.ax'), _ON.format('b', 'a.by_', 'a.bx'))}"""
+_FAR = "(with t as (select greatest(0, least(1, (({1} - {0}.ax) * ({0}.bx - {0}.ax) + ({2} - {0}.ay) * ({0}.by_ - {0}.ay))::double / (({0}.bx - {0}.ax) * ({0}.bx - {0}.ax) + ({0}.by_ - {0}.ay) * ({0}.by_ - {0}.ay)))) as t) select sqrt(({0}.ax + t * ({0}.bx - {0}.ax) - {1}) ** 2 + ({0}.ay + t * ({0}.by_ - {0}.ay) - {2}) ** 2) from t)"
+SQL["q79_rule_walls"] = f"""with {_CUSTOMERS}, {_LONG}, {_YARDS}, j as (select g.*, s, s % 4 + 1 as least_ from g join y on least(ax, bx) <= x + 4 * m + 4 and greatest(ax, bx) >= x - 4 * m - 4 and least(ay, by_) <= y + 4 * m + 4 and greatest(ay, by_) >= y - 4 * m - 4),
+n as (select a.k, a.s, a.least_, least({_FAR.format('a', 'b.ax', 'b.ay')}, {_FAR.format('a', 'b.bx', 'b.by_')}, {_FAR.format('b', 'a.ax', 'a.ay')}, {_FAR.format('b', 'a.bx', 'a.by_')}) as d,
+  {_SIDE.format('a', 'b.ay', 'b.ax')} * {_SIDE.format('a', 'b.by_', 'b.bx')} < 0 and {_SIDE.format('b', 'a.ay', 'a.ax')} * {_SIDE.format('b', 'a.by_', 'a.bx')} < 0 as crosses from j a join e b on a.s = b.s),
+f as (select k, s from n where crosses or d < least_ - 0.01 union select k, s from j where {_IN_RINGS.format('j', 'j.ax', 'j.ay')})
+select k::varchar as feature_id, count(*) as n, min('too close to ' || s) as first from f group by k"""
+_RUN = "case dn " + " ".join(f"when {p[0]} then {p[2]}" for p in ref.PIPES) + " end"
+SQL["q80_rule_run_lengths"] = f"""with recursive {_RESULT}, w as (select k as start, k as here, up, dn, metres * 8 as total from s union all select w.start, s.k, s.up, s.dn, w.total + s.metres * 8 from w join s on s.k = w.up and s.dn = w.dn),
+f as (select start, max(total) as total from w group by start), m as (select here as k, dn, max(f.total) as way from w join f using (start) group by here, dn)
+{_FINDING.format('R-NET-10', 1, 'k', repr('pipe of one diameter is too long'))} from m where way > {_RUN} + 0.05"""
+SQL["q81_rule_rings"] = f"""with recursive s as (select c_custkey as k, case when c_custkey % 101 = 7 then -1 when c_custkey % 103 = 11 then c_custkey * 4 else c_custkey // 4 end as up from customer where c_custkey > 0),
+u as (select k, up as here from s union select u.k, s.up from u join s on s.k = u.here), t as (select k, here from u where here not in (select k from s))
+{_FINDING.format('R-NET-1', 1, 'k', repr('does not lead to a tie-in'))} from t where here <> 0
+union all {_FINDING.format('R-NET-4', 1, 'k', repr('leads round in a ring'))} from s where k not in (select k from t)"""

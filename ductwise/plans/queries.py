@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ductwise.functions import clip
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
-from ductwise.operators import catalog, compare, grid, network, orders, shapes, validate
+from ductwise.operators import catalog, compare, grid, network, orders, shapes, trees, validate, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -143,10 +144,8 @@ def q15_monotone_parent(spark, sf_dir):
 
 @query
 def q16_equal_runs(spark, sf_dir):
-    kind = (F.floor(F.col("ancestor") / 7) % 3).alias("kind")
-    paths = network.equal_runs(network.ancestors(tree(spark, sf_dir)).select("node", "depth", kind), ["node"], ["depth"], "kind")
-    runs = paths.groupBy("node", "island").agg(F.count("*").alias("length"))
-    return runs.groupBy("node").agg(F.count("*").alias("n_runs"), F.max("length").alias("longest"))
+    kinds = tree(spark, sf_dir).withColumn("kind", F.floor(F.col("node") / 7) % 3)
+    return trees.path_runs(kinds, "kind").select("node", F.col("runs").alias("n_runs"), "longest")
 
 
 @query
@@ -180,9 +179,11 @@ def q20_examples_capped(spark, sf_dir):
 
 @query
 def q21_interval_merge(spark, sf_dir):
-    low = (F.col("l_linenumber") * 7) % 20 + F.lit(0.0)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", low.alias("low"), (low + F.col("l_quantity") % 10).alias("high"), (1 + F.col("l_discount")).alias("k"))
-    return network.merge_intervals(rows, ["l_orderkey"], "low", "high", "k").select("l_orderkey", "low", "high", F.round("k", 6).alias("k"))
+    """Places in whole hundredths, k in hundredths, so no result is a float."""
+    low = ((F.col("l_linenumber") * 7) % 20 * 100).cast("long")
+    width = (F.round("l_quantity").cast("long") % 10) * 100
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", low.alias("low"), (low + width).alias("high"), (100 + F.round(F.col("l_discount") * 100)).cast("long").alias("k"))
+    return network.merge_intervals(rows, ["l_orderkey"], "low", "high", "k", gap=1)
 
 
 @query
@@ -647,3 +648,69 @@ def q75_rule_degrees(spark, sf_dir):
     size = F.when(k % 2 == 0, 100).otherwise(80)
     chambers = table(spark, sf_dir, "customer").select(F.lit(1).cast("long").alias("variant_id"), k.cast("long").alias("fid"), size.alias("dn"), F.lit(3000000).alias("cost"))
     return validate.chamber_sizes(result_segments(spark, sf_dir), chambers)
+
+
+#: Corners of a U and of a hole in its foot, in units.
+U_SHAPE = [(-4, -4), (4, -4), (4, 4), (1, 4), (1, 0), (-1, 0), (-1, 4), (-4, 4), (-4, -4)]
+U_HOLE = [(-3, -3), (3, -3), (3, -1), (-3, -1), (-3, -3)]
+
+
+def yards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concave area with a hole around each supplier's point."""
+    k = F.col("s_suppkey")
+    x, y, m = px(k) + 1, py(k) + 2, k % 6 + 2
+    ring = lambda corners: F.array(*[F.struct((x + m * a).cast("double").alias("x"), (y + m * b).cast("double").alias("y")) for a, b in corners])
+    return table(spark, sf_dir, "supplier").select(k, F.array(ring(U_SHAPE), ring(U_HOLE)).alias("rings"))
+
+
+def plain_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_segments(spark, sf_dir).select("c_custkey", "ax", "ay", "bx", "by")
+
+
+@query
+def q76_inside_stretches(spark, sf_dir):
+    """Stretches of segments inside concave areas with holes."""
+    rows = zones.inside(plain_segments(spark, sf_dir), yards(spark, sf_dir), size=80.0)
+    return rows.select("c_custkey", "s_suppkey", F.size("inside").cast("long").alias("n"), F.round(F.array_max(F.transform("inside", lambda s: s.high)), 6).alias("last"), F.round(clip.length_inside(F.col("inside")), 6).alias("inside"))
+
+
+@query
+def q77_merged_stretches(spark, sf_dir):
+    """How much of each segment lies in any of the areas, in stretches more than 0.2 apart."""
+    rows = zones.stretches(plain_segments(spark, sf_dir), yards(spark, sf_dir), ["c_custkey"], gap=0.2, size=80.0)
+    return rows.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.sum(F.col("high") - F.col("low")), 6).alias("length"))
+
+
+@query
+def q78_rule_crossings(spark, sf_dir):
+    """Pipes that cross, touch or lie on one another away from common ends."""
+    s = plain_segments(spark, sf_dir)
+    point = lambda a: F.struct(F.col(f"{a}x").cast("double").alias("x"), F.col(f"{a}y").cast("double").alias("y"))
+    k = F.col("c_custkey")
+    return validate.crossings(s.select((k % 3).cast("long").alias("variant_id"), k.alias("fid"), F.array(point("a"), point("b")).alias("line")), size=80.0)
+
+
+@query
+def q79_rule_walls(spark, sf_dir):
+    """Pipes nearer to an area than it allows, or in it."""
+    s = plain_segments(spark, sf_dir)
+    point = lambda a: F.struct(F.col(f"{a}x").cast("double").alias("x"), F.col(f"{a}y").cast("double").alias("y"))
+    segments = s.select(F.lit(1).cast("long").alias("variant_id"), F.col("c_custkey").alias("fid"), F.array(point("a"), point("b")).alias("line"))
+    areas = yards(spark, sf_dir).select(F.col("s_suppkey").alias("fid"), (F.col("s_suppkey") % 4 + 1).cast("double").alias("min_distance"), "rings")
+    found = validate.near_walls(segments, areas)
+    return found.groupBy("feature_id").agg(F.count("*").alias("n"), F.min("message").alias("first"))
+
+
+@query
+def q80_rule_run_lengths(spark, sf_dir):
+    """Ways of one diameter through the tree of customers that are longer than allowed, each segment named."""
+    return validate.run_lengths(result_segments(spark, sf_dir).withColumn("length", (F.col("metres") * 8).cast("double")))
+
+
+@query
+def q81_rule_rings(spark, sf_dir):
+    """Ways that end at no tie-in, and ways that lead round; every 101st node goes nowhere, some point at nodes behind them."""
+    k = F.col("start_node")
+    up = F.when(k % 101 == 7, -1).when(k % 103 == 11, k * 4).otherwise(F.col("end_node"))
+    segments = result_segments(spark, sf_dir).withColumn("end_node", up.cast("long"))
+    return validate.reach(segments, spark.range(1).select(F.lit(1).cast("long").alias("variant_id"), F.col("id").alias("node")))
