@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ductwise.functions import clip
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
-from ductwise.operators import grid, trees, zones
+from ductwise.operators import components, grid, trees, zones
 from ductwise.session import cut_lineage
 
 
@@ -70,6 +70,28 @@ def _tree(segments: DataFrame, *values: str) -> DataFrame:
     return e.unionByName(ends, allowMissingColumns=True)
 
 
+def connected_parts(segments: DataFrame, ties: DataFrame) -> DataFrame:
+    """Parts of the new network that are no trees, and those with no tie-in or more than one; a finding names the part's first segment."""
+    e = _edges(segments).select(F.struct("variant_id", F.col("fid").cast("string").alias("fid")).alias("id"), F.col("node").alias("a"), F.col("parent").alias("b"))
+    tied = ties.select(F.concat_ws("|", F.col("variant_id").cast("string"), F.col("node")).alias("node"))
+    found = cut_lineage(components.parts(e, tied).select("first.variant_id", "first.fid", "edges", "nodes", "marks"))
+    shape = F.concat(F.lit("part is not a tree: "), F.col("edges").cast("string"), F.lit(" segments, "), F.col("nodes").cast("string"), F.lit(" nodes"))
+    no_tree = _found(found.where("edges <> nodes - 1"), "R-NET-4", shape)
+    return no_tree.unionByName(_found(found.where("marks <> 1"), "R-NET-3", F.concat(F.lit("part has "), F.col("marks").cast("string"), F.lit(" tie-ins, 1 is required"))))
+
+
+def ends_at_nodes(segments: DataFrame, nodes: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Segments that name a node (variant_id, node, x, y) that is not there, or end away from it."""
+    line = F.col("line")
+    first, last = F.get(line, F.lit(0)), F.try_element_at(line, F.lit(-1))
+    ends = F.array(F.struct(F.col("start_node").alias("node"), first.x.alias("ex"), first.y.alias("ey")), F.struct(F.col("end_node").alias("node"), last.x.alias("ex"), last.y.alias("ey")))
+    rows = segments.select("variant_id", "fid", F.inline(ends)).join(nodes.select("variant_id", "node", "x", "y"), ["variant_id", "node"], "left")
+    unknown = _found(rows.where("x is null"), "R-TOPO", F.concat(F.lit("unknown node "), F.coalesce(F.col("node").cast("string"), F.lit("null"))))
+    off = geo.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey"))
+    apart = F.coalesce(off > tolerance, F.lit(True))
+    return unknown.unionByName(_found(rows.where(F.col("x").isNotNull() & apart), "R-TOPO", F.concat(F.lit("ends away from node "), F.col("node").cast("string"))))
+
+
 def connected_or_listed(segments: DataFrame, consumers: DataFrame, summaries: DataFrame) -> DataFrame:
     listed = summaries.select("variant_id", F.explode("unconnected").alias("fid")).withColumn("listed", F.lit(True))
     joined = segments.select("variant_id", F.col("start_node").alias("fid")).distinct().withColumn("joined", F.lit(True))
@@ -204,6 +226,6 @@ def ranks(summaries: DataFrame) -> DataFrame:
 
 def findings(segments: DataFrame, chambers: DataFrame, consumers: DataFrame, ties: DataFrame, summaries: DataFrame, obstacles: DataFrame | None = None) -> DataFrame:
     """All rules together; no rows for a good result. Obstacles (fid, min_distance, rings) are those that no pipe may come near."""
-    parts = [repeated_ids(segments, chambers), lengths(segments), turns(segments), one_parent(segments), reach(segments, ties), connected_or_listed(segments, consumers, summaries), flows(segments, consumers), diameters(segments), run_lengths(segments, consumers), oversized(segments, consumers), costs(segments), chamber_sizes(segments, chambers), crossings(segments), totals(segments, chambers, summaries, consumers), ranks(summaries)]
+    parts = [repeated_ids(segments, chambers), lengths(segments), turns(segments), one_parent(segments), reach(segments, ties), connected_parts(segments, ties), connected_or_listed(segments, consumers, summaries), flows(segments, consumers), diameters(segments), run_lengths(segments, consumers), oversized(segments, consumers), costs(segments), chamber_sizes(segments, chambers), crossings(segments), totals(segments, chambers, summaries, consumers), ranks(summaries)]
     parts += [near_walls(segments, obstacles)] if obstacles is not None else []
     return reduce(lambda a, b: a.unionByName(b), parts)

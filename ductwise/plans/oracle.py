@@ -224,3 +224,14 @@ SQL["q81_rule_rings"] = f"""with recursive s as (select c_custkey as k, case whe
 u as (select k, up as here from s union select u.k, s.up from u join s on s.k = u.here), t as (select k, here from u where here not in (select k from s))
 {_FINDING.format('R-NET-1', 1, 'k', repr('does not lead to a tie-in'))} from t where here <> 0
 union all {_FINDING.format('R-NET-4', 1, 'k', repr('leads round in a ring'))} from s where k not in (select k from t)"""
+SQL["q82_rule_parts"] = f"""with recursive s as (select c_custkey as k, c_custkey // 4 as up from customer where c_custkey > 0 and c_custkey % 97 <> 5),
+e as (select k::varchar as fid, k, up from s union all select 'x' || k, k, up from s where k % 50 = 1),
+u as (select k, up as here from s union select u.k, s.up from u join s on s.k = u.here), t as (select k, here as root from u where here not in (select k from s)),
+n as (select k as node, root from t union select root, root from t),
+m as (select root, count(*) as nodes, count(*) filter (where node = 0 or node % 97 = 5 and node % 3 > 0 or node % 200 = 3) as marks from n group by root),
+p as (select root, min(fid) as first, count(*) as edges from e join t using (k) group by root), f as (select * from p join m using (root))
+{_FINDING.format('R-NET-4', 1, 'first', "'part is not a tree: ' || edges || ' segments, ' || nodes || ' nodes'")} from f where edges <> nodes - 1
+union all {_FINDING.format('R-NET-3', 1, 'first', "'part has ' || marks || ' tie-ins, 1 is required'")} from f where marks <> 1"""
+SQL["q83_rule_topology"] = f"""with {_RESULT}, e as (select k, k as node from s union all select k, up from s)
+{_FINDING.format('R-TOPO', 1, 'k', "'unknown node ' || node")} from e where node % 83 = 9
+union all {_FINDING.format('R-TOPO', 1, 'k', "'ends away from node ' || node")} from e where node % 83 <> 9 and node % 71 = 2"""

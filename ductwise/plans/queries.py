@@ -714,3 +714,20 @@ def q81_rule_rings(spark, sf_dir):
     up = F.when(k % 101 == 7, -1).when(k % 103 == 11, k * 4).otherwise(F.col("end_node"))
     segments = result_segments(spark, sf_dir).withColumn("end_node", up.cast("long"))
     return validate.reach(segments, spark.range(1).select(F.lit(1).cast("long").alias("variant_id"), F.col("id").alias("node")))
+
+
+@query
+def q82_rule_parts(spark, sf_dir):
+    """The tree of customers in pieces: some ways are cut, some are doubled, and some pieces have no tie-in or several."""
+    rows = result_segments(spark, sf_dir).where("start_node % 97 <> 5")
+    twice = rows.where("start_node % 50 = 1").withColumn("fid", F.concat(F.lit("x"), "fid"))
+    ties = table(spark, sf_dir, "customer").where("c_custkey = 0 or c_custkey % 97 = 5 and c_custkey % 3 > 0 or c_custkey % 200 = 3").select(F.lit(1).cast("long").alias("variant_id"), F.col("c_custkey").alias("node"))
+    return validate.connected_parts(rows.unionByName(twice), ties)
+
+
+@query
+def q83_rule_topology(spark, sf_dir):
+    """Pipes whose ends are away from their nodes, or whose nodes are not there."""
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").where("c_custkey % 83 <> 9").select(F.lit(1).cast("long").alias("variant_id"), k.cast("long").alias("node"), (px(k) + F.when(k % 71 == 2, 1).otherwise(0)).cast("double").alias("x"), py(k).cast("double").alias("y"))
+    return validate.ends_at_nodes(result_segments(spark, sf_dir), nodes)

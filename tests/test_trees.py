@@ -125,3 +125,23 @@ def test_versions_in_a_circle(spark):
     assert {(r["root_id"], r["n"], r["newest"], r["next_version"]) for r in catalog.families(versions).collect()} == {(1, 3, 3, 4), (None, 3, 9, 4)}
     assert {r["id"] for r in catalog.descendants(versions, 2).collect()} == {2, 3}
     assert {r["id"] for r in catalog.descendants(versions, 8).collect()} == {7, 8, 9}
+
+
+def test_parts_as_brute_force(spark):
+    from ductwise.operators import components
+
+    rng = random.Random(6)
+    edges = [(i, rng.randrange(80), rng.randrange(80)) for i in range(60)] + [(99, 200, 200)]
+    marked = [(n,) for n in range(0, 80, 7)] * 2
+    root = {n: n for _, a, b in edges for n in (a, b)}
+    for _ in edges:
+        for _, a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {}
+    for r in set(root.values()):
+        own = [i for i, a, _ in edges if root[a] == r]
+        nodes = [n for n in root if root[n] == r]
+        want[r] = (min(own), len(own), len(nodes), len({n for n, in marked} & set(nodes)))
+    found = components.parts(spark.createDataFrame(edges, "id long, a long, b long"), spark.createDataFrame(marked, "node long"))
+    assert {r["root"]: (r["first"], r["edges"], r["nodes"], r["marks"]) for r in found.collect()} == want
+    assert components.parts(spark.createDataFrame([], "id long, a long, b long"), spark.createDataFrame(marked, "node long")).collect() == []
