@@ -120,11 +120,11 @@ def _search(shared, keep: int):
         x = np.stack([np.frombuffer(v, "<f8") for v in base["v"]]).astype(np.float64)
         q = np.stack([np.frombuffer(v, "<f8") for v in asked["v"]]).astype(np.float64)
         tx, tq = index.turned(x), index.turned(q)
-        ids, out = base["v_id"].to_numpy(), []
+        ids, low, out = base["v_id"].to_numpy(), base["low"].to_numpy(), []
         for at in range(0, len(q), 64):
             a, b = scan(tq[at : at + 64], tx, min(keep, len(x)))
             score = cosines(q[at + a], x[b])
-            order = np.lexsort((ids[b], -score, a))
+            order = np.lexsort((ids[b], low[b], -score, a))
             a, b, score = a[order], b[order], score[order]
             first = np.searchsorted(a, a)
             top = np.arange(len(a)) - first < keep
@@ -135,21 +135,21 @@ def _search(shared, keep: int):
 
 
 def _found(base: DataFrame, asked: DataFrame, index: Index, probes: int, keep: int) -> DataFrame:
-    """(q, v_id, score): per query and group the best, before groups are put together."""
+    """(q, v_id, score): per query and group the best, ties to the smaller `low`, before groups are put together."""
     spark = base.sparkSession
     shared = spark.sparkContext.broadcast(index)
 
-    def place(n: int, name: str):
+    def place(n: int, *names: str):
         def run(batches):
             for b in batches:
                 v = np.stack([np.frombuffer(x, "<f8") for x in b["v"]]).astype(np.float64) if len(b) else np.zeros((0, len(shared.value.rotation)))
                 lists = shared.value.lists(shared.value.turned(v), n) if len(b) else np.zeros((0, n), np.int64)
                 at = np.repeat(np.arange(len(b)), lists.shape[1])
-                yield pd.DataFrame({name: b[name].to_numpy()[at], "v": b["v"].to_numpy()[at], "list": lists.ravel()})
+                yield pd.DataFrame({**{name: b[name].to_numpy()[at] for name in names}, "v": b["v"].to_numpy()[at], "list": lists.ravel()})
 
         return run
 
-    base = saved(base.select("v_id", "v").mapInPandas(place(1, "v_id"), "v_id long, v binary, list int"))
+    base = saved(base.select("v_id", "low", "v").mapInPandas(place(1, "v_id", "low"), "v_id long, low long, v binary, list int"))
     asked = saved(asked.select("q", "v").mapInPandas(place(probes, "q"), "q long, v binary, list int"))
     part = lambda name, most: F.greatest(F.lit(1), F.ceil(F.col(name) / most)).cast("int")
     sizes = base.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("m")), "list").select("list", part("n", CHUNK).alias("chunks"), part("m", QUERIES).alias("sets"))
@@ -157,7 +157,7 @@ def _found(base: DataFrame, asked: DataFrame, index: Index, probes: int, keep: i
     x = base.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("v_id"), "chunks").cast("int")).withColumn("set", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)))
     q = asked.join(sizes, "list").withColumn("set", F.pmod(F.xxhash64("q"), "sets").cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     by = ["list", "chunk", "set"]
-    return x.select(*by, "v_id", "v").groupBy(*by).cogroup(q.select(*by, "q", "v").groupBy(*by)).applyInPandas(_search(shared, keep), "q long, v_id long, score double")
+    return x.select(*by, "v_id", "low", "v").groupBy(*by).cogroup(q.select(*by, "q", "v").groupBy(*by)).applyInPandas(_search(shared, keep), "q long, v_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, sample_rows: int = 20_000, aim: float = 0.96) -> DataFrame:
@@ -166,34 +166,37 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, sample_rows: int =
     Largest cosine first, ties to the smaller vec_id. Equal vectors are searched once and stand for their k + 1 smallest
     ids, which is all that a rank up to k can hold. A query that its lists give fewer than k candidates is searched again
     in all lists, so each gets k, or all there are. Vectors that are null, zero, not finite or of another length than most
-    take no part; none, or one alone, gives no rows. Repeated vec_ids of equal vectors count once.
+    take no part; none, or one alone, gives no rows. Rows count one by one, also those with equal ids or vectors: a query is every
+    such row, and its candidates are all rows but itself.
     """
-    ids = saved(usable(vectors.select("vec_id", "embedding")).distinct())
-    ranked = ids.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(f"r <= {k + 1}")
-    distinct = saved(ranked.groupBy("v").agg(F.min("vec_id").alias("v_id"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    ids = saved(usable(vectors.select("vec_id", "embedding")).withColumn("row", F.monotonically_increasing_id()))
+    ranked = ids.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id", "row"))).where(f"r <= {k + 1}")
+    listed = ranked.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "row"))).alias("ids"))
+    first = F.col("ids")[0]
+    distinct = saved(listed.select("v", first["row"].alias("v_id"), first["vec_id"].alias("low"), "ids"))
     n = distinct.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
     index = fit(distinct, n, sample_rows, aim)
     wanted = saved(ids.where(F.col("vec_id") % every == 0))
-    asked = saved(wanted.groupBy("v").agg(F.min("vec_id").alias("q")))
-    queries = wanted.join(asked, "v").select("q", F.col("vec_id").alias("query_id"))
+    asked = saved(wanted.groupBy("v").agg(F.min("row").alias("q")))
+    queries = wanted.join(asked, "v").select("q", F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"))
 
     def answers(found: DataFrame, queries: DataFrame) -> DataFrame:
-        near = found.join(distinct.select("v_id", "ids"), "v_id").select("q", "score", F.explode("ids").alias("vec_id"))
-        near = near.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(f"r <= {k + 1}")
-        near = near.join(queries, "q").where("vec_id <> query_id")
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return near.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+        near = found.join(distinct.select("v_id", "ids"), "v_id").select("q", "score", F.inline("ids"))
+        near = near.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row"))).where(f"r <= {k + 1}")
+        near = near.join(queries, "q").where("row <> query_row")
+        rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
+        return near.withColumn("rank", rank).where(f"rank <= {k}").select("query_row", "query_id", "rank", "vec_id", "score")
 
     first = saved(answers(_found(distinct, asked, index, index.probes, k + 1), queries))
     if index.probes == len(index.centres):
-        return first
+        return first.drop("query_row")
     enough = min(k, ids.limit(k + 1).count() - 1)
-    full = first.groupBy("query_id").count().where(f"count >= {enough}").select("query_id")
-    short = saved(queries.join(full, "query_id", "left_anti"))
+    full = first.groupBy("query_row").count().where(f"count >= {enough}").select("query_row")
+    short = saved(queries.join(full, "query_row", "left_anti"))
     if short.isEmpty():
-        return first
+        return first.drop("query_row")
     again = answers(_found(distinct, asked.join(short.select("q").distinct(), "q", "left_semi"), index, len(index.centres), k + 1), short)
-    return first.join(full, "query_id", "left_semi").unionByName(again)
+    return first.join(full, "query_row", "left_semi").unionByName(again).drop("query_row")

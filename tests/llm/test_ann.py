@@ -61,3 +61,14 @@ def test_scan_keeps_the_nearest():
     left = [set(b[a == i].tolist()) for i in range(20)]
     found = sum(len(set(np.argsort(-(x @ q[i]))[:6].tolist()) & left[i]) for i in range(20))
     assert found >= 0.95 * 120 and len(a) < 0.1 * 20 * 3000
+
+
+def test_repeated_rows_are_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0]), (3, [1.0, 0.1])]
+    got = sorted(tuple(r)[:3] for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=4).collect())
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, x, strict=True)) / math.hypot(*v) / math.hypot(*x), d) for j, (d, x) in enumerate(rows) if j != i)[:4]
+            want += [(q, r + 1, d) for r, (_, d) in enumerate(near)]
+    assert got == sorted(want)
