@@ -53,7 +53,7 @@ b as (select *, row_number() over (partition by o_custkey order by o_totalprice
 SQL["q19_retention"] = """with a as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders where o_orderstatus <> 'P')
 select o_custkey as dataset_id, count(*) as n, max(o_orderkey) as last_id from a where r > 3 and o_orderdate < timestamp '2001-08-01 00:00:00' - interval (24 * 365) hour group by o_custkey"""
 SQL["q20_examples_capped"] = "select event_type, event_id, n from (select event_type, event_id, row_number() over (partition by event_type order by event_id) as r, count(*) over (partition by event_type) as n from events) where r <= 50"
-SQL["q21_interval_merge"] = """with a as (select l_orderkey, ((l_linenumber * 7) % 20 * 100)::bigint as low, ((l_linenumber * 7) % 20 * 100 + round(l_quantity)::bigint % 10 * 100)::bigint as high, (100 + round(l_discount * 100))::bigint as k from lineitem),
+SQL["q21_interval_merge"] = """with a as (select l_orderkey, ((l_linenumber * 7) % 20 * 100)::bigint as low, ((l_linenumber * 7) % 20 * 100 + floor(l_quantity)::bigint % 10 * 100)::bigint as high, (100 + floor(l_discount * 100))::bigint as k from lineitem),
 b as (select *, max(high) over (partition by l_orderkey order by low, high rows between unbounded preceding and 1 preceding) as reach from a),
 c as (select *, sum(case when low <= reach + 1 then 0 else 1 end) over (partition by l_orderkey order by low, high rows unbounded preceding) as island from b)
 select l_orderkey, min(low) as low, max(high) as high, max(k) as k from c group by l_orderkey, island"""

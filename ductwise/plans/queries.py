@@ -181,8 +181,8 @@ def q20_examples_capped(spark, sf_dir):
 def q21_interval_merge(spark, sf_dir):
     """Places in whole hundredths, k in hundredths, so no result is a float."""
     low = ((F.col("l_linenumber") * 7) % 20 * 100).cast("long")
-    width = (F.round("l_quantity").cast("long") % 10) * 100
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", low.alias("low"), (low + width).alias("high"), (100 + F.round(F.col("l_discount") * 100)).cast("long").alias("k"))
+    width = (F.floor("l_quantity").cast("long") % 10) * 100
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", low.alias("low"), (low + width).alias("high"), (100 + F.floor(F.col("l_discount") * 100)).cast("long").alias("k"))
     return network.merge_intervals(rows, ["l_orderkey"], "low", "high", "k", gap=1)
 
 
