@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
+from ductwise.sources import collection
 
 # Fixed values of the input format: allowed geometries and required attributes of each object type.
 _AREA, _ANY = ("Polygon", "MultiPolygon"), ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")
@@ -29,11 +30,16 @@ _LINE = "array<array<double>>"
 _NUMBER = "^(BIGINT|TINYINT|SMALLINT|INT|DOUBLE|FLOAT|DECIMAL)"
 
 
-def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def scan(spark: SparkSession, path: str, lines: bool = False, split: bool = False) -> DataFrame:
     """(seq, feature) of a FeatureCollection, or of files with a feature on each line, which Spark splits between tasks.
 
+    With `split` one FeatureCollection, too, is read by many tasks; seq then rises in the order of the document, but not by ones.
     The schema is given, never inferred: ids may be numbers and strings in one file.
     """
+    if split:
+        rows = collection.features(spark, path).withColumn("feature", F.from_json("text", _FEATURE.replace("struct<id", "struct<type string, id", 1)))
+        # a split holds fewer features than bytes, so its place in the file plus the number in it never repeats
+        return rows.where("feature.type = 'Feature'").select((F.col("block") + F.col("number")).alias("seq"), F.col("feature").dropFields("type").alias("feature"))
     if lines:
         rows = spark.read.schema(_FEATURE.removeprefix("struct<").removesuffix(">")).json(path)
         return rows.select(F.monotonically_increasing_id().alias("seq"), F.struct("id", "properties", "geometry").alias("feature"))
