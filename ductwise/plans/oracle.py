@@ -235,3 +235,27 @@ union all {_FINDING.format('R-NET-3', 1, 'first', "'part has ' || marks || ' tie
 SQL["q83_rule_topology"] = f"""with {_RESULT}, e as (select k, k as node from s union all select k, up from s)
 {_FINDING.format('R-TOPO', 1, 'k', "'unknown node ' || node")} from e where node % 83 = 9
 union all {_FINDING.format('R-TOPO', 1, 'k', "'ends away from node ' || node")} from e where node % 83 <> 9 and node % 71 = 2"""
+_LANE = "select {0} // 7 % 4 as v, {0} % {2} as kind, ({0} * 37) % 25 * 40 + ({0} % 2) * {3} as lane, ({0} * 7919) % 1000 as lo, ({0} * 7919) % 1000 + {0} % 90 + 10 as hi from {1}"
+_ISLES = """{0}m as (select *, max(hi) over (partition by v, kind, lane order by lo, hi rows between unbounded preceding and 1 preceding) as far from {0}),
+{0}f as (select *, sum(case when lo <= far then 0 else 1 end) over (partition by v, kind, lane order by lo, hi rows unbounded preceding) as isle from {0}m),
+{0}u as (select v, kind, lane, min(lo) as lo, max(hi) as hi from {0}f group by v, kind, lane, isle)"""
+_SLANT = "case when kind = 2 then sqrt(2.0) else 1.0 end"
+SQL["q84_union_length"] = f"with s as ({_LANE.format('p_partkey', 'part', 3, 0)}), {_ISLES.format('s')} select v as variant_id, round(sum((hi - lo) * {_SLANT}), 4) as length from su group by v"
+SQL["q85_noded"] = f"""with s as ({_LANE.format('p_partkey', 'part', 3, 0)}),
+q as (select a.*, b.kind as kb, b.lane as lb, b.lo as blo, b.hi as bhi from s a join s b on a.v = b.v and a.kind <> b.kind),
+x as (select *, case when kind = 0 then (case when kb = 1 then lb else lane - lb end) when kind = 1 then (case when kb = 0 then lb else lane + lb end) when kb = 0 then lb - lane else lb end as p,
+  case when kb = 0 then (case when kind = 1 then lane else lb - lane end) when kb = 1 then (case when kind = 0 then lane else lane + lb end) when kind = 0 then lane - lb else lane end as pb from q),
+t as (select v, kind, lane, lo as p from s union select v, kind, lane, hi from s union select v, kind, lane, p from x where p between lo and hi and pb between blo and bhi),
+i as (select *, lead(p) over (partition by v, kind, lane order by p) as n from t),
+h as (select *, (n - p) * {_SLANT} as length from i where exists (select 1 from s where s.v = i.v and s.kind = i.kind and s.lane = i.lane and s.lo <= i.p and s.hi >= i.n))
+select v as variant_id, count(*) as pieces, round(sum(length), 4) as length, round(max(length), 6) as longest from h group by v"""
+_NEAR_LANES = """{2} as (select a.v, a.kind, a.lane, case when a.kind = b.kind then b.lo else b.lane end - sqrt(1 - g * g) as lo, case when a.kind = b.kind then b.hi else b.lane end + sqrt(1 - g * g) as hi
+  from (select distinct v, kind, lane from {0}) a join {1} b on a.v = b.v, lateral (select (case when a.kind = b.kind then abs(a.lane - b.lane) else greatest(b.lo - a.lane, a.lane - b.hi, 0) end)::double as g) where g <= 1),
+{2}m as (select *, max(hi) over (partition by v, kind, lane order by lo, hi rows between unbounded preceding and 1 preceding) as far from {2}),
+{2}f as (select *, sum(case when lo <= far then 0 else 1 end) over (partition by v, kind, lane order by lo, hi rows unbounded preceding) as isle from {2}m),
+{2}u as (select v, kind, lane, min(lo) as lo, max(hi) as hi from {2}f group by v, kind, lane, isle),
+{2}c as (select u.v, sum(least(u.hi, c.hi) - greatest(u.lo, c.lo)) as common from {0}u u join {2}u c on u.v = c.v and u.kind = c.kind and u.lane = c.lane and u.lo < c.hi and c.lo < u.hi group by u.v)"""
+SQL["q86_network_difference"] = f"""with a as ({_LANE.format('p_partkey', 'part', 2, 0.5)}), b as ({_LANE.format('c_custkey', 'customer', 2, 0.25)} where c_custkey % 4 <> 1), {_ISLES.format('a')}, {_ISLES.format('b')},
+{_NEAR_LANES.format('a', 'b', 'n')}, {_NEAR_LANES.format('b', 'a', 'w')},
+l as (select v, sum(hi - lo) as la, 0 as lb from au group by v union all select v, 0, sum(hi - lo) from bu group by v), t as (select v, sum(la) as la, sum(lb) as lb from l group by v)
+select v as variant_id, round(coalesce(nc.common, 0), 4) as common, round(la - coalesce(nc.common, 0), 4) as only_a, round(lb - coalesce(wc.common, 0), 4) as only_b from t left join nc using (v) left join wc using (v)"""

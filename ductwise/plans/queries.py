@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ductwise.functions import clip
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
-from ductwise.operators import catalog, compare, grid, network, orders, shapes, trees, validate, zones
+from ductwise.operators import catalog, compare, grid, network, orders, overlay, shapes, trees, validate, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -731,3 +731,38 @@ def q83_rule_topology(spark, sf_dir):
     k = F.col("c_custkey")
     nodes = table(spark, sf_dir, "customer").where("c_custkey % 83 <> 9").select(F.lit(1).cast("long").alias("variant_id"), k.cast("long").alias("node"), (px(k) + F.when(k % 71 == 2, 1).otherwise(0)).cast("double").alias("x"), py(k).cast("double").alias("y"))
     return validate.ends_at_nodes(result_segments(spark, sf_dir), nodes)
+
+
+def lane_segments(df: DataFrame, key: str, kinds: int = 3, shift: float = 0.0) -> DataFrame:
+    """Segments on few lines, so that many overlap: level, upright, and (of three kinds) slanting ones; every other is drawn backwards."""
+    k = F.col(key)
+    kind, lane, low = k % kinds, (k * 37) % 25 * 40 + (k % 2) * shift, px(k)
+    high = low + k % 90 + 10
+    x = lambda p: F.when(kind == 1, lane).otherwise(p)
+    y = lambda p: F.when(kind == 0, lane).when(kind == 1, p).otherwise(p + lane)
+    back = F.floor(k / 3) % 2 == 0
+    first, last = F.when(back, high).otherwise(low), F.when(back, low).otherwise(high)
+    return df.select((F.floor(k / 7) % 4).cast("long").alias("variant_id"), k.cast("long").alias("id"), *[c.cast("double").alias(n) for n, c in zip(overlay.XY, (x(first), y(first), x(last), y(last)), strict=True)])
+
+
+@query
+def q84_union_length(spark, sf_dir):
+    """Length of each variant's network, what lies on one another counted once."""
+    rows = overlay.union(lane_segments(table(spark, sf_dir, "part"), "p_partkey"), 80.0, "variant_id")
+    return rows.groupBy("variant_id").agg(F.round(F.sum("length"), 4).alias("length"))
+
+
+@query
+def q85_noded(spark, sf_dir):
+    """Pieces of each variant's network after cutting it wherever pipes meet."""
+    rows = overlay.noded(lane_segments(table(spark, sf_dir, "part"), "p_partkey"), 80.0, "variant_id")
+    return rows.groupBy("variant_id").agg(F.count("*").alias("pieces"), F.round(F.sum("length"), 4).alias("length"), F.round(F.max("length"), 6).alias("longest"))
+
+
+@query
+def q86_network_difference(spark, sf_dir):
+    """What the networks of two runs have in common within a metre, and what only one of them has, by variant."""
+    a = lane_segments(table(spark, sf_dir, "part"), "p_partkey", 2, 0.5)
+    b = lane_segments(table(spark, sf_dir, "customer").where("c_custkey % 4 <> 1"), "c_custkey", 2, 0.25)
+    rows = overlay.compare_lengths(a, b, 80.0, 1.0, "variant_id")
+    return rows.select("variant_id", *[F.round(c, 4).alias(c) for c in ("common", "only_a", "only_b")])
