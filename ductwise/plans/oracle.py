@@ -259,3 +259,16 @@ SQL["q86_network_difference"] = f"""with a as ({_LANE.format('p_partkey', 'part'
 {_NEAR_LANES.format('a', 'b', 'n')}, {_NEAR_LANES.format('b', 'a', 'w')},
 l as (select v, sum(hi - lo) as la, 0 as lb from au group by v union all select v, 0, sum(hi - lo) from bu group by v), t as (select v, sum(la) as la, sum(lb) as lb from l group by v)
 select v as variant_id, round(coalesce(nc.common, 0), 4) as common, round(la - coalesce(nc.common, 0), 4) as only_a, round(lb - coalesce(wc.common, 0), 4) as only_b from t left join nc using (v) left join wc using (v)"""
+SQL["q87_snapped_ends"] = """with recursive p as (select c_custkey as seq, c_custkey % 64 as g, row_number() over (partition by c_custkey % 64 order by c_custkey) as i, (c_custkey * 7919) % 17 as x, (c_custkey * 104729) % 13 as y from customer),
+r as (select g, 0::bigint as i, null::bigint as seq, null::bigint as node, []::struct(seq bigint, x bigint, y bigint)[] as nodes from p group by g
+union all select g, i, seq, coalesce(best, seq), case when best is null then list_append(nodes, {'seq': seq::bigint, 'x': x::bigint, 'y': y::bigint}) else nodes end
+from (select p.g, p.i, p.seq, p.x, p.y, r.nodes, list_sort(list_transform(list_filter(r.nodes, lambda n: (n.x - p.x) ** 2 + (n.y - p.y) ** 2 <= 4), lambda n: {'d': (n.x - p.x) ** 2 + (n.y - p.y) ** 2, 's': n.seq}))[1].s as best from r join p on p.g = r.g and p.i = r.i + 1))
+select seq, node from r where i > 0"""
+_LINES = "s as (select c_custkey as k, c_custkey // 4 as up from customer where c_custkey > 0 and c_custkey % 97 <> 5)"
+SQL["q88_topology"] = f"""with recursive {_LINES}, u as (select k, up from s where up = 0 union all select s.k, s.up from s join u on s.up = u.k),
+c as (select c_custkey as k from customer where c_custkey % 3 = 0)
+select u.k as id, 'segment' as kind, case when c.k is not null then u.up + 10000000000 when u.up = 0 then -7 else u.up end as upstream, case when c.k is not null then 'chamber' when u.up = 0 then 'source' else 'segment' end as upstream_kind from u left join c on c.k = u.up
+union all select c.k + 10000000000, 'chamber', case when c.k = 0 then -7 else c.k end, case when c.k = 0 then 'source' else 'segment' end from c where c.k = 0 or c.k in (select k from u)
+union all select k, 'network.detached_part', null, null from s where k not in (select k from u)"""
+SQL["q89_detached_parts"] = f"""with recursive {_LINES}, u as (select k, up as top from s union all select u.k, s.up from u join s on s.k = u.top), t as (select k, top from u where top not in (select k from s))
+select count(*) as segments, min(k) as first from t where top <> 0 group by top"""

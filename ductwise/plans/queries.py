@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ductwise.functions import clip
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
-from ductwise.operators import catalog, compare, grid, network, orders, overlay, shapes, trees, validate, zones
+from ductwise.operators import catalog, compare, grid, network, orders, overlay, shapes, topology, trees, validate, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -766,3 +766,38 @@ def q86_network_difference(spark, sf_dir):
     b = lane_segments(table(spark, sf_dir, "customer").where("c_custkey % 4 <> 1"), "c_custkey", 2, 0.25)
     rows = overlay.compare_lengths(a, b, 80.0, 1.0, "variant_id")
     return rows.select("variant_id", *[F.round(c, 4).alias(c) for c in ("common", "only_a", "only_b")])
+
+
+@query
+def q87_snapped_ends(spark, sf_dir):
+    """Ends that become nodes in order of their keys, in crowded places a kilometre apart."""
+    k = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select(k.cast("long").alias("seq"), ((k % 64) * 1000 + (k * 7919) % 17 * 0.25).alias("x"), ((k * 104729) % 13 * 0.25).alias("y"))
+    return topology.snapped(points)
+
+
+def bare_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tree of customers as lines with ends that don't quite meet, drawn either way, some missing; chambers beside every third spot; the source."""
+    k = F.col("c_custkey").cast("long")
+    spot = lambda n, off: (n % 100 * 10 + off, F.floor(n / 100) * 10.0)
+    (ax, ay), (bx, by) = spot(k, k % 2 * 0.25), spot(F.floor(k / 4), k % 3 * 0.125)
+    back = k % 5 == 0
+    ends = {n: F.when(back, q).otherwise(p).cast("double") for n, p, q in (("sx", ax, bx), ("sy", ay, by), ("ex", bx, ax), ("ey", by, ay))}
+    rows = table(spark, sf_dir, "customer")
+    segments = rows.where("c_custkey > 0 and c_custkey % 97 <> 5").select(k.alias("id"), *[c.alias(n) for n, c in ends.items()])
+    cx, cy = spot(k, 1.0)
+    chambers = rows.where("c_custkey % 3 = 0").select((k + 10_000_000_000).alias("id"), cx.cast("double").alias("x"), cy.cast("double").alias("y"))
+    return segments, chambers, spark.range(1).select(F.lit(-7).cast("long").alias("id"), F.lit(0.0).alias("x"), F.lit(0.5).alias("y"))
+
+
+@query
+def q88_topology(spark, sf_dir):
+    """What each line and chamber hangs on, seen from the source, and which lines hang on nothing."""
+    found, wrong = topology.derive(*bare_lines(spark, sf_dir))
+    return found.unionByName(wrong.select("id", F.col("code").alias("kind"), F.lit(None).cast("long").alias("upstream"), F.lit(None).cast("string").alias("upstream_kind")))
+
+
+@query
+def q89_detached_parts(spark, sf_dir):
+    segments, _, source = bare_lines(spark, sf_dir)
+    return topology.detached(segments, source).select("segments", "first")
