@@ -272,3 +272,10 @@ union all select c.k + 10000000000, 'chamber', case when c.k = 0 then -7 else c.
 union all select k, 'network.detached_part', null, null from s where k not in (select k from u)"""
 SQL["q89_detached_parts"] = f"""with recursive {_LINES}, u as (select k, up as top from s union all select u.k, s.up from u join s on s.k = u.top), t as (select k, top from u where top not in (select k from s))
 select count(*) as segments, min(k) as first from t where top <> 0 group by top"""
+SQL["q90_merged_lines"] = """with recursive t as (select c_custkey as id, case when c_custkey % 11 = 4 then c_custkey // 2 else c_custkey + 1 end as goal, (c_custkey % 9 + 1)::double as length from customer),
+e as (select id, case when id % 3 = 0 then goal else id end as node, 0 as e from t union all select id, case when id % 3 = 0 then id else goal end, 1 from t),
+l as (select p.id, p.e, q.id as id2, q.e as e2 from e p join e q on p.node = q.node and (p.id <> q.id or p.e <> q.e) where p.node in (select node from e group by node having count(*) = 2)),
+w as (select e.id as start, e.id * 2 + 1 - e.e as key, e.id, e.e as d, 0::bigint as position, 0::double as far from e left join l on l.id = e.id and l.e = e.e where l.id is null
+  union all select w.start, w.key, l.id2, l.e2, w.position + 1, w.far + t.length from w join l on l.id = w.id and l.e = 1 - w.d join t on t.id = w.id),
+f as (select id, min(struct_pack(key := key, start := start, position := position, d := d, far := far)) as b from w group by id), n as (select b.start as line, count(*) as pieces from f group by 1)
+select id, b.start as line, b.position as position, b.d = 0 as forward, b.far as "at", pieces, false as ring from f join n on n.line = b.start"""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ductwise.functions import clip
 from ductwise.functions import geometry as geo
 from ductwise.functions import reference as ref
-from ductwise.operators import catalog, compare, grid, network, orders, overlay, shapes, topology, trees, validate, zones
+from ductwise.operators import catalog, chains, compare, grid, network, orders, overlay, shapes, topology, trees, validate, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -801,3 +801,12 @@ def q88_topology(spark, sf_dir):
 def q89_detached_parts(spark, sf_dir):
     segments, _, source = bare_lines(spark, sf_dir)
     return topology.detached(segments, source).select("segments", "first")
+
+
+@query
+def q90_merged_lines(spark, sf_dir):
+    """Pieces from each customer to the next, some of them elsewhere, put together to lines."""
+    k = F.col("c_custkey").cast("long")
+    to = F.when(k % 11 == 4, F.floor(k / 2)).otherwise(k + 1)
+    pieces = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 3 == 0, to).otherwise(k).alias("a"), F.when(k % 3 == 0, k).otherwise(to).alias("b"), (k % 9 + 1).cast("double").alias("length"))
+    return chains.merged(pieces)
