@@ -82,11 +82,10 @@ def noded(segments: DataFrame, size: float, within: str | None = None, same: flo
     """
     keys, lines = _keys(within), once(segments, within)
     met = _meetings(lines, size, within)
-    group = keys[:-1]
-    cuts = lambda s: met.select(*group, F.col(f"id{s}").alias("id"), F.explode(F.array(*[F.struct(F.col(f"{e}{s}").alias("low"), F.col(f"{e}{s}").alias("high")) for e in "lh"])).alias("c"))
-    places = cuts("a").unionByName(cuts("b")).select(*keys, "c.low", "c.high")
-    doubled = met.where("along and hb > lb").select(*group, F.col("idb").alias("id"), F.col("lb").alias("low"), F.col("hb").alias("high"))
-    found = covered(_whole(lines, keys), places.unionByName(doubled), keys)
+    part = lambda i, low, high: F.struct(F.col(f"id{i}").alias("id"), F.col(low).alias("low"), F.col(high).alias("high"))
+    cuts = [part("a", "la", "la"), part("a", "ha", "ha"), part("b", "lb", "lb"), part("b", "hb", "hb"), F.when(F.col("along") & (F.col("hb") > F.col("lb")), part("b", "lb", "hb"))]
+    places = met.select(*keys[:-1], F.inline(F.filter(F.array(*cuts), lambda p: p.isNotNull())))
+    found = covered(_whole(lines, keys), places, keys)
     return _piece(found.where(~F.col("covered") & (F.col("high") - F.col("low") > same)).drop("covered"), lines, keys)
 
 

@@ -748,14 +748,14 @@ def lane_segments(df: DataFrame, key: str, kinds: int = 3, shift: float = 0.0) -
 @query
 def q84_union_length(spark, sf_dir):
     """Length of each variant's network, what lies on one another counted once."""
-    rows = overlay.union(lane_segments(table(spark, sf_dir, "part"), "p_partkey"), 80.0, "variant_id")
+    rows = overlay.union(lane_segments(table(spark, sf_dir, "part"), "p_partkey"), 40.0, "variant_id")
     return rows.groupBy("variant_id").agg(F.round(F.sum("length"), 4).alias("length"))
 
 
 @query
 def q85_noded(spark, sf_dir):
     """Pieces of each variant's network after cutting it wherever pipes meet."""
-    rows = overlay.noded(lane_segments(table(spark, sf_dir, "part"), "p_partkey"), 80.0, "variant_id")
+    rows = overlay.noded(lane_segments(table(spark, sf_dir, "part"), "p_partkey"), 40.0, "variant_id")
     return rows.groupBy("variant_id").agg(F.count("*").alias("pieces"), F.round(F.sum("length"), 4).alias("length"), F.round(F.max("length"), 6).alias("longest"))
 
 
@@ -764,7 +764,7 @@ def q86_network_difference(spark, sf_dir):
     """What the networks of two runs have in common within a metre, and what only one of them has, by variant."""
     a = lane_segments(table(spark, sf_dir, "part"), "p_partkey", 2, 0.5)
     b = lane_segments(table(spark, sf_dir, "customer").where("c_custkey % 4 <> 1"), "c_custkey", 2, 0.25)
-    rows = overlay.compare_lengths(a, b, 80.0, 1.0, "variant_id")
+    rows = overlay.compare_lengths(a, b, 40.0, 1.0, "variant_id")
     return rows.select("variant_id", *[F.round(c, 4).alias(c) for c in ("common", "only_a", "only_b")])
 
 
