@@ -40,6 +40,11 @@ def edges(rings: Column) -> Column:
     return F.filter(F.flatten(F.transform(rings, one)), lambda e: e.bx.isNotNull())
 
 
+def kept(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns as a generated row, so each is worked out once: a plain column is written out again at every place that names it, also inside lambdas that run many times."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _inside(edges: Column, x: Column, y: Column) -> Column:
     """Even-odd test against all edges."""
     crossed = F.filter(edges, lambda e: ((e.ay > y) != (e.by > y)) & (x < (e.bx - e.ax) * (y - e.ay) / F.nullif(e.by - e.ay, F.lit(0.0)) + e.ax))
@@ -72,10 +77,10 @@ def with_inside(df: DataFrame, segment: tuple[str, str, str, str], rings: str, o
         low, high, along = common_part((ax, ay, bx, by), (e.ax, e.ay, e.bx, e.by))
         return F.struct(low.alias("low"), high.alias("high"), along.alias("along"))
 
-    rows = df.withColumn("_e", edges(F.col(rings)))
-    rows = rows.withColumn("_p", F.filter(F.transform("_e", part), lambda p: p.low.isNotNull()))
+    rows = kept(df, _e=edges(F.col(rings)))
+    rows = kept(kept(rows, _q=F.transform("_e", part)), _p=F.filter("_q", lambda p: p.low.isNotNull()))
     ends = F.flatten(F.transform("_p", lambda p: F.array(p.low, p.high)))
-    rows = rows.withColumn("_t", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), ends))))
+    rows = kept(rows, _t=F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), ends))))
     steps = F.zip_with(F.slice("_t", F.lit(1), F.size("_t") - 1), F.slice("_t", F.lit(2), F.size("_t") - 1), lambda a, b: F.struct(a.alias("low"), b.alias("high")))
 
     def held(s: Column) -> Column:
@@ -89,8 +94,8 @@ def with_inside(df: DataFrame, segment: tuple[str, str, str, str], rings: str, o
         longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last.low.alias("low"), s.high.alias("high"))))
         return F.when(goes_on, longer).otherwise(F.concat(done, F.array(s)))
 
-    rows = rows.withColumn("_s", F.when((ax == bx) & (ay == by), F.array().cast(kind)).otherwise(F.filter(steps, held)))
-    return rows.withColumn(out, F.aggregate("_s", F.array().cast(kind), joined)).drop("_e", "_p", "_t", "_s")
+    rows = kept(rows, _s=F.when((ax == bx) & (ay == by), F.array().cast(kind)).otherwise(F.filter(steps, held)))
+    return kept(rows, **{out: F.aggregate("_s", F.array().cast(kind), joined)}).drop("_e", "_q", "_p", "_t", "_s")
 
 
 def length_inside(inside: Column) -> Column:

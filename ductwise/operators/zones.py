@@ -30,27 +30,44 @@ def pairs(segments: DataFrame, areas: DataFrame, rings: str = "rings", reach: Co
     return a.join(b, ["_cx", "_cy"]).where(meet & home).select(*segments.columns, *areas.columns)
 
 
-def inside(segments: DataFrame, areas: DataFrame, rings: str = "rings", size: float = 50.0) -> DataFrame:
-    """Pairs of segments and areas with `inside`, the stretches (low, high) of the segment in the area, where there are any."""
-    return clip.with_inside(pairs(segments, areas, rings, 0.0, size), SEGMENT, rings).where(F.size("inside") > 0)
+def _shapes(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return df.select(*columns).distinct()
+
+
+def inside(segments: DataFrame, areas: DataFrame, rings: str = "rings", size: float = 50.0, measures: dict[str, Column] | None = None) -> DataFrame:
+    """Pairs of segments and areas with `inside`, the stretches (low, high) of the segment in the area, where there are any.
+
+    Equal segments and equal areas are cut once; so are `measures`, further columns by name that depend on `inside` only.
+    """
+    near = grid.spread(pairs(_shapes(segments, SEGMENT), _shapes(areas, (rings,)), rings, 0.0, size))
+    found = clip.with_inside(near, SEGMENT, rings).where(F.size("inside") > 0)
+    found = clip.kept(found, **measures) if measures else found
+    rows = grid.spread(segments).join(areas.join(found, rings), list(SEGMENT))
+    return rows.select(*segments.columns, *areas.columns, "inside", *(measures or {}))
 
 
 def stretches(segments: DataFrame, areas: DataFrame, keys: list[str], position: str | None = None, rings: str = "rings", gap: float = 0.0, size: float = 50.0) -> DataFrame:
     """(*keys, low, high): the stretches of lines that lie in any of the areas, as lengths along the line, in one where they are no more than gap apart.
 
-    A line is the segments of one key, each beginning `position` along it (None: at 0).
+    A line is the segments of one key, each beginning `position` along it (None: at 0). Equal segments are cut once and have their
+    stretches merged before they go to their lines; an area that is there twice adds nothing.
     """
     length = geo.distance(*[F.col(c).cast("double") for c in SEGMENT])
+    merged = lambda rows, by: network.merge_intervals(rows.withColumn("_k", F.lit(1)), by, "low", "high", "_k", gap=gap).drop("_k")
+    cut = inside(_shapes(segments, SEGMENT), _shapes(areas, (rings,)), rings, size).select(*SEGMENT, length.alias("_length"), F.explode("inside").alias("_s"))
+    cut = merged(cut.select(*SEGMENT, (F.col("_s.low") * F.col("_length")).alias("low"), (F.col("_s.high") * F.col("_length")).alias("high")), list(SEGMENT))
     begin = F.col(position) if position else F.lit(0.0)
-    rows = inside(segments, areas, rings, size).select(*keys, begin.alias("_begin"), length.alias("_length"), F.explode("inside").alias("_s"))
-    rows = rows.select(*keys, (F.col("_begin") + F.col("_s.low") * F.col("_length")).alias("low"), (F.col("_begin") + F.col("_s.high") * F.col("_length")).alias("high"), F.lit(1).alias("_k"))
-    return network.merge_intervals(rows, keys, "low", "high", "_k", gap=gap).drop("_k")
+    lines = segments.select(*dict.fromkeys([*keys, *SEGMENT]), begin.alias("_begin"))
+    rows = lines.join(cut, list(SEGMENT)).select(*keys, (F.col("_begin") + F.col("low")).alias("low"), (F.col("_begin") + F.col("high")).alias("high"))
+    return merged(rows, keys)
 
 
 def too_close(segments: DataFrame, areas: DataFrame, least: str, rings: str = "rings", tolerance: float = 0.01, size: float = 50.0) -> DataFrame:
-    """Pairs of segments and areas with `distance`, where that is under the column `least` by more than the tolerance. In an area, or on its border, the distance is 0."""
-    near = pairs(segments, areas, rings, F.col(least).cast("double"), size)
+    """Pairs of segments and areas with `distance`, where that is under the column `least` by more than the tolerance. In an area, or on its border, the distance is 0. Equal segments and equal areas are measured once."""
+    near = grid.spread(pairs(_shapes(segments, SEGMENT), _shapes(areas, (rings, least)), rings, F.col(least).cast("double"), size))
     s = tuple(F.col(c).cast("double") for c in SEGMENT)
-    walls = F.transform(clip.edges(F.col(rings)), lambda e: clip.segment_distance(s, (e.ax, e.ay, e.bx, e.by)))
-    held = clip.in_rings(F.col(rings), s[0], s[1])
-    return near.withColumn("distance", F.when(held, 0.0).otherwise(F.array_min(walls))).where(F.col("distance") < F.col(least) - tolerance)
+    rows = clip.kept(near, _e=clip.edges(F.col(rings)), _held=clip.in_rings(F.col(rings), s[0], s[1]))
+    walls = F.transform("_e", lambda e: clip.segment_distance(s, (e.ax, e.ay, e.bx, e.by)))
+    found = clip.kept(rows, distance=F.when(F.col("_held"), 0.0).otherwise(F.array_min(walls))).where(F.col("distance") < F.col(least) - tolerance)
+    rows = segments.join(areas.join(found.select(*SEGMENT, rings, least, "distance"), [rings, least]), list(SEGMENT))
+    return rows.select(*segments.columns, *areas.columns, "distance")
