@@ -37,3 +37,12 @@ def test_inside_cuts_equal_shapes_once(spark, monkeypatch):
     assert seen == [4]
     assert {(r["k"], r["area"]) for r in got} == {(k, a) for k in range(40) for a in range(30)} and len(got) == 1200
     assert all(abs(r["part"] - 2 / (10 + r["k"] % 2)) < 1e-12 for r in got)
+
+
+def test_stretches_of_equal_lines_are_merged_once(spark, monkeypatch):
+    seen = counted(monkeypatch, "with_inside")
+    segments, areas = copies(spark)
+    lines = segments.withColumns({"fid": F.floor(F.col("k") / 2), "at": F.when(F.col("k") % 2 == 1, 10.0).otherwise(0.0)})
+    got = zones.stretches(lines, areas, ["fid"], "at", gap=1.5).collect()
+    assert seen == [4]
+    assert sorted((r["fid"], r["low"], r["high"]) for r in got) == sorted((f, round(a + 1.0), round(a + 6.0)) for f in range(20) for a in (0, 10))
