@@ -37,10 +37,12 @@ def lengths(segments: DataFrame) -> DataFrame:
 
 def turns(segments: DataFrame) -> DataFrame:
     """Corners inside a segment over the limit and its tolerance."""
-    p = lambda i: (F.get("line", i).x, F.get("line", i).y)
-    angles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("line") - 2, F.lit(1))), lambda i: geo.turn_degrees(*p(i - 1), *p(i), *p(i + 1)))
-    sharp = F.when(F.size("line") > 2, F.exists(angles, lambda a: a > ref.MAX_TURN + ref.TURN_TOLERANCE)).otherwise(False)
-    return _found(segments.where(sharp), "R-TURN", "turns by more than the limit")
+    rows = clip.kept(segments.select("variant_id", "fid", "line").where(F.size("line") > 2), _line=F.col("line")).drop("line")
+    corner = lambda i: F.struct(*[F.get("_line", i + d)[c].alias(f"{c}{n}") for n, d in enumerate((-1, 0, 1)) for c in "xy"])
+    rows = clip.kept(rows, _corners=F.transform(F.sequence(F.lit(1), F.size("_line") - 2), corner))
+    angle = lambda q: geo.turn_degrees(*[q[f"{c}{n}"] for n in range(3) for c in "xy"])
+    rows = clip.kept(rows, _sharp=F.exists(F.transform("_corners", angle), lambda a: a > ref.MAX_TURN + ref.TURN_TOLERANCE))
+    return _found(rows.where("_sharp"), "R-TURN", "turns by more than the limit")
 
 
 def one_parent(segments: DataFrame) -> DataFrame:
@@ -166,27 +168,36 @@ def chamber_sizes(segments: DataFrame, chambers: DataFrame) -> DataFrame:
     return sized.unionByName(_found(rows.where(F.col("degree") > ref.MAX_DEGREE), "R-NET-5", "too many pieces meet"))
 
 
-def _steps(segments: DataFrame) -> DataFrame:
-    """(variant_id, fid, line, ax, ay, bx, by): the straight pieces of each segment's line."""
+def _steps(segments: DataFrame, *keys: str) -> DataFrame:
+    """(variant_id, *keys, line, ax, ay, bx, by): the straight pieces of each segment's line; keys are fid if none are given."""
     p = lambda i, c: F.get("line", i)[c]
-    steps = segments.where(F.size("line") > 1).select("variant_id", "fid", "line", F.explode(F.sequence(F.lit(1), F.size("line") - 1)).alias("i"))
-    return steps.select("variant_id", "fid", "line", *[p(F.col("i") + d, c).alias(f"{n}{c}") for n, d in (("a", -1), ("b", 0)) for c in "xy"])
+    keys = ("variant_id", *(keys or ["fid"]))
+    steps = segments.where(F.size("line") > 1).select(*keys, "line", F.explode(F.sequence(F.lit(1), F.size("line") - 1)).alias("i"))
+    return steps.select(*keys, "line", *[p(F.col("i") + d, c).alias(f"{n}{c}") for n, d in (("a", -1), ("b", 0)) for c in "xy"])
 
 
 def crossings(segments: DataFrame, size: float = 50.0, tolerance: float = 0.05) -> DataFrame:
-    """New pipes with a point in common, crossing, touching or one on the other, that is not an end of both."""
+    """New pipes with a point in common, crossing, touching or one on the other, that is not an end of both.
+
+    Pipes of a variant with the same line are one until they are named, so each pair of different lines is tested once.
+    """
+    members, shapes = grid.classes(segments.select("variant_id", "fid", "line"), "fid", ["line"], "variant_id")
     ends = F.transform(F.array(F.get("line", F.lit(0)), F.element_at("line", -1)), lambda q: F.struct(q.x.alias("x"), q.y.alias("y")))
-    steps = _steps(segments).withColumn("ends", ends).drop("line")
+    steps = _steps(shapes, "class", "copies").withColumn("ends", ends).drop("line")
     steps = steps.withColumns({"x0": F.least("ax", "bx"), "y0": F.least("ay", "by"), "x1": F.greatest("ax", "bx"), "y1": F.greatest("ay", "by")})
-    steps = steps.select("*", *[F.concat_ws("|", F.col("variant_id").cast("string"), F.col("fid").cast("string")).alias("owner")])
-    pairs = grid.pairs_of_boxes(steps, "owner", "x0", "y0", "x1", "y1", size, within="variant_id")
+    pairs = grid.pairs_of_boxes(steps, "class", "x0", "y0", "x1", "y1", size, within="variant_id", equal=True)
+    pairs = grid.spread(pairs.where("a.class <> b.class or a.copies > 1"))
     one, two = (tuple(F.col(f"{s}.{c}") for c in ("ax", "ay", "bx", "by")) for s in "ab")
     low, high, _ = clip.common_part(one, two)
     at = lambda t: ((one[0] + t * (one[2] - one[0])), (one[1] + t * (one[3] - one[1])))
     end_of = lambda s, t: F.exists(F.col(f"{s}.ends"), lambda q: geo.distance(q.x, q.y, *at(t)) <= tolerance)
     apart = lambda c: ~(end_of("a", F.col(c)) & end_of("b", F.col(c)))
-    rows = pairs.withColumns({"low": low, "high": high}).where(F.col("low").isNotNull()).where(apart("low") | apart("high"))
-    return _found(rows.select("a.variant_id", "a.fid", F.col("b.fid").alias("other")).distinct(), "R-NET-7", F.concat(F.lit("meets "), F.col("other").cast("string"), F.lit(" outside a common end")))
+    rows = clip.kept(pairs, low=low, high=high).where(F.col("low").isNotNull()).where(apart("low") | apart("high"))
+    found = rows.select("a.variant_id", F.col("a.class").alias("_a"), F.col("b.class").alias("_b")).distinct()
+    member = lambda side: grid.spread(members.select("variant_id", F.col("class").alias(f"_{side}"), F.col("fid").cast("string").alias(side)))
+    named = grid.spread(found.join(member("a"), ["variant_id", "_a"])).join(member("b"), ["variant_id", "_b"]).where("_a <> _b or a < b")
+    named = named.select("variant_id", F.least("a", "b").alias("fid"), F.greatest("a", "b").alias("other"))
+    return _found(named, "R-NET-7", F.concat(F.lit("meets "), F.col("other"), F.lit(" outside a common end")))
 
 
 def near_obstacles(segments: DataFrame, obstacles: DataFrame, reach: float = 20.0) -> DataFrame:
@@ -207,6 +218,17 @@ def near_walls(segments: DataFrame, obstacles: DataFrame) -> DataFrame:
     return _found(rows, "R-RESTR", F.concat(F.lit("too close to "), F.col("obstacle").cast("string")))
 
 
+def near_walls_summary(segments: DataFrame, obstacles: DataFrame) -> DataFrame:
+    """(feature_id, n, first): how many findings of `near_walls` a segment has over all variants, and the first message, without naming every pair: segments of one line meet obstacles of one shape once."""
+    members, shapes = grid.classes(segments.select("variant_id", "fid", "line"), "fid", ["line"], "variant_id")
+    walled, walls = grid.classes(obstacles.select(F.col("fid").alias("obstacle"), "min_distance", "rings"), "obstacle", ["min_distance", "rings"])
+    said = F.concat(F.lit("too close to "), F.col("obstacle").cast("string"))
+    groups = walled.groupBy(F.col("class").alias("wall")).agg(F.count("*").alias("n"), F.min(said).alias("first"))
+    near = zones.too_close(_steps(shapes, "class").drop("line"), walls.select(F.col("class").alias("wall"), "min_distance", "rings"), "min_distance")
+    sums = near.select("variant_id", "class", "wall").distinct().join(groups, "wall").groupBy("variant_id", "class").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return members.join(sums, ["variant_id", "class"]).groupBy(F.col("fid").cast("string").alias("feature_id")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def totals(segments: DataFrame, chambers: DataFrame, summaries: DataFrame, consumers: DataFrame) -> DataFrame:
     s = segments.groupBy("variant_id").agg(F.sum("cost").alias("pipe_sum"), F.sum("length").alias("length_sum"), F.count("*").alias("n"))
     c = chambers.groupBy("variant_id").agg(F.sum("cost").alias("chamber_sum"))

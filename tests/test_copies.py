@@ -1,9 +1,13 @@
 """Tables in which shapes repeat: the geometry is worked out once for each different shape, and every copy gets its result."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from ductwise.functions import clip
-from ductwise.operators import grid, zones
+from ductwise.operators import grid, validate, zones
+from ductwise.plans import oracle
+from ductwise.plans import queries as plans
 
 RINGS = "array<array<struct<x double, y double>>>"
 SEGMENT = "ax double, ay double, bx double, by double"
@@ -22,9 +26,9 @@ def copies(spark):
 def counted(monkeypatch, name):
     seen, before = [], getattr(clip, name)
 
-    def count(df, *args):
+    def count(df, *args, **named):
         seen.append(df.count())
-        return before(df, *args)
+        return before(df, *args, **named)
 
     monkeypatch.setattr(clip, name, count)
     return seen
@@ -46,3 +50,15 @@ def test_stretches_of_equal_lines_are_merged_once(spark, monkeypatch):
     got = zones.stretches(lines, areas, ["fid"], "at", gap=1.5).collect()
     assert seen == [4]
     assert sorted((r["fid"], r["low"], r["high"]) for r in got) == sorted((f, round(a + 1.0), round(a + 6.0)) for f in range(20) for a in (0, 10))
+
+
+def test_crossings_test_equal_lines_once(spark, monkeypatch):
+    seen = counted(monkeypatch, "kept")
+    line = {"level": [(0.0, 0.0), (10.0, 0.0)], "upright": [(5.0, -5.0), (5.0, 5.0)], "bent": [(0.0, 0.0), (4.0, 4.0), (4.0, -4.0)], "away": [(90.0, 90.0), (95.0, 95.0)]}
+    named = {f"{n}{i}": n for n in line for i in range(9)}
+    rows = spark.createDataFrame([(v, f, line[n]) for v in (1, 2) for f, n in named.items()], "variant_id long, fid string, line array<struct<x double, y double>>")
+    got = [(r["variant_id"], r["feature_id"], r["message"].split()[1]) for r in validate.crossings(rows).collect()]
+    meet = {frozenset(p) for p in (("level", "upright"), ("level", "bent"))} | {frozenset(["bent"])}  # the middle of a bent line is no end of it
+    want = {(v, a, b) for v in (1, 2) for a in named for b in named if a < b and frozenset([named[a], named[b]]) in meet}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(seen) < 40
