@@ -62,3 +62,13 @@ def test_crossings_test_equal_lines_once(spark, monkeypatch):
     want = {(v, a, b) for v in (1, 2) for a in named for b in named if a < b and frozenset([named[a], named[b]]) in meet}
     assert len(got) == len(set(got)) and set(got) == want
     assert sum(seen) < 40
+
+
+def test_walls_are_measured_once(spark, monkeypatch):
+    seen = counted(monkeypatch, "kept")
+    areas = spark.createDataFrame([(i, 1.0 + i % 2, square(1.0 + 3 * (i % 2), 2.0)) for i in range(30)], f"fid int, min_distance double, rings {RINGS}")
+    lines = spark.createDataFrame([(v, i, [(0.0, 2.5), (5.0, 2.5), (6.0, 2.5 + i % 2)]) for v in (1, 2) for i in range(12)], "variant_id long, fid int, line array<struct<x double, y double>>")
+    got = {r["feature_id"]: (r["n"], r["first"]) for r in validate.near_walls_summary(lines, areas).collect()}
+    assert max(seen) <= 16
+    every = validate.near_walls(lines, areas).groupBy("feature_id").agg(F.count("*").alias("n"), F.min("message").alias("first")).collect()
+    assert got == {r["feature_id"]: (r["n"], r["first"]) for r in every} == {str(i): (30, "too close to 1") for i in range(12)}
