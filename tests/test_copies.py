@@ -72,3 +72,27 @@ def test_walls_are_measured_once(spark, monkeypatch):
     assert max(seen) <= 16
     every = validate.near_walls(lines, areas).groupBy("feature_id").agg(F.count("*").alias("n"), F.min("message").alias("first")).collect()
     assert got == {r["feature_id"]: (r["n"], r["first"]) for r in every} == {str(i): (30, "too close to 1") for i in range(12)}
+
+
+def few_places(spark, path):
+    """Customers, suppliers and parts whose keys repeat the places and sizes of shapes."""
+    key = lambda n, step: spark.range(n).select((F.floor(F.col("id") / 3) + F.col("id") % 3 * step).alias("k"))
+    key(240, 7000).select(F.col("k").alias("c_custkey"), (F.col("k") % 25).alias("c_nationkey")).write.parquet(f"{path}/customer.parquet")
+    key(60, 3000).select(F.col("k").alias("s_suppkey")).write.parquet(f"{path}/supplier.parquet")
+    key(300, 1000).select(F.col("k").alias("p_partkey"), (F.col("k") % 1000 % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["q50_segment_meets_area"])
+def test_shapes_of_a_query_meet_once(spark, tmp_path, monkeypatch, name):
+    """As the SQL says, while only different shapes are dealt out to cells: 80 segments of 240, 20 areas of 60, 100 rectangles of 300."""
+    path, seen, cells = few_places(spark, tmp_path), [], grid.over_cells
+    monkeypatch.setattr(grid, "over_cells", lambda df, *a: seen.append(df.count()) or cells(df, *a))
+    rows = plans.QUERIES[name](spark, path)
+    assert seen and set(seen) <= {80, 20, 100}
+    base = duckdb.connect()
+    for t in ("customer", "supplier", "part"):
+        base.execute(f"create view {t} as select * from '{path}/{t}.parquet/*.parquet'")
+    columns = ", ".join(rows.columns)
+    want = base.execute(f"select {columns} from ({oracle.SQL[name]})").fetchall()
+    assert want and sorted(tuple(r) for r in rows.collect()) == sorted(want)
