@@ -74,6 +74,28 @@ def test_walls_are_measured_once(spark, monkeypatch):
     assert got == {r["feature_id"]: (r["n"], r["first"]) for r in every} == {str(i): (30, "too close to 1") for i in range(12)}
 
 
+def met(monkeypatch, name):
+    seen, before = [], getattr(grid, name)
+
+    def count(left, right, *args):
+        seen.append((left.count(), right.count()))
+        return before(left, right, *args)
+
+    monkeypatch.setattr(grid, name, count)
+    return seen
+
+
+def test_nearest_searches_each_place_once_in_small_cells(spark, monkeypatch):
+    seen, sizes, before = met(monkeypatch, "within_radius"), [], grid.over_cells
+    monkeypatch.setattr(grid, "over_cells", lambda df, x0, y0, x1, y1, size: sizes.append(size) or before(df, x0, y0, x1, y1, size))
+    right = [(i, i * 7 % 20, i * 7 % 400 // 20) for i in range(1200)]
+    left = [(i, i % 4 * 5.25, i % 4 * 2.5) for i in range(100)]
+    got = grid.nearest(spark.createDataFrame(left, "k int, x double, y double"), spark.createDataFrame(right, "r int, rx int, ry int"), "k", "x", "y", "r", "rx", "ry", 500.0).collect()
+    want = {k: min(((rx - x) ** 2 + (ry - y) ** 2, r) for r, rx, ry in right) for k, x, y in left}
+    assert {r["k"]: (r["d2"], r["r"]) for r in got} == want
+    assert seen[0][0] == 4 and seen[0][1] == len({p[1:] for p in right}) and sizes[0] < 10
+
+
 def few_places(spark, path):
     """Customers, suppliers and parts whose keys repeat the places and sizes of shapes."""
     key = lambda n, step: spark.range(n).select((F.floor(F.col("id") / 3) + F.col("id") % 3 * step).alias("k"))
