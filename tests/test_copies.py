@@ -96,6 +96,14 @@ def test_nearest_searches_each_place_once_in_small_cells(spark, monkeypatch):
     assert seen[0][0] == 4 and seen[0][1] == len({p[1:] for p in right}) and sizes[0] < 10
 
 
+def test_smallest_box_of_equal_ones(spark, monkeypatch):
+    seen = met(monkeypatch, "points_in_boxes")
+    points = spark.createDataFrame([(i, i % 2, 1) for i in range(50)], "k int, x int, y int")
+    boxes = spark.createDataFrame([(99 - i, 0, 0, 1 + i % 3, 2) for i in range(90)], "b int, x0 int, y0 int, x1 int, y1 int")
+    got = grid.smallest_containing(points, boxes, "k", "b", "x", "y", "x0", "y0", "x1", "y1", 5.0).collect()
+    assert {r["k"]: r["b"] for r in got} == dict.fromkeys(range(50), 12) and seen == [(2, 3)]
+
+
 def few_places(spark, path):
     """Customers, suppliers and parts whose keys repeat the places and sizes of shapes."""
     key = lambda n, step: spark.range(n).select((F.floor(F.col("id") / 3) + F.col("id") % 3 * step).alias("k"))
