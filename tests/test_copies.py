@@ -104,6 +104,14 @@ def test_smallest_box_of_equal_ones(spark, monkeypatch):
     assert {r["k"]: r["b"] for r in got} == dict.fromkeys(range(50), 12) and seen == [(2, 3)]
 
 
+def test_sums_within_radius_count_every_copy(spark, monkeypatch):
+    seen = met(monkeypatch, "within_radius")
+    left = spark.createDataFrame([(i, i % 2 * 3, 0) for i in range(20)], "k int, x int, y int")
+    right = spark.createDataFrame([(i, i % 3, 1) for i in range(60)], "r int, rx int, ry int")
+    got = {r["k"]: (r["n"], r["d2"]) for r in grid.sums_within_radius(left, right, "k", "x", "y", "rx", "ry", 2.0).collect()}
+    assert got == {k: (40, 60) if k % 2 == 0 else (20, 40) for k in range(20)} and seen == [(2, 3)]
+
+
 def few_places(spark, path):
     """Customers, suppliers and parts whose keys repeat the places and sizes of shapes."""
     key = lambda n, step: spark.range(n).select((F.floor(F.col("id") / 3) + F.col("id") % 3 * step).alias("k"))
