@@ -112,6 +112,14 @@ def test_sums_within_radius_count_every_copy(spark, monkeypatch):
     assert got == {k: (40, 60) if k % 2 == 0 else (20, 40) for k in range(20)} and seen == [(2, 3)]
 
 
+def test_boxes_are_counted_with_their_copies(spark, monkeypatch):
+    seen = met(monkeypatch, "points_in_boxes")
+    points = spark.createDataFrame([(i, i % 2 * 9, 1) for i in range(50)], "k int, x int, y int")
+    boxes = spark.createDataFrame([(99 - i, 0, 0, 8 + i % 3, 2) for i in range(90)], "b int, x0 int, y0 int, x1 int, y1 int")
+    got = {r["k"]: (r["n"], r["first"]) for r in grid.sums_in_boxes(points, boxes, "k", "b", "x", "y", "x0", "y0", "x1", "y1", 5.0).collect()}
+    assert got == {k: (60, 10) if k % 2 else (90, 10) for k in range(50)} and seen == [(2, 3)]
+
+
 def few_places(spark, path):
     """Customers, suppliers and parts whose keys repeat the places and sizes of shapes."""
     key = lambda n, step: spark.range(n).select((F.floor(F.col("id") / 3) + F.col("id") % 3 * step).alias("k"))
