@@ -129,7 +129,7 @@ def few_places(spark, path):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["q50_segment_meets_area", "q28_clip_intervals", "q49_segments_meet"])
+@pytest.mark.parametrize("name", ["q50_segment_meets_area", "q28_clip_intervals", "q49_segments_meet", "q27_segment_crossings"])
 def test_shapes_of_a_query_meet_once(spark, tmp_path, monkeypatch, name):
     """As the SQL says, while only different shapes are dealt out to cells: 80 segments of 240, 20 areas of 60, 100 rectangles of 300."""
     path, seen, cells = few_places(spark, tmp_path), [], grid.over_cells
