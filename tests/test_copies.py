@@ -120,6 +120,13 @@ def test_boxes_are_counted_with_their_copies(spark, monkeypatch):
     assert got == {k: (60, 10) if k % 2 else (90, 10) for k in range(50)} and seen == [(2, 3)]
 
 
+def test_corners_are_taken_from_the_line_once(spark, monkeypatch):
+    seen = counted(monkeypatch, "kept")
+    lines = {"sharp": [(0.0, 0.0), (10.0, 0.0), (0.0, 1.0)], "mild": [(0.0, 0.0), (10.0, 0.0), (20.0, 1.0)], "short": [(0.0, 0.0), (1.0, 1.0)], "twice": [(0.0, 0.0), (0.0, 0.0), (1.0, 1.0)], "late": [(0.0, 0.0), (5.0, 0.0), (9.0, 0.0), (2.0, 0.0)]}
+    rows = spark.createDataFrame([*((1, f, p) for f, p in lines.items()), (1, "none", None)], "variant_id long, fid string, line array<struct<x double, y double>>")
+    assert sorted(r["feature_id"] for r in validate.turns(rows).collect()) == ["late", "sharp"] and seen == [4, 4, 4]
+
+
 def few_places(spark, path):
     """Customers, suppliers and parts whose keys repeat the places and sizes of shapes."""
     key = lambda n, step: spark.range(n).select((F.floor(F.col("id") / 3) + F.col("id") % 3 * step).alias("k"))
