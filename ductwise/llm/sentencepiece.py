@@ -17,7 +17,7 @@ import heapq
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,12 +188,13 @@ def _ids(unit: str, cuts: int, pieces: Pieces) -> bytes:
     return _bytes(out)
 
 
-def encode(docs: DataFrame, pieces: Pieces, most: int = 1 << 18) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, most: int = 1 << 18, then: Callable[[pd.DataFrame, Pieces], pd.DataFrame] | None = None, schema: str = "doc_id long, text string, ids binary") -> DataFrame:
     """(doc_id, text, ids binary) of every row: little-endian unsigned 32-bit ids of the whole text.
 
     At most `most` words, the most frequent, pass through the lattice and go to every executor with their ids, which bounds
     what is broadcast; all others are merged in their texts. Null and empty texts have no ids. Equal rows are encoded each;
-    other columns are not read; an empty table gives no rows.
+    other columns are not read; an empty table gives no rows. `then` makes rows of another `schema` of each frame before it leaves
+    its worker, so that no second worker has to hold the texts.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -221,9 +222,10 @@ def encode(docs: DataFrame, pieces: Pieces, most: int = 1 << 18) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), _TEXTS):
                 b = whole.iloc[at : at + _TEXTS]
-                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": b["text"], "ids": list(map(ids, b["text"]))})
+                rows = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": b["text"], "ids": list(map(ids, b["text"]))})
+                yield then(rows, pieces) if then else rows
 
-    return docs.mapInPandas(assemble, "doc_id long, text string, ids binary")
+    return docs.mapInPandas(assemble, schema)
 
 
 def decode(ids: bytes, pieces: Pieces) -> str:
@@ -237,11 +239,8 @@ def round_trip(docs: DataFrame, model_path: str, most: int = 1 << 18) -> DataFra
 
     It does for every text without the mark U+2581 itself, which the model reads as a space.
     """
-    pieces = Pieces.load(model_path)
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_ids": [len(x) // 4 for x in b["ids"]], "ids_crc32": [zlib.crc32(x) for x in b["ids"]], "returns": [decode(x, pieces) == (t or "") for x, t in zip(b["ids"], b["text"], strict=True)]})
-
-    return encode(docs, pieces, most).mapInPandas(digest, "doc_id long, n_ids long, ids_crc32 long, returns boolean")
+    def digest(b: pd.DataFrame, pieces: Pieces) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": b["doc_id"], "n_ids": [len(x) // 4 for x in b["ids"]], "ids_crc32": [zlib.crc32(x) for x in b["ids"]], "returns": [decode(x, pieces) == (t or "") for x, t in zip(b["ids"], b["text"], strict=True)]})
 
+    return encode(docs, Pieces.load(model_path), most, digest, "doc_id long, n_ids long, ids_crc32 long, returns boolean")

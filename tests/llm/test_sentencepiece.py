@@ -42,3 +42,9 @@ def test_heap_merges_as_the_library():
 
 def test_empty(none):
     assert own.round_trip(none, MODEL).collect() == []
+
+
+def test_round_trip_holds_texts_in_one_worker(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    plan = own.round_trip(docs, MODEL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
