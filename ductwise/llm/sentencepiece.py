@@ -8,7 +8,8 @@ rank and keeps a bit for every cut: an edge takes out the only cut inside it, an
 
 A corpus has new words without end, and bringing the ids of each rare one back to its texts would move more bytes than the texts
 have. Words beyond the most frequent ones, and those too long for a mask of cuts, are therefore merged where they stand,
-by the same ranks with a heap. Characters without a piece become byte pieces.
+by the same ranks. Such a word falls apart between letters and signs that are neighbours in no piece, as nothing is merged over
+that place; its parts are remembered, as they come back more often than it does. Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
+from math import inf
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -30,8 +35,10 @@ from ductwise.llm.common import scratch, stored
 SPACE = "▁"
 #: Characters of a word whose cuts have a bit each in a long.
 LONG = 62
+#: Characters of a part up to which its best merge is looked for without a heap.
+SCAN = 64
 _FIND = re.compile(" *[^ ]+| +").findall
-#: Different words that are counted, or remembered with their ids, at once; texts that are put out at once.
+#: Different words that are counted, or parts that are remembered with their ids, at once; texts that are put out at once.
 _WORDS, _TEXTS = 300_000, 1000
 
 
@@ -58,16 +65,64 @@ class Pieces:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes_[b] for b in char.encode("utf-8", "replace")]
 
+    @cached_property
+    def ranks(self) -> dict[str, float]:
+        """The pieces of two characters and more, with plain spaces; the least rank is merged first."""
+        return {p.replace(SPACE, " "): -score for p, (_, score) in self.table.items() if len(p) > 1}
+
+    @cached_property
+    def packed(self) -> dict[str, bytes]:
+        """The bytes of the id of each piece, with plain spaces."""
+        return {p.replace(SPACE, " "): _bytes([i]) for p, (i, _) in self.table.items()}
+
+    @cached_property
+    def parts(self) -> Callable[[str], list[str]]:
+        """Cuts a word where no piece lies across: between the largest group of characters that pieces join with one another, and all others."""
+        joined, groups = {p[i : i + 2] for p in self.ranks for i in range(len(p) - 1)}, {}
+        for a, b in joined:
+            if a != " " and b != " " and (x := groups.setdefault(a, {a})) is not (y := groups.setdefault(b, {b})):
+                x |= y
+                groups.update(dict.fromkeys(y, x))
+        group = "".join(map(re.escape, max(groups.values(), key=len, default="")))
+        if not group or any(a != " " and b == " " for a, b in joined):  # spaces inside pieces
+            return lambda unit: [unit]
+        return re.compile(f" *[{group}]+| *[^{group} ]+| +").findall
+
     def merge(self, word: str) -> list[int]:
-        """Ids of one word by its merges, best score first and of equal ones the left, with a heap."""
-        n = len(word)
+        """Ids of one word by its merges, best score first and of equal ones the left."""
+        return np.frombuffer(b"".join(map(self.merged, self.parts(word.replace(SPACE, " ")))), "<u4").tolist()
+
+    def merged(self, part: str) -> bytes:
+        """The ids of a part by its merges."""
+        found = self._scan(part) if len(part) <= SCAN else self._heap(part)
+        out = list(map(self.packed.get, found))
+        if None in out:
+            out = [_bytes(self.fallback(c.replace(" ", SPACE))) if x is None else x for c, x in zip(found, out, strict=True)]
+        return b"".join(out)
+
+    def _scan(self, part: str) -> list[str]:
+        """Looks for the best pair among all neighbours each time, which for a short part takes less than a heap."""
+        rank, found = self.ranks.get, list(part)
+        costs = list(map(rank, map(add, found, found[1:]), repeat(inf)))
+        while costs and (best := min(costs)) < inf:
+            i = costs.index(best)
+            del costs[i]
+            found[i] = here = found[i] + found.pop(i + 1)
+            if i < len(costs):
+                costs[i] = rank(here + found[i + 1], inf)
+            if i:
+                costs[i - 1] = rank(found[i - 1] + here, inf)
+        return found
+
+    def _heap(self, part: str) -> list[str]:
+        n = len(part)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[float, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := self.table.get(word[i : end[j]])):
-                heapq.heappush(heap, (-found[1], i, end[j]))
+            if j < n and (found := self.ranks.get(part[i : end[j]])) is not None:
+                heapq.heappush(heap, (found, i, end[j]))
 
         for i in range(n):
             offer(i)
@@ -85,8 +140,7 @@ class Pieces:
                 offer(before[i])
         out, i = [], 0
         while i < n:
-            found = self.table.get(word[i : end[i]])
-            out += [found[0]] if found else self.fallback(word[i])
+            out.append(part[i : end[i]])
             i = after[i]
         return out
 
@@ -100,6 +154,20 @@ def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+class _Parts(dict):
+    """The ids of parts of rare words, worked out when they first come."""
+
+    def __init__(self, pieces: Pieces, known: dict[str, bytes]):
+        self.pieces, self.known = pieces, known
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > _WORDS:
+            self.clear()
+        found = self.known.get(part)
+        self[part] = found = self.pieces.merged(part) if found is None else found
+        return found
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(unit, edges): for each word the pieces of two characters and more in it, best rank first.
 
@@ -205,18 +273,12 @@ def encode(docs: DataFrame, pieces: Pieces, most: int = 1 << 18, then: Callable[
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, known = shared.value
-        seen: dict[str, bytes] = {}
+        rare = _Parts(pieces, known).__getitem__
+
         def ids(text: str | None) -> bytes:
             found = list(map(known.get, own := units(text)))
             if None in found:
-                for i, x in enumerate(found):
-                    if x is None:
-                        x = seen.get(u := own[i])
-                        if x is None:
-                            if len(seen) > _WORDS:
-                                seen.clear()
-                            x = seen[u] = _bytes(pieces.merge(u.replace(" ", SPACE)))
-                        found[i] = x
+                found = [b"".join(map(rare, pieces.parts(u))) if x is None else x for u, x in zip(own, found, strict=True)]
             return b"".join(found)
 
         for whole in batches:

@@ -48,3 +48,26 @@ def test_round_trip_holds_texts_in_one_worker(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     plan = own.round_trip(docs, MODEL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+def test_rare_words_are_merged_by_their_parts(monkeypatch):
+    pieces, merged = own.Pieces.load(MODEL), []
+    sp = library.SentencePieceProcessor(model_file=MODEL)
+    assert pieces.parts(" under.\nZwölf,") == [" under", ".\n", "Zwölf", ","]
+    words = [f" qu{a}xorn{s}{b.title()}{t}" for a in "aeiou" for b in ("zend", "mórth") for s in (".\n", "***", "-") for t in ("", "!", "日", "()")]
+    before = own.Pieces.merged
+    monkeypatch.setattr(own.Pieces, "merged", lambda self, part: merged.append(part) or before(self, part))
+    rare = own._Parts(pieces, {})
+    assert [np.frombuffer(b"".join(map(rare.__getitem__, pieces.parts(w))), "<u4").tolist() for w in words] == [sp.encode(w[1:]) for w in words]
+    assert len(words) == 120 and len(merged) == len(set(merged)) <= 5 + 2 + 3 + 3
+
+
+def test_short_parts_are_merged_as_by_the_heap(monkeypatch):
+    pieces, rng = own.Pieces.load(MODEL), random.Random(5)
+    parts = ["".join(rng.choice(" aeinorstlhdcgm.é日") for _ in range(rng.randrange(0, 70))) for _ in range(500)]
+    heap = own.Pieces._heap
+    monkeypatch.setattr(own.Pieces, "_heap", lambda self, part: heap(self, part) if len(part) > own.SCAN else None)
+    short = [pieces.merged(p) for p in parts]
+    monkeypatch.undo()
+    monkeypatch.setattr(own, "SCAN", -1)
+    assert short == [pieces.merged(p) for p in parts]
