@@ -149,3 +149,16 @@ def test_shapes_of_a_query_meet_once(spark, tmp_path, monkeypatch, name):
     columns = ", ".join(rows.columns)
     want = base.execute(f"select {columns} from ({oracle.SQL[name]})").fetchall()
     assert want and sorted(tuple(r) for r in rows.collect()) == sorted(want)
+
+
+def test_merged_stretches_of_copies_are_those_of_shapes(spark, tmp_path, monkeypatch):
+    """Only different shapes are dealt out to cells. The SQL has each area once, as it leaves the order of equal stretches open."""
+    path, seen, cells, name = few_places(spark, tmp_path), [], grid.over_cells, "q77_merged_stretches"
+    monkeypatch.setattr(grid, "over_cells", lambda df, *a: seen.append(df.count()) or cells(df, *a))
+    rows = plans.QUERIES[name](spark, path)
+    assert sorted(seen) == [20, 80]
+    base = duckdb.connect(config={"threads": 1})
+    base.execute(f"create view customer as select * from '{path}/customer.parquet/*.parquet'")
+    base.execute(f"create view supplier as select distinct s_suppkey % 3000 as s_suppkey from '{path}/supplier.parquet/*.parquet'")
+    want = base.execute(f"select {', '.join(rows.columns)} from ({oracle.SQL[name]})").fetchall()
+    assert want and sorted(tuple(r) for r in rows.collect()) == sorted(want)
